@@ -1,3 +1,150 @@
-"""Streaming forms of the catalog queries (filled in below)."""
+"""Streaming forms of the catalog queries.
 
-STREAM_QUERIES: dict = {}
+Each query lands the adapted ``events`` records as Parquet files in time
+slices (aligned to ``SLICE_SECONDS``, so no one-minute window spans two
+slices) and, after each slice arrives, runs its streaming query with
+``availableNow`` from the same checkpoint -- every slice after the first is a
+restart from durable state. The DataFrame returned reads the query's result
+table. Nothing here collects data: the driver only sees slice numbers.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.utils import StreamingQueryException
+
+from changefold import operators as ops
+from changefold.functions import iso_utc
+from changefold.session import scratch_path
+from changefold.sources.envelope import read_envelope_stream
+from changefold.sources.testdata import events_envelope
+from changefold.streaming import jobs
+
+SLICE_SECONDS = 4 * 3600
+AVAILABLE_NOW = {"availableNow": True}
+
+
+def land_in_slices(spark: SparkSession, envelope: DataFrame, slice_seconds: int = SLICE_SECONDS) -> tuple[str, list[int]]:
+    """Stage the envelope partitioned by time slice (one pass over the input)."""
+    staging = scratch_path(spark, "staged-envelope")
+    slice_col = F.floor(F.unix_seconds("timestamp") / F.lit(slice_seconds)).cast("bigint")
+    envelope.withColumn("_slice", slice_col).write.partitionBy("_slice").parquet(staging)
+    slices = sorted(r[0] for r in spark.read.parquet(staging).select("_slice").distinct().collect())
+    return staging, slices
+
+
+def run_over_slices(
+    spark: SparkSession,
+    sf_dir: str,
+    start: Callable[[DataFrame], object],
+    restart_on_injected_failure: bool = False,
+) -> None:
+    """Feed the adapted records slice by slice; after each, run ``start(stream)``
+    to completion (``start`` builds and starts the streaming query)."""
+    jobs.configure_streaming(spark)
+    staging, slices = land_in_slices(spark, events_envelope(spark, sf_dir))
+    landing = scratch_path(spark, "landing")
+    for s in slices:
+        spark.read.parquet(f"{staging}/_slice={s}").write.mode("append").parquet(landing)
+        query = start(read_envelope_stream(spark, landing))
+        try:
+            query.awaitTermination()
+        except StreamingQueryException as exc:
+            if not (restart_on_injected_failure and "injected failure" in str(exc)):
+                raise
+            query = start(read_envelope_stream(spark, landing), retry=True)
+            query.awaitTermination()
+
+
+def _articles(stream: DataFrame) -> DataFrame:
+    return ops.article_edits(ops.parse_edits(stream))
+
+
+def _changelog_query(build: Callable[[DataFrame], DataFrame], keys: list[str], name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table, ckpt = scratch_path(spark, f"{name}-table"), scratch_path(spark, f"{name}-ckpt")
+
+        def start(stream: DataFrame, retry: bool = False):
+            return jobs.start_changelog(build(_articles(stream)), table, ckpt, AVAILABLE_NOW)
+
+        run_over_slices(spark, sf_dir, start)
+        return jobs.read_latest(spark, table, keys)
+
+    return run
+
+
+def _iso(df: DataFrame) -> DataFrame:
+    return df.withColumn("window_start", iso_utc("window_start")).withColumn("window_end", iso_utc("window_end"))
+
+
+def edits_per_wiki_minute_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _changelog_query(jobs.edit_count_stream, ["wiki", "window_start"], "a1-stream")
+    return _iso(run(spark, sf_dir))
+
+
+def page_edits_hopping_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _changelog_query(jobs.page_hopping_stream, ["wiki", "title", "window_start"], "a2-stream")
+    return _iso(run(spark, sf_dir))
+
+
+def bot_ratio_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _changelog_query(jobs.bot_ratio_stream, ["wiki"], "a3-stream")
+    return ops.with_bot_share(run(spark, sf_dir))
+
+
+def edit_stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _changelog_query(jobs.editor_counts_stream, ["wiki", "window_start", "user"], "a5-stream")
+    return _iso(jobs.roll_up_editor_counts(run(spark, sf_dir)))
+
+
+def edit_stats_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record the count changelog topic receives: ``(key, value)``."""
+    table, ckpt = scratch_path(spark, "topic-table"), scratch_path(spark, "topic-ckpt")
+
+    def start(stream: DataFrame, retry: bool = False):
+        records = jobs.stats_topic_records(jobs.edit_count_stream(_articles(stream)))
+        return jobs.start_topic_sink(records, ckpt, path=table, trigger=AVAILABLE_NOW)
+
+    run_over_slices(spark, sf_dir, start)
+    return jobs.read_changelog(spark, table).select("key", "value")
+
+
+def changelog_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals through the changelog with a failure injected after a
+    batch was written; the restarted query replays that batch over its own
+    output, and the latest view still equals the batch answer."""
+    table, ckpt = scratch_path(spark, "s5-table"), scratch_path(spark, "s5-ckpt")
+
+    def start(stream: DataFrame, retry: bool = False):
+        fail_at = None if retry else 1
+        return jobs.start_changelog(
+            jobs.bot_ratio_stream(_articles(stream)), table, ckpt, AVAILABLE_NOW, fail_once_after_batch=fail_at
+        )
+
+    run_over_slices(spark, sf_dir, start, restart_on_injected_failure=True)
+    return ops.with_bot_share(jobs.read_latest(spark, table, ["wiki"]))
+
+
+def ingest_edits_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ingest filter as a stream into an exactly-once Parquet file sink."""
+    out, ckpt = scratch_path(spark, "ingest-out"), scratch_path(spark, "ingest-ckpt")
+
+    def start(stream: DataFrame, retry: bool = False):
+        return jobs.start_ingest(stream, ckpt, path=out, trigger=AVAILABLE_NOW)
+
+    run_over_slices(spark, sf_dir, start)
+    return spark.read.parquet(out).select("offset", "key", "value")
+
+
+STREAM_QUERIES = {
+    "edits_per_wiki_minute_stream": edits_per_wiki_minute_stream,
+    "page_edits_hopping_stream": page_edits_hopping_stream,
+    "bot_ratio_stream": bot_ratio_stream,
+    "edit_stats_stream": edit_stats_stream,
+    "edit_stats_topic": edit_stats_topic,
+    "changelog_latest": changelog_latest,
+    "ingest_edits_stream": ingest_edits_stream,
+}
