@@ -15,6 +15,13 @@ def parse_edits(envelope: DataFrame, strict: bool = False, keep_raw: bool = Fals
     Defaults apply after the reject decision: missing or null ``namespace``
     -> 0, ``comment`` -> "", ``length`` -> null. ``server_name`` is exposed as
     ``serverName``. The record time becomes ``event_time``.
+
+    The body is parsed exactly once per record. A ``where`` on the decoded
+    struct would be pushed below the projection that decodes it, and the
+    optimizer would then parse the text once for the filter and again for the
+    output. Instead each record becomes an array of zero or one decoded rows
+    (``when(accepted, array(row))``, null otherwise) flattened by ``inline`` -- one parse, and
+    the accept decision and the output share it.
     """
     decoded = envelope.select(
         "offset", "partition", "key", "timestamp", "value", decode_body("value").alias("_body")
@@ -39,7 +46,8 @@ def parse_edits(envelope: DataFrame, strict: bool = False, keep_raw: bool = Fals
     ]
     if keep_raw:
         cols.append(F.col("value"))
-    out = decoded.where(body_accepted(body, "value", strict)).select(*cols)
+    # inline(NULL) emits no rows, so a rejected record simply disappears
+    out = decoded.select(F.inline(F.when(body_accepted(body, "value", strict), F.array(F.struct(*cols)))))
     assert [c for c in out.columns if c != "value"] == list(EDIT_COLUMNS)
     return out
 

@@ -113,10 +113,19 @@ def events_envelope(
             event_id % MALFORMED_EVERY == 0, value.substr(F.lit(1), F.length(value) - F.lit(MALFORMED_CUT))
         ).otherwise(value)
 
-    return ev.select(
+    out = ev.select(
         wiki.alias("key"),
         value.alias("value"),
         F.timestamp_micros(event_us).alias("timestamp"),
         (user_id % len(WIKIS)).cast("int").alias("partition"),
         event_id.alias("offset"),
     )
+    # A whole-table read of a file with few row groups yields fewer splits than
+    # cores; spread it so decoding runs in parallel. A cluster-scale input has
+    # far more splits than cores and is left alone; a time-ranged read is
+    # small and left alone.
+    if time_range is None:
+        cores = spark.sparkContext.defaultParallelism
+        if out.rdd.getNumPartitions() < cores:
+            out = out.repartition(cores)
+    return out
