@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 UTC = "UTC"
 
@@ -73,3 +73,17 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique directory path under the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/changefold/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table under the shared checkpoint directory
+    and return a DataFrame reading it.
+
+    Cuts the lineage (a lost executor re-reads the table instead of
+    recomputing its inputs) and turns an expensive row source -- e.g. JSON
+    decoding -- into a columnar one that later reads prune to the columns
+    they use.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
