@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from changefold.functions import body_accepted, decode_body, is_article_edit, length_delta, page_key, split_page_key
 from changefold.schema import EDIT_COLUMNS
 
+BODY_COL = "_body"
+
 
 def parse_edits(envelope: DataFrame, strict: bool = False, keep_raw: bool = False) -> DataFrame:
     """Envelope -> one row per well-formed edit; undecodable records are dropped.
@@ -21,12 +23,13 @@ def parse_edits(envelope: DataFrame, strict: bool = False, keep_raw: bool = Fals
     optimizer would then parse the text once for the filter and again for the
     output. Instead each record becomes an array of zero or one decoded rows
     (``when(accepted, array(row))``, null otherwise) flattened by ``inline`` -- one parse, and
-    the accept decision and the output share it.
+    the accept decision and the output share it. An envelope that already
+    carries the decoded body in ``_body`` (see ``observe_ingest``) is not
+    decoded again.
     """
-    decoded = envelope.select(
-        "offset", "partition", "key", "timestamp", "value", decode_body("value").alias("_body")
-    )
-    body = F.col("_body")
+    body_col = F.col(BODY_COL) if BODY_COL in envelope.columns else decode_body("value")
+    decoded = envelope.select("offset", "partition", "key", "timestamp", "value", body_col.alias(BODY_COL))
+    body = F.col(BODY_COL)
     cols = [
         F.col("offset"),
         F.col("partition"),
@@ -88,15 +91,25 @@ def ingest_counters(envelope: DataFrame, strict: bool = False) -> DataFrame:
     return decoded.agg(*_counter_columns(F.col("_body"), "value", strict))
 
 
-def observe_ingest(envelope: DataFrame, name: str = "ingest", strict: bool = False) -> tuple[DataFrame, Observation]:
-    """Attach the ingest counters to a running pipeline without a second pass.
+def observe_ingest(
+    envelope: DataFrame, name: str = "ingest", strict: bool = False
+) -> tuple[DataFrame, Observation | None]:
+    """Attach the ingest counters to a running job without a second pass or
+    a second parse.
 
-    Returns the envelope (with its decoded body in ``_body``) and an
-    ``Observation`` whose ``get`` holds the counters once an action ran.
+    Returns the envelope with its decoded body in ``_body`` (``parse_edits``
+    and ``ingest_edits`` reuse it) and, for a batch DataFrame, an
+    ``Observation`` whose ``get`` holds the counters after an action. For a
+    stream the counters are reported per micro-batch under ``name`` in
+    ``StreamingQuery.lastProgress["observedMetrics"]`` (the second value is
+    then ``None``).
     """
+    decoded = envelope.withColumn(BODY_COL, decode_body("value"))
+    counters = _counter_columns(F.col(BODY_COL), "value", strict)
+    if envelope.isStreaming:
+        return decoded.observe(name, *counters), None
     obs = Observation(name)
-    decoded = envelope.withColumn("_body", decode_body("value"))
-    return decoded.observe(obs, *_counter_columns(F.col("_body"), "value", strict)), obs
+    return decoded.observe(obs, *counters), obs
 
 
 def rekey_pages(edits: DataFrame) -> DataFrame:

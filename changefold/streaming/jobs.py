@@ -187,8 +187,13 @@ def start_ingest(
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """S3: filtered raw records ``(key = wiki, value = raw JSON)`` to a topic,
-    or to a Parquet file sink (exactly-once through its commit log)."""
-    out = ops.ingest_edits(envelope_stream)
+    or to a Parquet file sink (exactly-once through its commit log).
+
+    Each micro-batch reports received/published/skipped counters under
+    ``observedMetrics["ingest"]`` in the query progress (A6).
+    """
+    observed, _ = ops.observe_ingest(envelope_stream, name="ingest")
+    out = ops.ingest_edits(observed)
     trig = trigger or {"processingTime": "1 second"}
     if kafka_options is not None:
         from changefold.sources.envelope import RAW_TOPIC

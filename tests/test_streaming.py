@@ -77,3 +77,20 @@ def test_topic_receives_one_record_per_update(spark):
 def test_ingest_stream_is_exactly_once_on_rerun(spark):
     out = stream_catalog.ingest_edits_stream(spark, SMOKE)
     assert _sorted(out) == _sorted(catalog.ingest_edits(spark, SMOKE))
+
+
+def test_ingest_stream_reports_counters_per_batch(spark):
+    from tests.test_decode import _GOOD
+
+    landing, out, ckpt = (scratch_path(spark, n) for n in ("ing-landing", "ing-out", "ing-ckpt"))
+    values = [_GOOD, edit_json(type="log"), edit_json(namespace=1), "{bad"]
+    envelope(spark, [("enwiki", v, i) for i, v in enumerate(values)]).write.parquet(landing)
+    q = jobs.start_ingest(read_envelope_stream(spark, landing), ckpt, path=out, trigger={"availableNow": True})
+    q.awaitTermination()
+    metrics = [p.observedMetrics["ingest"].asDict() for p in q.recentProgress if p.observedMetrics]
+    assert metrics[0] == {
+        "received": 4, "published": 1, "skipped": 3, "skipped_unparsable": 1, "skipped_type": 1, "skipped_namespace": 1
+    }
+    assert spark.read.parquet(out).count() == 1
+    plan = ops.ingest_edits(ops.observe_ingest(envelope(spark, [("enwiki", _GOOD, 0)]))[0])
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
