@@ -1,13 +1,16 @@
 """The whole edit-stream layout as a set of streaming queries.
 
-    envelope stream --decode once, keep article edits--> landed edits (Parquet, exactly-once)
+    envelope stream --decode once, keep article edits--> landed edits (Parquet, exactly-once,
+                                                          partitioned by event hour)
         landed edits --> per-wiki minute counts   --> changelog table  (+ count topic records)
         landed edits --> per-page hopping counts  --> changelog table
         landed edits --> running bot/human totals --> changelog table
 
 Decoding happens once; each aggregate reads the landed columns it needs. Each
 query has its own checkpoint under ``root`` (which must be on shared storage),
-so any of them can be restarted on its own.
+so any of them can be restarted on its own. The landed edits are partitioned
+by event hour, so a time-bounded read (``read_landed_edits``) opens only the
+hours it needs and prunes row groups inside them by ``event_time``.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from changefold import operators as ops
@@ -42,15 +46,26 @@ AGGREGATES = {
 }
 
 
+HOUR_COL = "event_hour"
+HOUR_FORMAT = "yyyy-MM-dd-HH"
+
+
+def _event_hour(ts):
+    return F.date_format(ts, HOUR_FORMAT)
+
+
 def edits_schema(spark: SparkSession):
-    return ops.parse_edits(spark.createDataFrame([], ENVELOPE)).schema
+    edits = ops.parse_edits(spark.createDataFrame([], ENVELOPE))
+    return edits.withColumn(HOUR_COL, _event_hour("event_time")).schema
 
 
 def start_landing(envelope_stream: DataFrame, layout: Layout, trigger: dict | None = None) -> StreamingQuery:
-    """Decode and filter once; land article edits as Parquet (file sink, exactly-once)."""
-    edits = ops.article_edits(ops.parse_edits(envelope_stream))
+    """Decode and filter once; land article edits as Parquet (file sink,
+    exactly-once), partitioned by event hour."""
+    edits = ops.article_edits(ops.parse_edits(envelope_stream)).withColumn(HOUR_COL, _event_hour("event_time"))
     return (
         edits.writeStream.format("parquet")
+        .partitionBy(HOUR_COL)
         .option("path", layout.table("edits"))
         .option("checkpointLocation", layout.checkpoint("edits"))
         .outputMode("append")
@@ -63,6 +78,21 @@ def landed_edits_stream(spark: SparkSession, layout: Layout) -> DataFrame:
     return spark.readStream.schema(edits_schema(spark)).parquet(layout.table("edits"))
 
 
+def read_landed_edits(spark: SparkSession, layout: Layout, time_range: tuple | None = None) -> DataFrame:
+    """Batch read of the landed edits; ``time_range=(lo, hi)`` keeps
+    ``lo <= event_time < hi`` and prunes hour partitions outside it."""
+    edits = spark.read.schema(edits_schema(spark)).parquet(layout.table("edits"))
+    if time_range is not None:
+        lo, hi = time_range
+        edits = edits.where(
+            (F.col(HOUR_COL) >= F.lit(lo.strftime("%Y-%m-%d-%H")))
+            & (F.col(HOUR_COL) <= F.lit(hi.strftime("%Y-%m-%d-%H")))
+            & (F.col("event_time") >= F.lit(lo))
+            & (F.col("event_time") < F.lit(hi))
+        )
+    return edits
+
+
 def start_aggregates(spark: SparkSession, layout: Layout, trigger: dict | None = None) -> dict[str, StreamingQuery]:
     """Start the three aggregates and the count topic records off the landed edits."""
     jobs.configure_streaming(spark)

@@ -42,3 +42,28 @@ def test_layout_equals_batch(spark):
     topic = spark.read.parquet(layout.table("edit_stats_topic"))
     assert topic.count() == counts.count()
     assert topic.agg(F.sum(F.col("value").cast("long"))).collect()[0][0] == counts.agg(F.sum("edit_count")).collect()[0][0]
+
+
+def test_reports_over_landed_edits_prune_hours(spark):
+    import datetime as dt
+
+    from changefold import operators as ops
+    from changefold.plans import reports
+    from changefold.sources.testdata import AS_OF
+
+    sf = "/root/testdata/sf0.01"
+    layout = topology.Layout(scratch_path(spark, "layout-r"))
+    inbox = scratch_path(spark, "inbox-r")
+    events_envelope(spark, sf).write.parquet(inbox)
+    topology.start_landing(read_envelope_stream(spark, inbox), layout, NOW).awaitTermination()
+
+    span = reports.event_span(AS_OF, reports.HOT_LOOKBACK, reports.HOPPING_SIZE)
+    landed = topology.read_landed_edits(spark, layout, span)
+    got = reports.hot_pages(ops.hopping_counts(landed), AS_OF, limit=10)
+    assert _sorted(got) == _sorted(catalog.hot_pages(spark, sf))
+
+    plan = landed._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_hour" in plan and "PushedFilters: [IsNotNull(event_time)" in plan
+    hours = sorted(r[0] for r in landed.select("event_hour").distinct().collect())
+    assert hours == ["2024-01-01-05", "2024-01-01-06"]  # span 05:55:30 .. 06:05:30
+    assert isinstance(span[0], dt.datetime)
