@@ -62,6 +62,18 @@ def stats_by_wiki(
     )
 
 
+def limit_from_param(text: str | None) -> int:
+    """A ``limit`` given as request text: missing or not an integer -> the
+    default (20); an integer below 1 is refused."""
+    try:
+        value = int(text.strip()) if text is not None else DEFAULT_HOT_PAGES
+    except ValueError:
+        value = DEFAULT_HOT_PAGES
+    if value < 1:
+        raise ValueError(f"limit must be >= 1, got {value}")
+    return value
+
+
 def hot_pages(
     page_windows: DataFrame,
     as_of: dt.datetime,

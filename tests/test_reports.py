@@ -94,3 +94,14 @@ def test_bot_ratio_report_from_edits(spark):
     recs = [("enwiki", edit_json(bot=b), i) for i, b in enumerate([True, False, False])]
     row = reports.bot_ratio_report(ops.bot_totals(_articles(spark, recs))).collect()[0]
     assert tuple(row) == ("enwiki", 3, 1, 2, 33.33)
+
+
+@pytest.mark.parametrize("text,value", [(None, 20), ("", 20), ("abc", 20), ("7", 7), (" 100 ", 100), ("2.5", 20)])
+def test_limit_from_param(text, value):
+    assert reports.limit_from_param(text) == value
+
+
+@pytest.mark.parametrize("text", ["0", "-3"])
+def test_limit_from_param_rejects_non_positive(text):
+    with pytest.raises(ValueError):
+        reports.limit_from_param(text)
