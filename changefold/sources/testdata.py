@@ -66,6 +66,13 @@ def events_envelope(
     """
     ensure_utc(spark)
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # A whole-table read of a file with few row groups yields fewer splits than
+    # cores; such input is spread so decoding runs in parallel. A cluster-scale
+    # input has far more splits than cores and is left alone; a time-ranged
+    # read is small and left alone. (Counted on the bare scan: the mapping
+    # below is narrow and keeps its partitioning.)
+    cores = spark.sparkContext.defaultParallelism
+    spread = time_range is None and ev.rdd.getNumPartitions() < cores
     if time_range is not None:
         lo_us, hi_us = _us(time_range[0]), _us(time_range[1])
         slack = LATE_SHIFT_US if late else 0
@@ -120,12 +127,4 @@ def events_envelope(
         (user_id % len(WIKIS)).cast("int").alias("partition"),
         event_id.alias("offset"),
     )
-    # A whole-table read of a file with few row groups yields fewer splits than
-    # cores; spread it so decoding runs in parallel. A cluster-scale input has
-    # far more splits than cores and is left alone; a time-ranged read is
-    # small and left alone.
-    if time_range is None:
-        cores = spark.sparkContext.defaultParallelism
-        if out.rdd.getNumPartitions() < cores:
-            out = out.repartition(cores)
-    return out
+    return out.repartition(cores) if spread else out
