@@ -150,6 +150,7 @@ FROM raw"""
   CAST(length_new AS BIGINT) - CAST(length_old AS BIGINT) AS delta FROM edits"""
     )
     q["sse_frames"] = _with("SELECT value AS payload FROM raw")
+    q["sse_ingest"] = _with("SELECT wiki AS key, value FROM articles")
     q["edits_per_wiki_minute"] = _with(_tumbling_counts("articles"))
     q["page_edits_hopping"] = _with(_hopping_counts_sql())
     q["bot_ratio"] = _with(_bot_totals_sql())

@@ -88,6 +88,17 @@ def sse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     two ``data:`` lines, every 17th frame has an ignored ``data:`` line
     without the space, and heartbeat comment frames sit between them.
     """
+    return sse.read_sse_frames(spark, _land_sse_dump(spark, sf_dir))
+
+
+def sse_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The producer path: SSE dump -> frames -> decode -> article filter ->
+    ``(key = wiki, value = raw payload)`` records."""
+    payloads = sse.read_sse_frames(spark, _land_sse_dump(spark, sf_dir))
+    return ops.ingest_edits(sse.payload_envelope(payloads)).select("key", "value")
+
+
+def _land_sse_dump(spark: SparkSession, sf_dir: str) -> str:
     env = events_envelope(spark, sf_dir)
     offset = F.col("offset")
     split_at = F.when(offset % 7 == 3, F.lit(20)).otherwise(F.lit(0))
@@ -97,7 +108,7 @@ def sse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     dump = env.select(frame.alias("value")).unionByName(heartbeats)
     path = scratch_path(spark, "sse-dump")
     dump.write.mode("overwrite").option("lineSep", "\n\n").text(path)
-    return sse.read_sse_frames(spark, path)
+    return path
 
 
 # --- aggregates -------------------------------------------------------------------
@@ -171,6 +182,7 @@ BATCH_QUERIES: dict[str, Query] = {
     "split_page_key": split_page_key,
     "edit_length_delta": edit_length_delta,
     "sse_frames": sse_frames,
+    "sse_ingest": sse_ingest,
     "edits_per_wiki_minute": edits_per_wiki_minute,
     "page_edits_hopping": page_edits_hopping,
     "bot_ratio": bot_ratio,

@@ -63,3 +63,21 @@ def sse_frame_text(payload: Column, event_id: Column, split_at: Column | None =
     rest = payload.substr(split_at + 1, F.length(payload))
     two_lines = F.concat(head, F.lit(DATA_PREFIX), first, F.lit("\n" + DATA_PREFIX), rest)
     return F.when(split_at > 0, two_lines).otherwise(F.concat(head, F.lit(DATA_PREFIX), payload))
+
+
+def payload_envelope(payloads: DataFrame) -> DataFrame:
+    """Decoded SSE payloads as envelope records, ready for the ingest filter.
+
+    ``value`` is the payload text unchanged. A dump carries no record time, so
+    ``timestamp`` comes from the body's own ``timestamp`` (epoch seconds; null
+    when it cannot be read); the key is set by the ingest from the body, and a
+    dump has no partition or offset.
+    """
+    seconds = F.get_json_object("payload", "$.timestamp").cast("bigint")
+    return payloads.select(
+        F.lit(None).cast("string").alias("key"),
+        F.col("payload").alias("value"),
+        F.timestamp_seconds(seconds).alias("timestamp"),
+        F.lit(None).cast("int").alias("partition"),
+        F.lit(None).cast("bigint").alias("offset"),
+    )

@@ -67,3 +67,25 @@ def test_reports_over_landed_edits_prune_hours(spark):
     hours = sorted(r[0] for r in landed.select("event_hour").distinct().collect())
     assert hours == ["2024-01-01-05", "2024-01-01-06"]  # span 05:55:30 .. 06:05:30
     assert isinstance(span[0], dt.datetime)
+
+
+def test_reports_over_changelog_push_the_window_filter(spark):
+    from changefold.plans import reports
+    from changefold.sources.testdata import AS_OF
+
+    sf = "/root/testdata/sf0.01"
+    layout = topology.Layout(scratch_path(spark, "layout-c"))
+    inbox = scratch_path(spark, "inbox-c")
+    events_envelope(spark, sf).write.parquet(inbox)
+    topology.start_landing(read_envelope_stream(spark, inbox), layout, NOW).awaitTermination()
+    topology.start_aggregates(spark, layout, NOW)["edit_counts"].awaitTermination()
+
+    report = reports.stats_all(topology.current_table(spark, layout, "edit_counts"), AS_OF)
+    assert _sorted(report) == _sorted(catalog.stats_all(spark, sf))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        plan = report._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters"):]
+    assert "GreaterThanOrEqual(window_start" in pushed and "LessThanOrEqual(window_start" in pushed
