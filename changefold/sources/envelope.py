@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from changefold.schema import ENVELOPE
 
-# Default topic names of the pipeline.
+# Default topic names (raw records, count updates).
 RAW_TOPIC = "wiki.raw-edits"
 STATS_TOPIC = "wiki.edit-stats"
 

@@ -98,7 +98,7 @@ def roll_up_editor_counts(per_user: DataFrame) -> DataFrame:
 def stats_topic_records(counts: DataFrame, keep_window: bool = False) -> DataFrame:
     """S4/P15: each count update as a topic record ``(key = wiki, value = "n")``.
 
-    As in the original pipeline the window is dropped from the record; pass
+    As in the original topic, the window is dropped from the record; pass
     ``keep_window=True`` for the variant that keeps it (ISO text bounds).
     """
     cols = [F.col("wiki").alias("key"), F.col("edit_count").cast("string").alias("value")]

@@ -39,7 +39,7 @@ def edit_json(
         "user": user,
         "bot": bot,
         "timestamp": timestamp,
-        "server_name": f"{wiki}.wikipedia.org",
+        "server_name": f"{wiki}.example.org",
         "namespace": namespace,
     }
     body.update(extra)

@@ -25,7 +25,7 @@ def _forwarded(spark, value) -> bool:
 def test_valid_edit_is_parsed(spark):
     row = _parse(spark, [edit_json(title="Quantum mechanics")]).collect()[0]
     assert (row.type, row.wiki, row.title, row.namespace, row.bot) == ("edit", "enwiki", "Quantum mechanics", 0, False)
-    assert row.serverName == "enwiki.wikipedia.org" and row.timestamp == 1705312800
+    assert row.serverName == "enwiki.example.org" and row.timestamp == 1705312800
 
 
 def test_bot_flag_is_parsed(spark):
