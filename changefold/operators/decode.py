@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from changefold.functions import body_accepted, decode_body, is_article_edit, length_delta, page_key, split_page_key
-from changefold.schema import EDIT_COLUMNS
+from changefold.functions import (
+    ARTICLE_NAMESPACE,
+    ARTICLE_TYPES,
+    body_accepted,
+    decode_body,
+    is_article_edit,
+    length_delta,
+    page_key,
+    split_page_key,
+)
 
 BODY_COL = "_body"
 
@@ -22,10 +30,10 @@ def parse_edits(envelope: DataFrame, strict: bool = False, keep_raw: bool = Fals
     struct would be pushed below the projection that decodes it, and the
     optimizer would then parse the text once for the filter and again for the
     output. Instead each record becomes an array of zero or one decoded rows
-    (``when(accepted, array(row))``, null otherwise) flattened by ``inline`` -- one parse, and
-    the accept decision and the output share it. An envelope that already
-    carries the decoded body in ``_body`` (see ``observe_ingest``) is not
-    decoded again.
+    (``when(accepted, array(row))``, null otherwise) flattened by ``inline``:
+    one parse, shared by the accept decision and the output. An envelope that
+    already carries the decoded body in ``_body`` (see ``observe_ingest``) is
+    not decoded again.
     """
     body_col = F.col(BODY_COL) if BODY_COL in envelope.columns else decode_body("value")
     decoded = envelope.select("offset", "partition", "key", "timestamp", "value", body_col.alias(BODY_COL))
@@ -50,9 +58,7 @@ def parse_edits(envelope: DataFrame, strict: bool = False, keep_raw: bool = Fals
     if keep_raw:
         cols.append(F.col("value"))
     # inline(NULL) emits no rows, so a rejected record simply disappears
-    out = decoded.select(F.inline(F.when(body_accepted(body, "value", strict), F.array(F.struct(*cols)))))
-    assert [c for c in out.columns if c != "value"] == list(EDIT_COLUMNS)
-    return out
+    return decoded.select(F.inline(F.when(body_accepted(body, "value", strict), F.array(F.struct(*cols)))))
 
 
 def article_edits(edits: DataFrame) -> DataFrame:
@@ -72,8 +78,8 @@ def ingest_edits(envelope: DataFrame, strict: bool = False) -> DataFrame:
 
 def _counter_columns(body: Column, value: Column | str = "value", strict: bool = False) -> list[Column]:
     accepted = body_accepted(body, value, strict)
-    type_ok = body["type"].isin("edit", "new")
-    ns_ok = F.coalesce(body["namespace"], F.lit(0)) == 0
+    type_ok = body["type"].isin(*ARTICLE_TYPES)
+    ns_ok = F.coalesce(body["namespace"], F.lit(0)) == F.lit(ARTICLE_NAMESPACE)
     return [
         F.count(F.lit(1)).alias("received"),
         F.count_if(accepted & type_ok & ns_ok).alias("published"),

@@ -22,6 +22,14 @@ def _forwarded(spark, value) -> bool:
     return ops.ingest_edits(env).count() == 1
 
 
+def test_decoded_columns(spark):
+    from changefold.schema import EDIT_COLUMNS
+
+    assert tuple(_parse(spark, [edit_json()]).columns) == EDIT_COLUMNS
+    env = envelope(spark, [("enwiki", edit_json(), 0)])
+    assert tuple(ops.parse_edits(env, keep_raw=True).columns) == EDIT_COLUMNS + ("value",)
+
+
 def test_valid_edit_is_parsed(spark):
     row = _parse(spark, [edit_json(title="Quantum mechanics")]).collect()[0]
     assert (row.type, row.wiki, row.title, row.namespace, row.bot) == ("edit", "enwiki", "Quantum mechanics", 0, False)
