@@ -131,6 +131,7 @@ def _queries() -> dict[str, str]:
         'SELECT "offset", "partition", wiki AS key, value, t_us AS timestamp_us FROM raw'
     )
     q["parse_edits"] = _with(f"SELECT {_EDIT_COLS} FROM edits")
+    q["parse_edits_strict"] = q["parse_edits"]
     q["article_edits"] = _with(f"SELECT {_EDIT_COLS} FROM articles")
     q["ingest_edits"] = _with('SELECT "offset", wiki AS key, value FROM articles')
     q["ingest_counters"] = _with(
@@ -208,6 +209,10 @@ FROM articles GROUP BY wiki"""
     q["ingest_edits_stream"] = q["ingest_edits"]
     q["edit_stats_topic"] = _with(
         f"""SELECT wiki AS key, CAST(count(*) AS VARCHAR) AS value
+FROM (SELECT wiki, {_TUMBLE} AS s FROM articles) GROUP BY wiki, s"""
+    )
+    q["edit_stats_topic_windowed"] = _with(
+        f"""SELECT wiki AS key, CAST(count(*) AS VARCHAR) AS value, {_iso('s')} AS window_start
 FROM (SELECT wiki, {_TUMBLE} AS s FROM articles) GROUP BY wiki, s"""
     )
     return q

@@ -56,6 +56,11 @@ def parse_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edit_rows(_edits(spark, sf_dir))
 
 
+def parse_edits_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoding with JSON token-type checks on every string field."""
+    return _edit_rows(ops.parse_edits(events_envelope(spark, sf_dir), strict=True))
+
+
 def article_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edit_rows(_articles(spark, sf_dir))
 
@@ -175,6 +180,7 @@ def bot_ratio_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 BATCH_QUERIES: dict[str, Query] = {
     "raw_edits_scan": raw_edits_scan,
     "parse_edits": parse_edits,
+    "parse_edits_strict": parse_edits_strict,
     "article_edits": article_edits,
     "ingest_edits": ingest_edits,
     "ingest_counters": ingest_counters,

@@ -100,16 +100,25 @@ def edit_stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _iso(jobs.roll_up_editor_counts(run(spark, sf_dir)))
 
 
-def edit_stats_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record the count changelog topic receives: ``(key, value)``."""
+def _topic(spark: SparkSession, sf_dir: str, keep_window: bool) -> DataFrame:
     table, ckpt = scratch_path(spark, "topic-table"), scratch_path(spark, "topic-ckpt")
 
     def start(stream: DataFrame, retry: bool = False):
-        records = jobs.stats_topic_records(jobs.edit_count_stream(_articles(stream)))
+        records = jobs.stats_topic_records(jobs.edit_count_stream(_articles(stream)), keep_window=keep_window)
         return jobs.start_topic_sink(records, ckpt, path=table, trigger=AVAILABLE_NOW)
 
     run_over_slices(spark, sf_dir, start)
-    return jobs.read_changelog(spark, table).select("key", "value")
+    return jobs.read_changelog(spark, table).drop(jobs.BATCH_COL)
+
+
+def edit_stats_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record the count changelog topic receives: ``(key, value)``."""
+    return _topic(spark, sf_dir, keep_window=False)
+
+
+def edit_stats_topic_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records keeping the window start: ``(key, value, window_start)``."""
+    return _topic(spark, sf_dir, keep_window=True)
 
 
 def changelog_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +154,7 @@ STREAM_QUERIES = {
     "bot_ratio_stream": bot_ratio_stream,
     "edit_stats_stream": edit_stats_stream,
     "edit_stats_topic": edit_stats_topic,
+    "edit_stats_topic_windowed": edit_stats_topic_windowed,
     "changelog_latest": changelog_latest,
     "ingest_edits_stream": ingest_edits_stream,
 }
