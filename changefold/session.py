@@ -17,8 +17,8 @@ UTC = "UTC"
 
 
 def build_session(
-    master: str = "local[*]",
-    shuffle_partitions: int = 8,
+    master: str | None = "local[*]",
+    shuffle_partitions: int | None = 8,
     app_name: str = "changefold",
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
@@ -28,18 +28,22 @@ def build_session(
     * AQE on: coalesces small shuffle partitions, splits skewed ones and
       turns a join into a broadcast only after measuring its build side;
     * UI off: no listening port.
+
+    ``master=None`` and ``shuffle_partitions=None`` leave those to
+    ``spark-submit`` and the cluster configuration.
     """
+    builder = SparkSession.builder if master is None else SparkSession.builder.master(master)
     builder = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
+        builder.appName(app_name)
         .config("spark.sql.session.timeZone", UTC)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.streaming.statefulOperator.allowMultiple", "false")
     )
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
