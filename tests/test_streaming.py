@@ -94,3 +94,19 @@ def test_ingest_stream_reports_counters_per_batch(spark):
     assert spark.read.parquet(out).count() == 1
     plan = ops.ingest_edits(ops.observe_ingest(envelope(spark, [("enwiki", _GOOD, 0)]))[0])
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_second_run_without_new_input_changes_nothing(spark):
+    jobs.configure_streaming(spark)
+    landing, table, ckpt = (scratch_path(spark, n) for n in ("idle-landing", "idle-table", "idle-ckpt"))
+    envelope(spark, [("enwiki", edit_json(bot=b), i) for i, b in enumerate([True, False, False])]).write.parquet(landing)
+
+    def run():
+        stream = ops.article_edits(ops.parse_edits(read_envelope_stream(spark, landing)))
+        jobs.start_changelog(jobs.bot_ratio_stream(stream), table, ckpt, {"availableNow": True}).awaitTermination()
+        return [tuple(r) for r in jobs.read_latest(spark, table, ["wiki"]).collect()]
+
+    first = run()
+    assert first == [("enwiki", 3, 1)]
+    assert run() == first
+    assert jobs.read_changelog(spark, table).count() == 1
