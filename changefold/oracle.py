@@ -193,6 +193,31 @@ WHERE wiki = 'enwiki' AND window_start BETWEEN {_iso(str(as_of - 300_000_000))}
 SELECT wiki, title, c AS edit_count, {_iso('s')} AS window_start, {_iso(f's + {5 * _MIN_US}')} AS window_end
 FROM ranked WHERE rn = 1 ORDER BY c DESC, wiki, title LIMIT 10"""
     )
+    q["stats_all_late"] = _with(
+        f""", {_late_timed()}, c AS (
+  SELECT wiki, s, CAST(count(*) AS BIGINT) AS edit_count
+  FROM (SELECT wiki, {_TUMBLE} AS s, stream_time FROM timed)
+  WHERE s + {_MIN_US} > stream_time GROUP BY wiki, s
+)
+SELECT wiki, {_iso('s')} AS window_start, {_iso(f's + {_MIN_US}')} AS window_end, edit_count
+FROM c WHERE s BETWEEN {as_of - 120_000_000} AND {as_of}""",
+        late=True,
+    )
+    q["hot_pages_late"] = _with(
+        f""", {_late_timed()}, hw AS (
+  SELECT wiki, title, s, CAST(count(*) AS BIGINT) AS c
+  FROM (SELECT wiki, title, {_TUMBLE} - i * {_MIN_US} AS s, stream_time
+        FROM timed, unnest([0, 1, 2, 3, 4]) AS h(i))
+  WHERE s + {5 * _MIN_US} > stream_time - 30000000
+  GROUP BY wiki, title, s
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY wiki, title ORDER BY c DESC, s) AS rn
+  FROM hw WHERE s BETWEEN {as_of - 300_000_000} AND {as_of}
+)
+SELECT wiki, title, c AS edit_count, {_iso('s')} AS window_start, {_iso(f's + {5 * _MIN_US}')} AS window_end
+FROM ranked WHERE rn = 1 ORDER BY c DESC, wiki, title LIMIT 10""",
+        late=True,
+    )
     q["bot_ratio_report"] = _with(
         """SELECT wiki, CAST(count(*) AS BIGINT) AS total_edits,
   CAST(count(*) FILTER (WHERE bot) AS BIGINT) AS bot_edits,
