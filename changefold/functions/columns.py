@@ -50,9 +50,11 @@ def guarded_ratio(part: Column | str, total: Column | str) -> Column:
 
 
 def bot_ratio_pct(bot: Column | str, total: Column | str) -> Column:
-    """Bot share in percent, rounded half-up to 2 places; 0.0 for no edits."""
-    pct = _c(bot).cast("double") * F.lit(100.0) / _c(total).cast("double")
-    return F.when(_c(total) > 0, F.round(pct, 2)).otherwise(F.lit(0.0))
+    """Bot share in percent, rounded half-up to 2 places; 0.0 for no edits.
+
+    Computed as ``(bot / total) * 100`` -- ratio first, as the original does --
+    so ties round the same way."""
+    return F.round(guarded_ratio(bot, total) * F.lit(100.0), 2)
 
 
 def iso_utc(ts: Column | str) -> Column:

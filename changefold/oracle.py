@@ -222,7 +222,7 @@ FROM ranked WHERE rn = 1 ORDER BY c DESC, wiki, title LIMIT 10""",
         """SELECT wiki, CAST(count(*) AS BIGINT) AS total_edits,
   CAST(count(*) FILTER (WHERE bot) AS BIGINT) AS bot_edits,
   CAST(count(*) - count(*) FILTER (WHERE bot) AS BIGINT) AS human_edits,
-  round(CAST(count(*) FILTER (WHERE bot) AS DOUBLE) * 100.0 / CAST(count(*) AS DOUBLE), 2) AS bot_ratio_pct
+  round(CAST(count(*) FILTER (WHERE bot) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0, 2) AS bot_ratio_pct
 FROM articles GROUP BY wiki"""
     )
     # Streaming forms land the same records and must reach the same answer.
