@@ -60,7 +60,8 @@ def with_stream_time(
 
 
 def _not_late(window_end: str, grace_seconds: int):
-    return F.unix_micros(F.col(window_end)) > F.unix_micros(F.col("stream_time")) - F.lit(int(grace_seconds) * 1_000_000)
+    grace_us = F.lit(int(grace_seconds) * 1_000_000)
+    return F.unix_micros(F.col(window_end)) > F.unix_micros(F.col("stream_time")) - grace_us
 
 
 def late_tumbling_counts(

@@ -26,7 +26,9 @@ def _window_cols(w: str = "_w"):
     return [F.col(f"{w}.start").alias("window_start"), F.col(f"{w}.end").alias("window_end")]
 
 
-def tumbling_counts(edits: DataFrame, size: str = TUMBLING, key_col: str = "key", time_col: str = "event_time") -> DataFrame:
+def tumbling_counts(
+    edits: DataFrame, size: str = TUMBLING, key_col: str = "key", time_col: str = "event_time"
+) -> DataFrame:
     """Edits per wiki per tumbling window: ``wiki, window_start, window_end, edit_count``."""
     return (
         _by_record_key(edits, key_col)
@@ -55,7 +57,9 @@ def hopping_counts(
     )
 
 
-def window_stats(edits: DataFrame, size: str = TUMBLING, key_col: str = "key", time_col: str = "event_time") -> DataFrame:
+def window_stats(
+    edits: DataFrame, size: str = TUMBLING, key_col: str = "key", time_col: str = "event_time"
+) -> DataFrame:
     """Full per-wiki window statistics (exact distinct editors).
 
     ``count_distinct`` is planned as a two-level aggregate (first on

@@ -10,4 +10,12 @@ from changefold.plans.reports import (
     stats_by_wiki,
 )
 
-__all__ = ["DEFAULT_HOT_PAGES", "bot_ratio_report", "event_span", "hot_pages", "limit_from_param", "stats_all", "stats_by_wiki"]
+__all__ = [
+    "DEFAULT_HOT_PAGES",
+    "bot_ratio_report",
+    "event_span",
+    "hot_pages",
+    "limit_from_param",
+    "stats_all",
+    "stats_by_wiki",
+]

@@ -25,7 +25,9 @@ TUMBLING_SIZE = dt.timedelta(minutes=1)
 HOPPING_SIZE = dt.timedelta(minutes=5)
 
 
-def event_span(as_of: dt.datetime, lookback: dt.timedelta, window_size: dt.timedelta) -> tuple[dt.datetime, dt.datetime]:
+def event_span(
+    as_of: dt.datetime, lookback: dt.timedelta, window_size: dt.timedelta
+) -> tuple[dt.datetime, dt.datetime]:
     """Record times ``[lo, hi)`` that can fall in a window starting in
     ``[as_of - lookback, as_of]``."""
     return as_of - lookback, as_of + window_size

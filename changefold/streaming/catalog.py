@@ -27,7 +27,9 @@ SLICE_SECONDS = 4 * 3600
 AVAILABLE_NOW = {"availableNow": True}
 
 
-def land_in_slices(spark: SparkSession, envelope: DataFrame, slice_seconds: int = SLICE_SECONDS) -> tuple[str, list[int]]:
+def land_in_slices(
+    spark: SparkSession, envelope: DataFrame, slice_seconds: int = SLICE_SECONDS
+) -> tuple[str, list[int]]:
     """Stage the envelope partitioned by time slice (one pass over the input)."""
     staging = scratch_path(spark, "staged-envelope")
     slice_col = F.floor(F.unix_seconds("timestamp") / F.lit(slice_seconds)).cast("bigint")

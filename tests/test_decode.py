@@ -6,7 +6,6 @@ from __future__ import annotations
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from changefold import operators as ops
 from tests.conftest import edit_json, envelope
