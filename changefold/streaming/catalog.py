@@ -45,20 +45,27 @@ def run_over_slices(
     restart_on_injected_failure: bool = False,
 ) -> None:
     """Feed the adapted records slice by slice; after each, run ``start(stream)``
-    to completion (``start`` builds and starts the streaming query)."""
+    to completion (``start`` builds and starts the streaming query).
+
+    The number of state partitions of a stateful query is fixed by
+    ``spark.sql.shuffle.partitions`` when its checkpoint is created; these
+    queries size it to the available cores (restoring the session's value
+    afterwards) instead of inheriting a batch-oriented setting such as 200.
+    """
     jobs.configure_streaming(spark)
     staging, slices = land_in_slices(spark, events_envelope(spark, sf_dir))
     landing = scratch_path(spark, "landing")
-    for s in slices:
-        spark.read.parquet(f"{staging}/_slice={s}").write.mode("append").parquet(landing)
-        query = start(read_envelope_stream(spark, landing))
-        try:
-            query.awaitTermination()
-        except StreamingQueryException as exc:
-            if not (restart_on_injected_failure and "injected failure" in str(exc)):
-                raise
-            query = start(read_envelope_stream(spark, landing), retry=True)
-            query.awaitTermination()
+    with jobs.state_partitions(spark, spark.sparkContext.defaultParallelism):
+        for s in slices:
+            spark.read.parquet(f"{staging}/_slice={s}").write.mode("append").parquet(landing)
+            query = start(read_envelope_stream(spark, landing))
+            try:
+                query.awaitTermination()
+            except StreamingQueryException as exc:
+                if not (restart_on_injected_failure and "injected failure" in str(exc)):
+                    raise
+                query = start(read_envelope_stream(spark, landing), retry=True)
+                query.awaitTermination()
 
 
 def _articles(stream: DataFrame) -> DataFrame:

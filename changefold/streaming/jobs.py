@@ -18,6 +18,7 @@ batch-exact form in ``operators.lateness``).
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,20 @@ def configure_streaming(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.statefulOperator.allowMultiple", "false")
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, n: int):
+    """Start stateful queries with ``n`` state partitions (the shuffle-partition
+    count is recorded in a new checkpoint and kept by every restart); the
+    session's own setting is restored on exit."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # --- the aggregates, as streaming plans ---------------------------------------------
 
 
