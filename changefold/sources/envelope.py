@@ -23,6 +23,22 @@ STATS_TOPIC = "wiki.edit-stats"
 _ENVELOPE_COLS = [f.name for f in ENVELOPE.fields]
 
 
+KAFKA_HINT = (
+    "the Kafka source/sink needs the spark-sql-kafka-0-10 connector on the classpath "
+    "(e.g. spark-submit --packages org.apache.spark:spark-sql-kafka-0-10_2.13:<spark version>)"
+)
+
+
+def _load_kafka(reader):
+    try:
+        return reader.load()
+    except Exception as exc:  # the connector is missing: say what to add
+        text = str(exc)
+        if "kafka" in text.lower() and ("DATA_SOURCE_NOT_FOUND" in text or "find data source" in text.lower()):
+            raise RuntimeError(KAFKA_HINT) from exc
+        raise
+
+
 def _kafka_envelope(df: DataFrame) -> DataFrame:
     return df.select(
         F.col("key").cast("string").alias("key"),
@@ -49,7 +65,7 @@ def read_envelope(
     opts = dict(options or {})
     if fmt == "kafka":
         opts.setdefault("subscribe", RAW_TOPIC)
-        df = _kafka_envelope(spark.read.format("kafka").options(**opts).load())
+        df = _kafka_envelope(_load_kafka(spark.read.format("kafka").options(**opts)))
     else:
         df = spark.read.schema(ENVELOPE).format(fmt).options(**opts).load(path).select(*_ENVELOPE_COLS)
     if time_range is not None:
@@ -68,5 +84,5 @@ def read_envelope_stream(
     opts = dict(options or {})
     if fmt == "kafka":
         opts.setdefault("subscribe", RAW_TOPIC)
-        return _kafka_envelope(spark.readStream.format("kafka").options(**opts).load())
+        return _kafka_envelope(_load_kafka(spark.readStream.format("kafka").options(**opts)))
     return spark.readStream.schema(ENVELOPE).format(fmt).options(**opts).load(path).select(*_ENVELOPE_COLS)

@@ -28,3 +28,12 @@ def test_envelope_shape(spark):
     assert env.columns == ["key", "value", "timestamp", "partition", "offset"]
     row = env.where("offset = 1").collect()[0]
     assert row.key == "frwiki" and row.partition == 2 and row.value.startswith('{"type":"edit","wiki":"frwiki"')
+
+
+def test_kafka_without_connector_says_what_to_add(spark):
+    from changefold.sources import read_envelope, read_envelope_stream
+
+    opts = {"kafka.bootstrap.servers": "localhost:1"}
+    for read in (read_envelope, read_envelope_stream):
+        with pytest.raises(RuntimeError, match="spark-sql-kafka"):
+            read(spark, fmt="kafka", options=opts)
