@@ -28,6 +28,10 @@ from changefold import operators as ops
 from changefold.functions import guarded_ratio
 from changefold.sources.envelope import STATS_TOPIC
 
+# Producer settings of the original sinks (all replicas
+# acknowledge, idempotent producer, 3 retries); callers may override them.
+KAFKA_PRODUCER_DEFAULTS = {"kafka.acks": "all", "kafka.enable.idempotence": "true", "kafka.retries": "3"}
+
 TUMBLING_GRACE = "0 seconds"
 HOPPING_GRACE = "30 seconds"
 BATCH_COL = "batch_id"
@@ -184,7 +188,7 @@ def start_topic_sink(
     """
     trig = trigger or {"processingTime": "1 second"}
     if kafka_options is not None:
-        opts = {"topic": STATS_TOPIC, **kafka_options}
+        opts = {"topic": STATS_TOPIC, **KAFKA_PRODUCER_DEFAULTS, **kafka_options}
         return (
             records.select("key", "value").writeStream.format("kafka").options(**opts)
             .option("checkpointLocation", checkpoint).outputMode("update").trigger(**trig).start()
@@ -213,7 +217,7 @@ def start_ingest(
     if kafka_options is not None:
         from changefold.sources.envelope import RAW_TOPIC
 
-        opts = {"topic": RAW_TOPIC, **kafka_options}
+        opts = {"topic": RAW_TOPIC, **KAFKA_PRODUCER_DEFAULTS, **kafka_options}
         return (
             out.select("key", "value").writeStream.format("kafka").options(**opts)
             .option("checkpointLocation", checkpoint).trigger(**trig).start()
