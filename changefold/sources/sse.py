@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DATA_PREFIX = "data: "
+_MIN_EPOCH_S, _MAX_EPOCH_S = -62135596800, 253402300799  # years 0001..9999
 
 
 def decode_frames(frames: DataFrame, text_col: str = "value") -> DataFrame:
@@ -73,11 +74,15 @@ def payload_envelope(payloads: DataFrame) -> DataFrame:
     when it cannot be read); the key is set by the ingest from the body, and a
     dump has no partition or offset.
     """
-    seconds = F.get_json_object("payload", "$.timestamp").cast("bigint")
+    # try_cast and the range guard keep a malformed value from failing the job
+    # under ANSI mode; such a record gets a null time (and is rejected later
+    # if its body is not a valid edit)
+    seconds = F.get_json_object("payload", "$.timestamp").try_cast("bigint")
+    in_range = seconds.between(F.lit(_MIN_EPOCH_S), F.lit(_MAX_EPOCH_S))
     return payloads.select(
         F.lit(None).cast("string").alias("key"),
         F.col("payload").alias("value"),
-        F.timestamp_seconds(seconds).alias("timestamp"),
+        F.when(in_range, F.timestamp_seconds(seconds)).alias("timestamp"),
         F.lit(None).cast("int").alias("partition"),
         F.lit(None).cast("bigint").alias("offset"),
     )

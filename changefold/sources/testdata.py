@@ -90,7 +90,7 @@ def events_envelope(
     ev = ev.withColumn("_event_us", event_us)
     event_us = F.col("_event_us")
 
-    wiki = F.element_at(F.array(*[F.lit(w) for w in WIKIS]), (user_id % len(WIKIS)).cast("int") + 1)
+    wiki = F.try_element_at(F.array(*[F.lit(w) for w in WIKIS]), (user_id % len(WIKIS)).cast("int") + 1)
     etype = F.col("event_type")
     kind = F.lit("categorize")
     for src, dst in reversed(list(TYPE_OF_EVENT.items())):

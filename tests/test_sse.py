@@ -81,3 +81,13 @@ def test_payloads_feed_the_ingest_filter(spark):
     out = ops.ingest_edits(payload_envelope(read_sse_frames(spark, _dump(text)))).collect()
     assert sorted(r.value.split('"type": "')[1][:3] for r in out) == ["edi", "new"]
     assert {r.key for r in out} == {"enwiki"}
+
+
+def test_bad_timestamps_do_not_fail_the_job(spark):
+    from changefold.sources.sse import payload_envelope
+
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    text = 'data: {"timestamp":"abc"}\n\ndata: {"timestamp":99999999999999999}\n\ndata: {"timestamp":1705312800}\n\n'
+    rows = payload_envelope(read_sse_frames(spark, _dump(text))).orderBy("value").collect()
+    # ordered by text: "abc", 1705312800, 99999999999999999
+    assert [r.timestamp is None for r in rows] == [True, False, True]
