@@ -81,7 +81,7 @@ def events_envelope(
 
     user_id = F.col("user_id")
     event_id = F.col("event_id")
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.get_json_object("props", "$.k").try_cast("int")
 
     # raw times are all >= BASE_US, so truncating division is floor division
     event_us = F.lit(BASE_US) + F.expr(f"(unix_micros(cast(ts as timestamp)) - {BASE_US}) div {TIME_COMPRESSION}")
