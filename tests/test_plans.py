@@ -74,3 +74,42 @@ def test_hot_partition_is_split_into_chunks(spark):
         "offset", "max(event_time) OVER (PARTITION BY partition ORDER BY offset) AS stream_time"
     )
     assert sorted(timed.select("offset", "stream_time").collect()) == sorted(brute.collect())
+
+
+def _exchanges(df) -> list[tuple[str, int]]:
+    """(partitioning, records written) of every executed shuffle exchange of
+    ``df`` (after ``df`` itself ran)."""
+    found: list[tuple[str, int]] = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "Exchange":
+            written = node.metrics().get("shuffleRecordsWritten")
+            found.append((node.outputPartitioning().toString(), written.get().value() if written.isDefined() else -1))
+        if name.endswith("QueryStage"):
+            walk(node.plan())
+            return
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan().executedPlan())
+    return found
+
+
+@pytest.mark.parametrize("build", [ops.tumbling_counts, ops.bot_totals, ops.window_stats], ids=["a1", "a3", "a5"])
+def test_one_group_holding_every_row_crosses_the_exchange_once_per_task(spark, build):
+    from pyspark.sql import functions as F
+
+    env = events_envelope(spark, "/root/testdata/sf0.1").withColumn("key", F.lit("enwiki"))
+    env = env.withColumn("timestamp", F.lit("2024-01-01 00:00:30").cast("timestamp"))
+    edits = ops.article_edits(ops.parse_edits(env))
+    tasks = edits.rdd.getNumPartitions()
+    assert edits.count() > 10_000
+
+    df = build(edits)
+    assert len(df.collect()) == 1
+    keyed = [(p, n) for p, n in _exchanges(df) if p.startswith("hashpartitioning") and "user" not in p]
+    # every record belongs to one group, yet the exchange keyed by that group
+    # receives one partial row per map task
+    assert keyed and all(0 < n <= tasks for _, n in keyed), (_exchanges(df), tasks)
