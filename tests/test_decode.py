@@ -109,6 +109,13 @@ EDGE_CASES = [
     ("empty text", "", False, False),
     ("escaped unicode", _GOOD.replace("Test article", "Caf\\u00e9"), True, True),
     ("duplicate key, last wins", _GOOD[:-1] + ', "wiki": "dewiki"}', True, True),
+    ("timestamp a float", _body(timestamp=1.7e9), False, False),
+    ("timestamp quoted", _body(timestamp="1705312800"), False, False),
+    ("bot quoted", _body(bot="true"), False, False),
+    ("bot a number", _body(bot=1), False, False),
+    ("namespace a boolean", _body(namespace=True), False, False),
+    ("namespace negative", _body(namespace=-1), True, True),
+    ("wiki null", _body(wiki=None), False, False),
 ]
 
 
