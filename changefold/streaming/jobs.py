@@ -8,11 +8,12 @@ replaces its own output instead of duplicating it. ``read_latest`` turns the
 changelog into the current table (latest row per key by ``batch_id``).
 
 Late data: a watermark of ``grace`` behind the highest event time. With
-``spark.sql.streaming.statefulOperator.allowMultiple=false`` the late filter
-uses the watermark of the previous micro-batch, which equals the record-by-
-record rule when each micro-batch holds records that arrived together; rows
-late relative to others *in the same micro-batch* are kept (unlike the
-batch-exact form in ``operators.lateness``).
+``spark.sql.streaming.statefulOperator.allowMultiple=false`` a micro-batch's
+late filter uses the watermark reached at the end of the previous batch (the
+default setting lags one batch more). Fed one arrival per micro-batch this
+equals the record-by-record rule (tested); rows late only relative to others
+*in the same micro-batch* are kept, unlike the batch-exact form in
+``operators.lateness``.
 """
 
 from __future__ import annotations
