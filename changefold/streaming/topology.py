@@ -15,6 +15,7 @@ hours it needs and prunes row groups inside them by ``event_time``.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,11 @@ HOUR_COL = "event_hour"
 HOUR_FORMAT = "yyyy-MM-dd-HH"
 
 
+def _utc(t: dt.datetime) -> dt.datetime:
+    """Partition values are UTC hours; naive times are taken as UTC."""
+    return t.replace(tzinfo=dt.timezone.utc) if t.tzinfo is None else t.astimezone(dt.timezone.utc)
+
+
 def _event_hour(ts):
     return F.date_format(ts, HOUR_FORMAT)
 
@@ -83,7 +89,7 @@ def read_landed_edits(spark: SparkSession, layout: Layout, time_range: tuple | N
     ``lo <= event_time < hi`` and prunes hour partitions outside it."""
     edits = spark.read.schema(edits_schema(spark)).parquet(layout.table("edits"))
     if time_range is not None:
-        lo, hi = time_range
+        lo, hi = (_utc(t) for t in time_range)
         edits = edits.where(
             (F.col(HOUR_COL) >= F.lit(lo.strftime("%Y-%m-%d-%H")))
             & (F.col(HOUR_COL) <= F.lit(hi.strftime("%Y-%m-%d-%H")))

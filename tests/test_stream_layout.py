@@ -64,6 +64,10 @@ def test_reports_over_landed_edits_prune_hours(spark):
 
     plan = landed._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_hour" in plan and "PushedFilters: [IsNotNull(event_time)" in plan
+    # the same span written in another zone selects the same records
+    shifted = tuple(t.astimezone(dt.timezone(dt.timedelta(hours=2))) for t in span)
+    assert _sorted(topology.read_landed_edits(spark, layout, shifted)) == _sorted(landed)
+
     hours = sorted(r[0] for r in landed.select("event_hour").distinct().collect())
     assert hours == ["2024-01-01-05", "2024-01-01-06"]  # span 05:55:30 .. 06:05:30
     assert isinstance(span[0], dt.datetime)
