@@ -12,7 +12,7 @@ from changefold.functions.columns import (
     page_key,
     split_page_key,
 )
-from changefold.functions.json_body import body_accepted, decode_body
+from changefold.functions.json_body import body_accepted, decode_body, parse_variant
 
 __all__ = [
     "ARTICLE_NAMESPACE",
@@ -26,5 +26,6 @@ __all__ = [
     "iso_utc",
     "length_delta",
     "page_key",
+    "parse_variant",
     "split_page_key",
 ]

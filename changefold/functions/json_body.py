@@ -9,9 +9,9 @@ is rejected as a whole; defaults are applied only to clean bodies.
 
 Differences from a strict typed decoder that remain in the fast mode: a JSON
 number or object in a string field is accepted as its text, and text after
-the closing brace is ignored. ``strict=True`` closes the first gap by checking
+the closing brace is ignored. Strict mode closes the first gap by checking
 the JSON token type of every string field on a parsed variant (one extra
-parse per row).
+parse per record, computed once in its own column).
 """
 
 from __future__ import annotations
@@ -42,17 +42,25 @@ def decode_body(value: Column | str = "value") -> Column:
     return F.from_json(col, EDIT_BODY, _JSON_OPTIONS)
 
 
-def body_accepted(body: Column, value: Column | str = "value", strict: bool = False) -> Column:
+def parse_variant(value: Column | str = "value") -> Column:
+    """The body parsed as a variant (null when it is not valid JSON) -- the
+    input of the strict token-type checks. Compute it once per record, as a
+    column of its own, and pass that column to ``body_accepted``."""
+    col = F.col(value) if isinstance(value, str) else value
+    return F.try_parse_json(col)
+
+
+def body_accepted(body: Column, parsed: Column | None = None) -> Column:
     """True iff the decoded body is a well-formed edit.
 
     A body is accepted when it decoded to a struct, nothing was flagged
-    corrupt, and every field without a default is present and non-null.
+    corrupt, and every field without a default is present and non-null. With
+    ``parsed`` (see ``parse_variant``), every string field present must also
+    be a JSON string.
     """
     checks = [body.isNotNull(), body[CORRUPT_COL].isNull()]
     checks += [body[name].isNotNull() for name in REQUIRED_FIELDS]
-    if strict:
-        raw = F.col(value) if isinstance(value, str) else value
-        parsed = F.try_parse_json(raw)
+    if parsed is not None:
         for name in _STRING_FIELDS:
             token = F.try_variant_get(parsed, f"$.{name}", "variant")
             # absent or JSON null is fine here (handled by the rules above);

@@ -11,12 +11,14 @@ from changefold.functions import (
     body_accepted,
     decode_body,
     is_article_edit,
+    parse_variant,
     length_delta,
     page_key,
     split_page_key,
 )
 
 BODY_COL = "_body"
+PARSED_COL = "_parsed"
 
 
 def parse_edits(envelope: DataFrame, strict: bool = False, keep_raw: bool = False) -> DataFrame:
@@ -36,8 +38,11 @@ def parse_edits(envelope: DataFrame, strict: bool = False, keep_raw: bool = Fals
     not decoded again.
     """
     body_col = F.col(BODY_COL) if BODY_COL in envelope.columns else decode_body("value")
-    decoded = envelope.select("offset", "partition", "key", "timestamp", "value", body_col.alias(BODY_COL))
+    parsed_col = F.col(PARSED_COL) if PARSED_COL in envelope.columns else parse_variant("value")
+    extra = [parsed_col.alias(PARSED_COL)] if strict else []
+    decoded = envelope.select("offset", "partition", "key", "timestamp", "value", body_col.alias(BODY_COL), *extra)
     body = F.col(BODY_COL)
+    parsed = F.col(PARSED_COL) if strict else None
     cols = [
         F.col("offset"),
         F.col("partition"),
@@ -58,7 +63,7 @@ def parse_edits(envelope: DataFrame, strict: bool = False, keep_raw: bool = Fals
     if keep_raw:
         cols.append(F.col("value"))
     # inline(NULL) emits no rows, so a rejected record simply disappears
-    return decoded.select(F.inline(F.when(body_accepted(body, "value", strict), F.array(F.struct(*cols)))))
+    return decoded.select(F.inline(F.when(body_accepted(body, parsed), F.array(F.struct(*cols)))))
 
 
 def article_edits(edits: DataFrame) -> DataFrame:
@@ -76,8 +81,8 @@ def ingest_edits(envelope: DataFrame, strict: bool = False) -> DataFrame:
     return edits.select("offset", F.col("wiki").alias("key"), "value")
 
 
-def _counter_columns(body: Column, value: Column | str = "value", strict: bool = False) -> list[Column]:
-    accepted = body_accepted(body, value, strict)
+def _counter_columns(body: Column, parsed: Column | None = None) -> list[Column]:
+    accepted = body_accepted(body, parsed)
     type_ok = body["type"].isin(*ARTICLE_TYPES)
     ns_ok = F.coalesce(body["namespace"], F.lit(0)) == F.lit(ARTICLE_NAMESPACE)
     return [
@@ -92,9 +97,9 @@ def _counter_columns(body: Column, value: Column | str = "value", strict: bool =
 
 def ingest_counters(envelope: DataFrame, strict: bool = False) -> DataFrame:
     """One row: records received, published and skipped (by first failing reason)."""
-    body = decode_body("value")
-    decoded = envelope.select("value", body.alias("_body"))
-    return decoded.agg(*_counter_columns(F.col("_body"), "value", strict))
+    extra = [parse_variant("value").alias(PARSED_COL)] if strict else []
+    decoded = envelope.select(decode_body("value").alias(BODY_COL), *extra)
+    return decoded.agg(*_counter_columns(F.col(BODY_COL), F.col(PARSED_COL) if strict else None))
 
 
 def observe_ingest(
@@ -111,7 +116,9 @@ def observe_ingest(
     then ``None``).
     """
     decoded = envelope.withColumn(BODY_COL, decode_body("value"))
-    counters = _counter_columns(F.col(BODY_COL), "value", strict)
+    if strict:
+        decoded = decoded.withColumn(PARSED_COL, parse_variant("value"))
+    counters = _counter_columns(F.col(BODY_COL), F.col(PARSED_COL) if strict else None)
     if envelope.isStreaming:
         return decoded.observe(name, *counters), None
     obs = Observation(name)
