@@ -36,11 +36,12 @@ def decode_frames(frames: DataFrame, text_col: str = "value") -> DataFrame:
         "",
     )
     terminated = ~text.endswith("\n")
-    return (
-        frames.where(text.isNotNull() & terminated)
-        .select(payload.alias("payload"))
-        .where(F.length("payload") > 0)
-    )
+    # The payload is built once per frame; a `where` on it would be pushed
+    # below this projection and rebuild it, so frames without payload are
+    # dropped by inlining a zero-or-one element array instead.
+    with_payload = frames.where(text.isNotNull() & terminated).select(payload.alias("payload"))
+    keep = F.when(F.length("payload") > 0, F.array(F.struct("payload")))
+    return with_payload.select(F.inline(keep))
 
 
 def read_sse_frames(spark: SparkSession, path: str, frame_sep: str = "\n\n") -> DataFrame:

@@ -115,7 +115,9 @@ def events_envelope(
         comment.alias("comment"),
         F.struct(length_old.alias("old"), length_new.cast("int").alias("new")).alias("length"),
     )
-    value = F.to_json(body, {"ignoreNullFields": "true"})
+    # serialize once into its own column; the truncation below refers to it
+    ev = ev.withColumn("_json", F.to_json(body, {"ignoreNullFields": "true"}))
+    value = F.col("_json")
     if malformed:
         value = F.when(
             event_id % MALFORMED_EVERY == 0, value.substr(F.lit(1), F.length(value) - F.lit(MALFORMED_CUT))
