@@ -113,3 +113,20 @@ def test_one_group_holding_every_row_crosses_the_exchange_once_per_task(spark, b
     # every record belongs to one group, yet the exchange keyed by that group
     # receives one partial row per map task
     assert keyed and all(0 < n <= tasks for _, n in keyed), (_exchanges(df), tasks)
+
+
+def test_strict_variant_is_parsed_once(spark):
+    df = ops.parse_edits(events_envelope(spark, SF), strict=True)
+    assert _optimized(df).count("parseJson") == 1
+    assert _optimized(df).count("from_json(") == 1
+
+
+def test_sse_payload_is_built_once(spark, tmp_path):
+    from changefold.sources import read_sse_frames
+
+    (tmp_path / "dump.txt").write_text("data: {}\n\n")
+    assert _optimized(read_sse_frames(spark, str(tmp_path))).count("array_join(") == 1
+
+
+def test_adapter_serializes_once(spark):
+    assert _plan(events_envelope(spark, SF)).count("StructsToJson") == 1
