@@ -63,7 +63,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     Reads ``spark.checkpoint.dir`` (or the directory already registered on
     the context). Sets a local one only when none is configured.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no context on this client (Spark Connect): use the setting
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a shared directory") from None
+        return configured.rstrip("/")
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")

@@ -51,6 +51,15 @@ def _raw_ts_literal(event_us: int):
     return F.expr(f"TIMESTAMP_NTZ '{text}'")
 
 
+def _parallelism(spark: SparkSession, df: DataFrame) -> tuple[int, int]:
+    """(cores, input splits); (0, 0) where the RDD view is unavailable
+    (e.g. a Spark Connect session), which turns spreading off."""
+    try:
+        return spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    except Exception:
+        return 0, 0
+
+
 def events_envelope(
     spark: SparkSession,
     sf_dir: str,
@@ -72,8 +81,8 @@ def events_envelope(
     # input has far more splits than cores and is left alone; a time-ranged
     # read is small and left alone. (Counted on the bare scan: the mapping
     # below is narrow and keeps its partitioning.)
-    cores = spark.sparkContext.defaultParallelism
-    spread = time_range is None and ev.rdd.getNumPartitions() < cores
+    cores, splits = _parallelism(spark, ev)
+    spread = time_range is None and splits < cores
     if time_range is not None:
         lo_us, hi_us = _us(time_range[0]), _us(time_range[1])
         slack = LATE_SHIFT_US if late else 0
