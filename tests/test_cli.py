@@ -54,3 +54,22 @@ def test_sse_command(spark):
     env.select(sse.sse_frame_text(env["value"], env["offset"]).alias("value")).write.option("lineSep", "\n\n").text(dump)
     cli.cmd_sse(spark, cli.parser().parse_args(["sse", "--dump", dump, "--out", out]))
     assert spark.read.parquet(out).count() == catalog.ingest_edits(spark, SF).count()
+
+
+def test_ingest_command(spark):
+    inbox, out, ckpt = (scratch_path(spark, n) for n in ("cli-ing-in", "cli-ing-out", "cli-ing-ckpt"))
+    events_envelope(spark, "/root/testdata/sf0.001").write.parquet(inbox)
+    args = cli.parser().parse_args(
+        ["ingest", "--out", out, "--checkpoint", ckpt, "--input", inbox, "--available-now"]
+    )
+    cli.cmd_ingest(spark, args)
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select("offset", "key", "value").collect())
+    want = sorted(tuple(r) for r in catalog.ingest_edits(spark, "/root/testdata/sf0.001").collect())
+    assert got == want
+
+
+def test_missing_source_is_refused():
+    import pytest
+
+    with pytest.raises(SystemExit):
+        cli.main(["stream", "--root", "/nonexistent"])
