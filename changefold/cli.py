@@ -35,11 +35,17 @@ BOT_RATIO_FIELDS = {"wiki": "wiki", "total_edits": "totalEdits", "bot_edits": "b
                     "human_edits": "humanEdits", "bot_ratio_pct": "botRatioPct"}
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def _source(spark: SparkSession, args) -> DataFrame:
     if args.kafka_bootstrap:
         opts = {"kafka.bootstrap.servers": args.kafka_bootstrap, "subscribe": args.topic}
+        if args.max_per_trigger:
+            opts["maxOffsetsPerTrigger"] = str(args.max_per_trigger)
         return read_envelope_stream(spark, fmt="kafka", options=opts)
-    return read_envelope_stream(spark, args.input, fmt=args.format)
+    opts = {"maxFilesPerTrigger": str(args.max_per_trigger)} if args.max_per_trigger else {}
+    return read_envelope_stream(spark, args.input, fmt=args.format, options=opts)
 
 
 def _trigger(args) -> dict:
@@ -108,6 +114,10 @@ def parser() -> argparse.ArgumentParser:
         sp.add_argument("--topic", default=RAW_TOPIC)
         sp.add_argument("--trigger", default="1 second")
         sp.add_argument("--available-now", action="store_true", help="process what is there, then stop")
+        sp.add_argument(
+            "--max-per-trigger", type=int, help="bound a micro-batch: files (file source) or offsets (Kafka)"
+        )
+        sp.add_argument("--rocksdb", action="store_true", help="keep streaming state in the RocksDB state store")
 
     s = sub.add_parser("stream", help="run decode-once landing and the aggregates")
     s.add_argument("--root", required=True)
@@ -133,7 +143,10 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     if args.command in ("stream", "ingest") and not (args.input or args.kafka_bootstrap):
         raise SystemExit("--input or --kafka-bootstrap is required")
-    spark = build_session(master=args.master, shuffle_partitions=None)
+    extra = {}
+    if getattr(args, "rocksdb", False):
+        extra["spark.sql.streaming.stateStore.providerClass"] = ROCKSDB_PROVIDER
+    spark = build_session(master=args.master, shuffle_partitions=None, extra=extra)
     if args.command == "stream":
         cmd_stream(spark, args)
     elif args.command == "ingest":

@@ -73,3 +73,16 @@ def test_missing_source_is_refused():
 
     with pytest.raises(SystemExit):
         cli.main(["stream", "--root", "/nonexistent"])
+
+
+def test_bounded_micro_batches(spark):
+    from changefold.streaming import topology
+
+    root, inbox = scratch_path(spark, "cli-bounded-root"), scratch_path(spark, "cli-bounded-inbox")
+    events_envelope(spark, "/root/testdata/sf0.001").repartition(3).write.parquet(inbox)
+    args = cli.parser().parse_args(
+        ["stream", "--root", root, "--input", inbox, "--available-now", "--max-per-trigger", "1"]
+    )
+    landing = topology.start_landing(cli._source(spark, args), topology.Layout(root), cli._trigger(args))
+    landing.awaitTermination()
+    assert len([p for p in landing.recentProgress if p.numInputRows > 0]) == 3

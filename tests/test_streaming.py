@@ -110,3 +110,19 @@ def test_second_run_without_new_input_changes_nothing(spark):
     assert first == [("enwiki", 3, 1)]
     assert run() == first
     assert jobs.read_changelog(spark, table).count() == 1
+
+
+def test_rocksdb_state_store(spark):
+    from changefold.cli import ROCKSDB_PROVIDER
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB_PROVIDER)
+    try:
+        landing, table, ckpt = (scratch_path(spark, n) for n in ("rdb-landing", "rdb-table", "rdb-ckpt"))
+        envelope(spark, [("enwiki", edit_json(bot=b), i) for i, b in enumerate([True, False])]).write.parquet(landing)
+        stream = ops.article_edits(ops.parse_edits(read_envelope_stream(spark, landing)))
+        jobs.start_changelog(jobs.bot_ratio_stream(stream), table, ckpt, {"availableNow": True}).awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    assert [tuple(r) for r in jobs.read_latest(spark, table, ["wiki"]).collect()] == [("enwiki", 2, 1)]
