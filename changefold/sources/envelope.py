@@ -84,5 +84,7 @@ def read_envelope_stream(
     opts = dict(options or {})
     if fmt == "kafka":
         opts.setdefault("subscribe", RAW_TOPIC)
+        # a new query reads the topic from the beginning, as the original consumer does
+        opts.setdefault("startingOffsets", "earliest")
         return _kafka_envelope(_load_kafka(spark.readStream.format("kafka").options(**opts)))
     return spark.readStream.schema(ENVELOPE).format(fmt).options(**opts).load(path).select(*_ENVELOPE_COLS)
