@@ -79,7 +79,7 @@ def cmd_sse(spark: SparkSession, args) -> None:
     from changefold.sources import sse
 
     payloads = sse.read_sse_frames(spark, args.dump, frame_sep=args.frame_sep)
-    ops.ingest_edits(sse.payload_envelope(payloads)).select("key", "value").write.mode("append").parquet(args.out)
+    ops.ingest_edits(sse.payload_envelope(payloads)).write.mode("append").parquet(args.out)
 
 
 def cmd_report(spark: SparkSession, args) -> str:

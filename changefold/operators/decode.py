@@ -72,13 +72,17 @@ def article_edits(edits: DataFrame) -> DataFrame:
 
 
 def ingest_edits(envelope: DataFrame, strict: bool = False) -> DataFrame:
-    """The ingest filter: article edits re-emitted as ``(key = wiki, value = raw)``.
+    """The ingest filter: article edits re-emitted as envelope records keyed by
+    wiki -- ``(key = wiki, value = raw, timestamp, partition, offset)``.
 
-    The raw body is passed through byte-identical, never re-serialized.
-    ``offset`` is kept so a sink can write idempotently.
+    The raw body is passed through byte-identical, never re-serialized, and the
+    record time travels with it, so the output is itself an envelope table
+    that the aggregates can read (as a topic's consumers read the record time).
     """
     edits = article_edits(parse_edits(envelope, strict=strict, keep_raw=True))
-    return edits.select("offset", F.col("wiki").alias("key"), "value")
+    return edits.select(
+        F.col("wiki").alias("key"), "value", F.col("event_time").alias("timestamp"), "partition", "offset"
+    )
 
 
 def _counter_columns(body: Column, parsed: Column | None = None) -> list[Column]:

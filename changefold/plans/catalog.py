@@ -66,7 +66,7 @@ def article_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.ingest_edits(events_envelope(spark, sf_dir))
+    return ops.ingest_edits(events_envelope(spark, sf_dir)).select("offset", "key", "value")
 
 
 def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:

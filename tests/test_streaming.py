@@ -126,3 +126,14 @@ def test_rocksdb_state_store(spark):
     finally:
         spark.conf.set(key, before)
     assert [tuple(r) for r in jobs.read_latest(spark, table, ["wiki"]).collect()] == [("enwiki", 2, 1)]
+
+
+def test_ingest_output_is_an_envelope_table(spark):
+    from changefold.sources import read_envelope
+
+    out = scratch_path(spark, "ing-env-out")
+    src = envelope(spark, [("x", edit_json(), 5), ("x", edit_json(type="log"), 6), ("x", edit_json(wiki="dewiki"), 7)])
+    ops.ingest_edits(src).write.parquet(out)
+    again = ops.article_edits(ops.parse_edits(read_envelope(spark, out)))
+    want = ops.article_edits(ops.parse_edits(src)).withColumn("key", F.col("wiki"))
+    assert _sorted(again) == _sorted(want)
