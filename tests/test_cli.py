@@ -86,3 +86,21 @@ def test_bounded_micro_batches(spark):
     landing = topology.start_landing(cli._source(spark, args), topology.Layout(root), cli._trigger(args))
     landing.awaitTermination()
     assert len([p for p in landing.recentProgress if p.numInputRows > 0]) == 3
+
+
+def test_sse_dump_to_reports_end_to_end(spark):
+    """dump -> `sse` -> envelope table -> `stream` -> `report`: the original's whole flow."""
+    from changefold.sources import sse
+
+    dump, table, root = (scratch_path(spark, n) for n in ("e2e-dump", "e2e-env", "e2e-root"))
+    env = events_envelope(spark, SF)
+    env.select(sse.sse_frame_text(env["value"], env["offset"]).alias("value")).write.option("lineSep", "\n\n").text(dump)
+
+    cli.cmd_sse(spark, cli.parser().parse_args(["sse", "--dump", dump, "--out", table]))
+    cli.cmd_stream(spark, cli.parser().parse_args(["stream", "--root", root, "--input", table, "--available-now"]))
+    args = cli.parser().parse_args(["report", "stats", "--root", root, "--as-of", AS_OF.isoformat()])
+    got = sorted((r["wiki"], r["windowStartIso"], r["windowEndIso"], r["editCount"]) for r in json.loads(cli.cmd_report(spark, args)))
+    assert got == sorted(tuple(r) for r in catalog.stats_all(spark, SF).collect())
+    args = cli.parser().parse_args(["report", "bot-ratio", "--root", root])
+    ratio = [(r["wiki"], r["totalEdits"], r["botEdits"]) for r in json.loads(cli.cmd_report(spark, args))]
+    assert ratio == [(r.wiki, r.total_edits, r.bot_edits) for r in catalog.bot_ratio_report(spark, SF).collect()]
