@@ -9,11 +9,12 @@ changelog into the current table (latest row per key by ``batch_id``).
 
 Late data: a watermark of ``grace`` behind the highest event time. With
 ``spark.sql.streaming.statefulOperator.allowMultiple=false`` a micro-batch's
-late filter uses the watermark reached at the end of the previous batch (the
-default setting lags one batch more). Fed one arrival per micro-batch this
-equals the record-by-record rule (tested); rows late only relative to others
-*in the same micro-batch* are kept, unlike the batch-exact form in
-``operators.lateness``.
+late filter uses the watermark reached at the end of the previous batch; with
+Spark's default (``true``) a running query's filter lags one batch more and
+counts records the original drops (both tested). Fed one arrival per
+micro-batch, ``false`` equals the record-by-record rule; rows late only
+relative to others *in the same micro-batch* are kept, unlike the batch-exact
+form in ``operators.lateness``.
 """
 
 from __future__ import annotations
