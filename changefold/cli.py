@@ -19,6 +19,7 @@ import datetime as dt
 import json
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from changefold.plans import reports
@@ -154,7 +155,13 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "sse":
         cmd_sse(spark, args)
     else:
-        sys.stdout.write(cmd_report(spark, args) + "\n")
+        try:
+            sys.stdout.write(cmd_report(spark, args) + "\n")
+        except AnalysisException as exc:
+            if "PATH_NOT_FOUND" not in str(exc):
+                raise
+            # the original answers 503 while its stores are not ready
+            raise SystemExit("results not ready yet: the stream may still be starting up") from None
 
 
 if __name__ == "__main__":

@@ -104,3 +104,11 @@ def test_sse_dump_to_reports_end_to_end(spark):
     args = cli.parser().parse_args(["report", "bot-ratio", "--root", root])
     ratio = [(r["wiki"], r["totalEdits"], r["botEdits"]) for r in json.loads(cli.cmd_report(spark, args))]
     assert ratio == [(r.wiki, r.total_edits, r.bot_edits) for r in catalog.bot_ratio_report(spark, SF).collect()]
+
+
+def test_report_before_any_result_is_not_ready(spark):
+    import pytest
+
+    root = scratch_path(spark, "cli-empty-root")
+    with pytest.raises(SystemExit, match="not ready"):
+        cli.main(["report", "bot-ratio", "--root", root])
