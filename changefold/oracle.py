@@ -12,7 +12,7 @@ from __future__ import annotations
 from changefold.sources import testdata as td
 
 _MIN_US = 60_000_000
-_AS_OF_US = td._us(td.AS_OF)
+_AS_OF_US = td.epoch_us(td.AS_OF)
 
 
 def _iso(expr: str) -> str:

@@ -38,7 +38,8 @@ LATE_SHIFT_US = 180_000_000  # ... arrives 180 s behind its position
 AS_OF = dt.datetime(2024, 1, 1, 6, 0, 30, tzinfo=dt.timezone.utc)  # fixed "now" of the reports
 
 
-def _us(t: dt.datetime) -> int:
+def epoch_us(t: dt.datetime) -> int:
+    """Microseconds since the epoch; a naive time is taken as UTC."""
     if t.tzinfo is None:
         t = t.replace(tzinfo=dt.timezone.utc)
     return int((t - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) / dt.timedelta(microseconds=1))
@@ -84,7 +85,7 @@ def events_envelope(
     cores, splits = _parallelism(spark, ev)
     spread = time_range is None and splits < cores
     if time_range is not None:
-        lo_us, hi_us = _us(time_range[0]), _us(time_range[1])
+        lo_us, hi_us = epoch_us(time_range[0]), epoch_us(time_range[1])
         slack = LATE_SHIFT_US if late else 0
         ev = ev.where((F.col("ts") >= _raw_ts_literal(lo_us)) & (F.col("ts") < _raw_ts_literal(hi_us + slack)))
 
