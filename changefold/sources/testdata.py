@@ -42,7 +42,7 @@ def epoch_us(t: dt.datetime) -> int:
     """Microseconds since the epoch; a naive time is taken as UTC."""
     if t.tzinfo is None:
         t = t.replace(tzinfo=dt.timezone.utc)
-    return int((t - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) / dt.timedelta(microseconds=1))
+    return (t - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
 
 
 def _raw_ts_literal(event_us: int):
