@@ -61,7 +61,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint directory named by the cluster.
 
     Reads ``spark.checkpoint.dir`` (or the directory already registered on
-    the context). Sets a local one only when none is configured.
+    the context). Only a local-mode session without one gets a local
+    directory; a cluster session without one is refused.
     """
     try:
         sc = spark.sparkContext
@@ -75,6 +76,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current.rstrip("/")
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            # a machine-local folder is invisible to other executors and lost with them
+            raise RuntimeError("set spark.checkpoint.dir to a directory on shared storage")
         configured = tempfile.mkdtemp(prefix="changefold-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir().rstrip("/")

@@ -23,3 +23,37 @@ def test_ensure_utc(spark):
     spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
     ensure_utc(spark)
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+
+
+class _FakeContext:
+    def __init__(self, master, configured=None):
+        self.master, self._configured, self._dir = master, configured, None
+
+    def getCheckpointDir(self):
+        return self._dir
+
+    def getConf(self):
+        ctx = self
+
+        class _Conf:
+            def get(self, key, default=None):
+                return ctx._configured if key == "spark.checkpoint.dir" and ctx._configured else default
+
+        return _Conf()
+
+    def setCheckpointDir(self, path):
+        self._dir = path
+
+
+class _FakeSession:
+    def __init__(self, ctx):
+        self.sparkContext = ctx
+
+
+def test_cluster_without_shared_dir_is_refused():
+    import pytest
+
+    with pytest.raises(RuntimeError, match="shared storage"):
+        checkpoint_root(_FakeSession(_FakeContext("yarn")))
+    assert checkpoint_root(_FakeSession(_FakeContext("yarn", "hdfs:///shared/ckpt"))) == "hdfs:///shared/ckpt"
+    assert checkpoint_root(_FakeSession(_FakeContext("local[4]"))).startswith("/")
