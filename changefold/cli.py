@@ -63,12 +63,16 @@ def _emit(df: DataFrame, fields: dict[str, str]) -> str:
 
 def cmd_stream(spark: SparkSession, args) -> None:
     layout = topology.Layout(args.root)
-    queries = [topology.start_landing(_source(spark, args), layout, _trigger(args))]
+    landing = topology.start_landing(_source(spark, args), layout, _trigger(args))
     if args.available_now:
-        queries[0].awaitTermination()
-    queries += list(topology.start_aggregates(spark, layout, _trigger(args)).values())
-    for q in queries:
-        q.awaitTermination()
+        landing.awaitTermination()
+        for q in topology.start_aggregates(spark, layout, _trigger(args)).values():
+            q.awaitTermination()
+        return
+    topology.start_aggregates(spark, layout, _trigger(args))
+    # run until any query stops; a failure ends the process (restart resumes
+    # every query from its checkpoint) instead of leaving the others running
+    spark.streams.awaitAnyTermination()
 
 
 def cmd_ingest(spark: SparkSession, args) -> None:
