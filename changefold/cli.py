@@ -71,7 +71,9 @@ def cmd_stream(spark: SparkSession, args) -> None:
         return
     topology.start_aggregates(spark, layout, _trigger(args))
     # run until any query stops; a failure ends the process (restart resumes
-    # every query from its checkpoint) instead of leaving the others running
+    # every query from its checkpoint) instead of leaving the others running.
+    # Earlier, unrelated terminations in this session must not end the wait.
+    spark.streams.resetTerminated()
     spark.streams.awaitAnyTermination()
 
 

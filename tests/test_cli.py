@@ -112,3 +112,27 @@ def test_report_before_any_result_is_not_ready(spark):
     root = scratch_path(spark, "cli-empty-root")
     with pytest.raises(SystemExit, match="not ready"):
         cli.main(["report", "bot-ratio", "--root", root])
+
+
+def test_continuous_stream_runs_until_a_query_stops(spark):
+    import glob
+    import threading
+    import time
+
+    root, inbox = scratch_path(spark, "cli-cont-root"), scratch_path(spark, "cli-cont-inbox")
+    events_envelope(spark, "/root/testdata/sf0.001").write.parquet(inbox)
+    args = cli.parser().parse_args(["stream", "--root", root, "--input", inbox, "--trigger", "500 milliseconds"])
+    runner = threading.Thread(target=cli.cmd_stream, args=(spark, args), daemon=True)
+    runner.start()
+    time.sleep(5)
+    assert runner.is_alive()  # still serving, not returned early
+    local_root = root.removeprefix("file:")
+    deadline = time.time() + 120
+    while time.time() < deadline and not glob.glob(f"{local_root}/tables/bot_ratio/batch_id=*/_SUCCESS"):
+        time.sleep(0.5)
+    for q in spark.streams.active:
+        q.stop()
+    runner.join(timeout=60)
+    assert not runner.is_alive()
+    report = json.loads(cli.cmd_report(spark, cli.parser().parse_args(["report", "bot-ratio", "--root", root])))
+    assert {r["wiki"] for r in report} <= {"enwiki", "dewiki", "frwiki", "wikidatawiki"} and report
