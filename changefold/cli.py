@@ -63,6 +63,8 @@ def _emit(df: DataFrame, fields: dict[str, str]) -> str:
 
 def cmd_stream(spark: SparkSession, args) -> None:
     layout = topology.Layout(args.root)
+    # earlier, unrelated terminations in this session must not end the wait below
+    spark.streams.resetTerminated()
     landing = topology.start_landing(_source(spark, args), layout, _trigger(args))
     if args.available_now:
         landing.awaitTermination()
@@ -71,9 +73,7 @@ def cmd_stream(spark: SparkSession, args) -> None:
         return
     topology.start_aggregates(spark, layout, _trigger(args))
     # run until any query stops; a failure ends the process (restart resumes
-    # every query from its checkpoint) instead of leaving the others running.
-    # Earlier, unrelated terminations in this session must not end the wait.
-    spark.streams.resetTerminated()
+    # every query from its checkpoint) instead of leaving the others running
     spark.streams.awaitAnyTermination()
 
 
