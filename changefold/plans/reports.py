@@ -10,6 +10,7 @@ reading only the matching row groups.
 from __future__ import annotations
 
 import datetime as dt
+import numbers
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,12 +92,12 @@ def hot_pages(
     """
     from changefold.operators.windows import best_window_per_page
 
-    if not isinstance(limit, int) or isinstance(limit, bool) or limit < 1:
+    if not isinstance(limit, numbers.Integral) or isinstance(limit, bool) or limit < 1:
         raise ValueError(f"limit must be a positive integer, got {limit!r}")
     best = best_window_per_page(_starts_between(page_windows, as_of, lookback))
     return (
         best.orderBy(F.desc("edit_count"), "wiki", "title")
-        .limit(limit)
+        .limit(int(limit))
         .select("wiki", "title", "edit_count", *_iso_windows())
     )
 

@@ -105,3 +105,10 @@ def test_limit_from_param(text, value):
 def test_limit_from_param_rejects_non_positive(text):
     with pytest.raises(ValueError):
         reports.limit_from_param(text)
+
+
+def test_hot_pages_accepts_numpy_integers(spark):
+    import numpy as np
+
+    windows = ops.hopping_counts(_articles(spark, [("enwiki", edit_json(), 0)]))
+    assert reports.hot_pages(windows, BASE, limit=np.int64(3)).count() == 1
