@@ -8,6 +8,7 @@ from changefold.operators.decode import (
     parse_edits,
     rekey_pages,
     split_page_keys,
+    with_body_time,
     with_length_delta,
 )
 from changefold.operators.lateness import late_hopping_counts, late_tumbling_counts, with_stream_time
@@ -35,6 +36,7 @@ __all__ = [
     "split_page_keys",
     "tumbling_counts",
     "window_stats",
+    "with_body_time",
     "with_bot_share",
     "with_length_delta",
     "with_stream_time",

@@ -140,6 +140,16 @@ def split_page_keys(df: DataFrame, key_col: str = "page_key") -> DataFrame:
     return df.withColumn("wiki", wiki).withColumn("title", title)
 
 
+def with_body_time(edits: DataFrame, name: str = "body_time") -> DataFrame:
+    """Add the body's own time (JSON ``timestamp``, epoch seconds) as a
+    timestamp column, for windowing on it instead of the record time
+    (``tumbling_counts(edits, time_col="body_time")``). Out-of-range values
+    give null rather than failing the job."""
+    secs = F.col("timestamp")
+    in_range = secs.between(F.lit(-62135596800), F.lit(253402300799))
+    return edits.withColumn(name, F.when(in_range, F.timestamp_seconds(secs)))
+
+
 def with_length_delta(edits: DataFrame) -> DataFrame:
     """Add ``delta = length_new - length_old`` (null if either is unknown)."""
     return edits.withColumn("delta", length_delta("length_old", "length_new"))
