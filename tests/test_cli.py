@@ -22,6 +22,8 @@ def test_stream_then_report(spark):
         return json.loads(cli.cmd_report(spark, args))
 
     stats = ask("stats")
+    naive = cli.parser().parse_args(["report", "stats", "--root", root, "--as-of", "2024-01-01T06:00:30"])
+    assert json.loads(cli.cmd_report(spark, naive)) == stats  # a time without zone is UTC
     want = catalog.stats_all(spark, SF).collect()
     assert sorted((r["wiki"], r["windowStartIso"], r["windowEndIso"], r["editCount"]) for r in stats) == sorted(
         tuple(r) for r in want
