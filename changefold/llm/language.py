@@ -130,7 +130,7 @@ def identify_language(
     def sums(by: list[str], name: str) -> DataFrame:
         return signs.groupBy(*by).agg(F.array(*[F.sum(F.col("post")[i]) for i in n]).alias(name))
 
-    total = sums([], "all").first()["all"] or [0.0] * len(langs)
+    total = [t or 0.0 for t in sums([], "all").first()["all"]]
     base = [(t + smooth) / (sum(total) + smooth * len(langs)) for t in total]
     kinds = {c: max(1, signs.select(c).distinct().count()) for c in ("declared", "suffix")}
     told = signs

@@ -153,7 +153,7 @@ def mix_sources(
     whole = done[0]
     for more in done[1:]:
         whole = whole.union(more)
-    copies = F.col("whole") + F.when(F.col("size") > 0, F.round("p").cast("int")).otherwise(0)
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.round("p").cast("int")).otherwise(0)
     return whole.select(
         *KEYS, "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )

@@ -39,58 +39,71 @@ def _without(text: Column, chars: str) -> Column:
     return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
 
 
-def with_statistics(docs: DataFrame, window: int = 8) -> DataFrame:
-    """``docs`` plus a column ``__quality_<name>`` for each statistic.
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, in one expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _repeated_words(found: Column, window: int) -> Column:
+    """Words in windows of ``window`` words that occur twice or more.
+
+    Windows are hashed. Where all differ the answer is 0; else windows sorted
+    by hash have their equals beside them, and the words that those windows
+    cover are counted in order of place: n log n for any text."""
+    none, first = F.lit(0).cast("long"), F.lit(1)
+
+    def hashes(w):
+        return F.transform(F.sequence(first, F.size(w) - (window - 1)), lambda i: F.xxhash64(F.slice(w, i, window)))
+
+    def rest(x):
+        return F.slice(x, F.lit(2), F.size(x))
+
+    def beside(s):  # does the next in order have the same hash?
+        same = F.zip_with(s, rest(s), lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False)))
+        return _let(same, lambda f: F.zip_with(f, F.concat(F.array(F.lit(False)), F.slice(f, first, F.size(f) - 1)), lambda x, y: x | y))
 
-    n_repeat_words: windows of ``window`` words are hashed; where all differ
-    it is 0, else windows sorted by hash have equal neighbours, and the words
-    that these windows cover are counted in order of place (n log n)."""
+    def places(s):
+        hit = F.zip_with(s, beside(s), lambda x, f: F.when(f, x["i"]))
+        return F.array_sort(F.array_compact(hit))
+
+    def covered(r):
+        gaps = F.zip_with(r, rest(r), lambda x, y: F.least(F.lit(window), F.coalesce(y - x, F.lit(window))))
+        return F.aggregate(gaps, none, lambda n, g: n + g)
+
+    def counted(h):
+        ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(
+            F.size(F.array_distinct(h)) < F.size(h), _let(ordered, lambda s: _let(places(s), covered))
+        ).otherwise(none)
+
+    return _let(found, lambda w: F.when(F.size(w) > window, _let(hashes(w), counted)).otherwise(none))
+
+
+def with_statistics(docs: DataFrame, window: int = 8) -> DataFrame:
+    """``docs`` plus a column ``__quality_<name>`` for each statistic."""
     t = F.coalesce(F.col("text"), F.lit(""))
     filled = F.filter(F.split(t, "\n"), lambda x: F.char_length(F.translate(x, " \t\n\x0b\f\r", "")) > 0)
     p = docs.withColumns({f"{_P}w": words(F.col("text")), f"{_P}l": filled})
-    w, h = F.col(f"{_P}w"), F.col(f"{_P}h")
-    ascii_upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    w, lines = F.col(f"{_P}w"), F.col(f"{_P}l")
     p = p.withColumns(
         {
             f"{_P}n_words": F.size(w).cast("long"),
             f"{_P}word_chars": (F.char_length(t) - _without(t, " \t\n\x0b\f\r")).cast("long"),
             f"{_P}n_symbols": _without(t, "#*$%&|<>").cast("long"),
             f"{_P}n_marks": _without(t, "!?").cast("long"),
-            f"{_P}n_upper": _without(t, ascii_upper).cast("long"),
+            f"{_P}n_upper": _without(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long"),
             f"{_P}n_digits": _without(t, "0123456789").cast("long"),
-            f"{_P}n_lines": F.size(f"{_P}l").cast("long"),
-            f"{_P}n_dup_lines": (F.size(f"{_P}l") - F.size(F.array_distinct(f"{_P}l"))).cast("long"),
+            f"{_P}n_lines": F.size(lines).cast("long"),
+            f"{_P}n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
             f"{_P}n_distinct": F.size(F.array_distinct(w)).cast("long"),
-            f"{_P}h": F.when(
-                F.size(w) > window,
-                F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.xxhash64(F.slice(w, i, window))),
-            ),
+            f"{_P}n_repeat_words": _repeated_words(w, window),
         }
     )
-    p = p.withColumn(
-        f"{_P}s",
-        F.when(
-            F.size(F.array_distinct(h)) < F.size(h),
-            F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))),
-        ),
-    )
-    s = F.col(f"{_P}s")
-    # a window repeats if the one before or after it in hash order has its hash
-    after = F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda a, b: F.struct(a["h"].alias("h"), a["i"].alias("i"), F.coalesce(a["h"] == b["h"], F.lit(False)).alias("f")))
-    p = p.withColumn(f"{_P}a", after)
-    a = F.col(f"{_P}a")
-    before = F.concat(F.array(F.lit(False)), F.slice(F.transform(a, lambda x: x["f"]), F.lit(1), F.size(a) - 1))
-    hits = F.zip_with(a, before, lambda x, f: F.when(x["f"] | f, x["i"]))
-    p = p.withColumn(f"{_P}r", F.array_sort(F.array_compact(hits)))
-    r = F.col(f"{_P}r")
-    gaps = F.zip_with(r, F.slice(r, F.lit(2), F.size(r)), lambda x, y: F.least(F.lit(window), F.coalesce(y - x, F.lit(window))))
-    total = F.aggregate(gaps, F.lit(0).cast("long"), lambda n, g: n + g)
-    p = p.withColumn(f"{_P}n_repeat_words", F.coalesce(total, F.lit(0).cast("long")))
     ratios = {
         f"{_P}{name}": F.when(F.col(f"{_P}{d}") > 0, F.col(f"{_P}{n}") / F.col(f"{_P}{d}")).otherwise(F.lit(0.0))
         for name, n, d in RATIOS
     }
-    return p.withColumns(ratios).drop(*[f"{_P}{x}" for x in "wlhsar"])
+    return p.withColumns(ratios).drop(f"{_P}w", f"{_P}l")
 
 
 @dataclass(frozen=True)

@@ -121,8 +121,8 @@ WITH RECURSIVE base AS (
 ), valid AS (
   SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM base
   WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
-    AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(e, x -> x <> 0)) > 0
+    AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN e IF x <> 0]) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b
     ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)

@@ -1,0 +1,657 @@
+"""The operators against brute force on the smallest tables and on odd rows."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from changefold.llm import (
+    byte_bpe,
+    embeddings,
+    html_text,
+    language,
+    line_templates,
+    mixing,
+    quality_rules,
+    queries,
+    simhash,
+    simple8b,
+    warc_zstd,
+)
+from changefold.llm.common import importable
+from changefold.llm.components import connected_components
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, key map<string,int>"
+
+
+@pytest.fixture(scope="module", autouse=True)
+def workers(spark):
+    importable(spark)
+
+
+def table(name):
+    return pq.read_table(f"{SF}/{name}.parquet").to_pylist()
+
+
+def odd_docs(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, clashing names."""
+    long = " ".join(f"w{i % 977}x{i % 13}" for i in range(30_000))
+    same = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [
+        (1, None, None, None, None, None, None),
+        (None, "only text here", "en", "b", 3, 1, {"a": 1}),
+        (2, "", "en", "a", 0, 1, None),
+        (3, same, "en", "a", 1, 2, None),
+        (3, same, "en", "a", 1, 2, None),
+        (4, same, "en", "b", 1, 2, None),
+        (5, same + "\n\n" + same, None, "b", 1, 2, None),
+        (6, long, "en", "c", 1, 2, None),
+        (7, " \t\n\x0b ", "en", None, 1, 2, None),
+        (8, "é" * 5000, "fr", "c", 1, 2, None),
+    ]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def empty_docs(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def components(nodes, links):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+# -- components
+
+
+def test_components_chain_and_star(spark):
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(200, 260)]
+    links += [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)] + [(5, 5)]
+    rng.shuffle(links)
+    got = {r["node"]: r["root"] for r in rows(connected_components(spark.createDataFrame(links, "a long, b long")))}
+    want = components({n for l in links for n in l}, links)
+    want = {n: r for n, r in want.items() if n != 5}
+    assert got == want
+    assert rows(connected_components(spark.createDataFrame([], "a long, b long"))) == []
+
+
+# -- op1
+
+
+def targets(docs):
+    sizes = defaultdict(int)
+    for d in docs:
+        sizes[d["source"]] += len(WORD.findall(d["text"] or ""))
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    out, open_, left = {}, set(order), 1.5 * sum(sizes.values())
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 2 * sizes[s]]
+        for s in over or open_:
+            out[s] = 2 * sizes[s] if over else share[s]
+        if not over:
+            break
+        left -= sum(out[s] for s in over)
+        open_ -= set(over)
+    return sizes, out
+
+
+def test_mix(spark):
+    docs = table("documents")
+    got = rows(queries.op1_source_mix(spark, SF))
+    sizes, want = targets(docs)
+    source = {d["doc_id"]: d for d in docs}
+    taken = defaultdict(int)
+    assert len(got) == len(docs)
+    largest = defaultdict(int)
+    for r in got:
+        d = source[r["doc_id"]]
+        assert r["size"] == len(WORD.findall(d["text"] or ""))
+        assert r["source_size"] == sizes[d["source"]]
+        assert r["target"] == pytest.approx(want[d["source"]])
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["taken"] == r["copies"] * r["size"]
+        taken[d["source"]] += r["taken"]
+        largest[d["source"]] = max(largest[d["source"]], r["size"])
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= largest[s]
+    again = mixing.mix_sources(spark.read.parquet(f"{SF}/documents.parquet").repartition(7))
+    assert sorted((r["doc_id"], r["taken"]) for r in rows(again)) == sorted((r["doc_id"], r["taken"]) for r in got)
+
+
+def test_mix_tree_keeps_totals_and_is_unbiased(spark):
+    docs = spark.range(3000).select(
+        F.col("id").alias("doc_id"),
+        F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 9 + 1).cast("int"))).alias("text"),
+        F.lit("s").alias("source"),
+    )
+    one = mixing.mix_sources(docs, weights=(1,), share=0.5, block=16)
+    total = sum(r["size"] for r in rows(one))
+    assert abs(sum(r["taken"] for r in rows(one)) - total / 2) < 10
+    rng, hits = random.Random(1), np.zeros(5)
+    for _ in range(4000):
+        p = [0.3, 0.6, 0.5, 0.2, 0.9]
+        mixing._settle(p, [3, 1, 7, 2, 5], rng, True)
+        hits += p
+    assert np.allclose(hits / 4000, [0.3, 0.6, 0.5, 0.2, 0.9], atol=0.04)
+
+
+def test_mix_odd_rows(spark):
+    docs = odd_docs(spark)
+    mixed = mixing.mix_sources(docs)
+    got = rows(mixed)
+    assert len(got) == 10 and all(r["copies"] == 0 for r in got if r["size"] == 0)
+    applied = rows(mixing.apply_mix(docs.drop("key"), mixing.mix_sources(docs.drop("key"))))
+    want = Counter()
+    for r in got:
+        want[r["doc_id"]] += r["copies"]
+    assert Counter(r["doc_id"] for r in applied) == +want
+    assert rows(mixing.mix_sources(empty_docs(spark))) == []
+
+
+# -- op2
+
+
+def test_lines(spark):
+    base = "alpha beta gamma delta epsilon zeta eta theta"
+    rare = "unique words stand here in this one line alone"
+    docs = [(i, f"{base} user{i}\n{rare} {'abc'[i % 3]}q{i}z\nshort line") for i in range(4)]
+    names = ["anna", "bert", "carl", "dora", "emil"]
+    docs += [(10 + i, f"posted in the forum by {n} for old computers on monday") for i, n in enumerate(names)]
+    docs += [(30, "a text of its own that nobody else has written down"), (31, None), (32, "")]
+    got = {r["doc_id"]: r for r in rows(line_templates.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert got[0]["text"] == docs[0][1] and got[0]["__n_dropped"] == 0
+    assert all(base not in got[i]["text"] and "short line" in got[i]["text"] for i in (1, 2, 3))
+    assert got[10]["text"] == docs[4][1] and all(got[10 + i]["text"] == "" for i in range(1, 5))
+    assert got[30]["text"] == docs[9][1] and got[31]["text"] is None and got[32]["text"] == ""
+
+
+def test_lines_exact_brute_force(spark):
+    docs = table("documents")
+    mask = lambda line: tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line))
+    where = defaultdict(set)
+    for d in docs:
+        for line in (d["text"] or "").split("\n"):
+            if len(mask(line)) >= 5:
+                where[mask(line)].add(d["doc_id"])
+    got = rows(line_templates.dedup_lines(spark.read.parquet(f"{SF}/documents.parquet"), general=10**6))
+    source = {d["doc_id"]: d["text"] for d in docs}
+    assert sum(r["__n_dropped"] for r in got) > 0
+    for r in got:
+        lines = source[r["doc_id"]].split("\n")
+        kept = [x for x in lines if not (len(where.get(mask(x), ())) >= 3 and min(where[mask(x)]) != r["doc_id"])]
+        assert r["text"] == "\n".join(kept) and r["__n_lines"] == len(lines)
+
+
+def test_lines_odd_rows(spark):
+    got = rows(line_templates.dedup_lines(odd_docs(spark)))
+    assert len(got) == 10
+    assert rows(line_templates.dedup_lines(empty_docs(spark))) == []
+
+
+# -- op3
+
+
+def statistics(text):
+    found = WORD.findall(text or "")
+    spans = Counter(tuple(found[i : i + 8]) for i in range(len(found) - 7))
+    hit = {j for i in range(len(found) - 7) if spans[tuple(found[i : i + 8])] > 1 for j in range(i, i + 8)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return {
+        "n_words": len(found),
+        "word_chars": sum(map(len, found)),
+        "n_symbols": len(re.findall(r"[#*$%&|<>]", text or "")),
+        "n_dup_lines": len(lines) - len(set(lines)),
+        "n_repeat_words": len(hit),
+    }
+
+
+def test_quality(spark):
+    docs, labels = table("documents"), {r["doc_id"]: r["quality"] for r in table("labels")}
+    text = {d["doc_id"]: d["text"] for d in docs}
+    got = rows(queries.op3_quality_rules(spark, SF))
+    assert len(got) == len(docs)
+    for r in got:
+        want = statistics(text[r["doc_id"]])
+        assert {k: r[k] for k in want} == want
+        assert r["base_failed"] == (want["n_words"] < 20 or 100 * want["n_repeat_words"] > 30 * want["n_words"])
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_quality_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    fit, rest = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    judged = quality_rules.judge(docs, fit).select("doc_id", "__quality_kept", "__quality_base_failed")
+    told = [r for r in rows(judged.join(rest, "doc_id")) if not r["__quality_base_failed"]]
+    good = [r for r in told if r["quality"] == 1]
+    bad = [r for r in told if r["quality"] == 0]
+    assert sum(r["__quality_kept"] for r in good) >= 0.98 * len(good)
+    assert sum(not r["__quality_kept"] for r in bad) >= 0.9 * len(bad)
+
+
+def test_quality_repeats_and_odd_rows(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("ab") for _ in range(n)) for n in (0, 7, 8, 9, 16, 40, 300)]
+    texts += ["x y " * 20, "a b c d e f g h " * 2, None, "\n\n", "p q\n \np q\np q"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows(quality_rules.with_statistics(docs))}
+    for i, t in enumerate(texts):
+        want = statistics(t)
+        assert {k: got[i][f"__quality_{k}"] for k in want} == want
+    labels = spark.createDataFrame([(3, 0, 0), (4, 1, None), (None, 0, 0), (6, None, 1)], "doc_id long, quality int, toxic int")
+    assert len(rows(quality_rules.judge(odd_docs(spark), labels))) == 10
+    assert {r["doc_id"] for r in rows(quality_rules.keep_good(odd_docs(spark), labels.limit(0)))} <= {3, 4, 5, 6, 8}
+    assert rows(quality_rules.judge(empty_docs(spark), labels)) == []
+
+
+# -- op4
+
+
+def test_warc(spark):
+    pages = table("pages")
+    got = {r["page_id"]: r for r in rows(queries.op4_warc_archive(spark, SF))}
+    last = {}
+    for p in pages:
+        last[p["html"] or ""] = max(p["page_id"], last.get(p["html"] or "", -1))
+    assert len(got) == len(pages)
+    for p in pages:
+        body = (p["html"] or "").encode()
+        again = len(body) >= 1000 and last[p["html"] or ""] != p["page_id"]
+        assert got[p["page_id"]] == {
+            "page_id": p["page_id"],
+            "payload_bytes": len(body),
+            "payload_digest": hashlib.sha1(body).hexdigest(),
+            "record_type": "revisit" if again else "response",
+            "refers_to": last[p["html"]] if again else None,
+        }
+
+
+def test_warc_odd_rows_and_payloads(spark, tmp_path):
+    big = "<p>é</p>" * 400
+    data = [(1, "http://a/x y\r\nZ: 1", big, 0), (2, None, big, 0), (None, "u", big, 0), (3, "", None, 0), (4, "u", "", 0), (2, None, big, 0), (5, "u", "s", 0)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string, size int")
+    warc_zstd.write_warc(pages, str(tmp_path / "w"))
+    got = rows(warc_zstd.read_warc(spark, str(tmp_path / "w")))
+    kinds = Counter((r["page_id"], r["record_type"], r["refers_to"], len(r["payload"])) for r in got)
+    n = len(big.encode())
+    assert kinds == Counter({(2, "response", None, n): 2, (1, "revisit", 2, 0): 1, (None, "revisit", 2, 0): 1, (3, "response", None, 0): 1, (4, "response", None, 0): 1, (5, "response", None, 1): 1})
+    assert all(r["payload_bytes"] == n and bytes(r["payload"]) in (b"", big.encode()) for r in got if r["page_id"] in (1, 2))
+    warc_zstd.write_warc(pages.limit(0), str(tmp_path / "e"))
+    assert rows(warc_zstd.read_warc(spark, str(tmp_path / "e"))) == []
+
+
+def test_warc_damage():
+    records = [warc_zstd.record(i, "u", "response", b"x" * i, i, hashlib.sha1(b"x" * i).hexdigest(), None, "d") for i in range(40)]
+    data = warc_zstd.archive(records, 4096, 16) + b"\n"
+    assert list(warc_zstd.read_archive(data)) == records
+    assert [warc_zstd.parse(r)[0] for r in records] == list(range(40))
+    for broken in (data[:-30], data[: len(data) // 2], data[9:], data + b"?"):
+        with pytest.raises(Exception):
+            list(warc_zstd.read_archive(broken))
+    for old, new in ((b"Content-Length: ", b"Content-Length: 1"), (b"WARC/1.1", b"WARC/9"), (b"sha1:", b"sha1:0"), (b"WARC-Date", b"Date")):
+        with pytest.raises(ValueError):
+            warc_zstd.parse(records[5].replace(old, new))
+
+
+# -- op5
+
+
+def test_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = sorted(table("documents"), key=lambda d: d["doc_id"])
+    got = {r["doc_id"]: r for r in rows(queries.op5_token_files(spark, SF))}
+    start = 0
+    for d in docs:
+        ids = tok.encode(d["text"] or "", add_special_tokens=False).ids + [1]
+        assert got[d["doc_id"]] == {
+            "doc_id": d["doc_id"], "start": start, "n_tokens": len(ids), "ids_crc32": zlib.crc32(np.array(ids, "<u4").tobytes()),
+        }
+        start += len(ids)
+
+
+def test_word_encoder_equals_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    own = simple8b.WordEncoder(path, most=50)
+    texts = ["", "  ", "It's we'LL can't don't're ΣΟΦΟΣ ß İstanbul", "á é ́x A B a b x\x1cy x\x85y x\x0by\x0cz", "<|endoftext|> <|startoftext|>x 12,345.67 $$$abc%%% Éa!! é. 北京 😀a"]
+    texts += ["".join(random.Random(i).choices("aA'é.,!1 \n\tßΣ́<|>s", k=60)) for i in range(300)]
+    for t in texts:
+        assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
+def test_simple8b_round_trip():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 59, 60, 61, 4095, 4096, 4097, 20_000):
+        for top in (2, 300, 50_000, 2**32, 2**60, 2**64 - 1):
+            ids = (rng.random(n) ** 6 * top).astype(np.uint64)
+            assert (simple8b.unpack(*simple8b.pack(ids), n) == ids).all()
+            assert (simple8b.unpack(*simple8b.pack(ids, 256, 20), n, 256) == ids).all()
+    data = simple8b.shard_bytes(3, 4, [5, None], [2, 1], np.array([1, 2, 3], "<u4")) + b"\n"
+    part, number, docs, counts, ids = simple8b.read_shard(data)
+    assert (part, number, docs, counts.tolist(), ids.tolist()) == (3, 4, [5, None], [2, 1], [1, 2, 3])
+    for broken in (data[:-1], data[:40], data[:60] + b"\1" + data[61:], b""):
+        with pytest.raises(ValueError):
+            simple8b.read_shard(broken)
+
+
+def test_tokens_odd_rows(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = rows(simple8b.token_file_digests(odd_docs(spark), path).orderBy("start"))
+    assert [r["doc_id"] for r in got] == [1, 2, 3, 3, 4, 5, 6, 7, 8, None] and got[0]["n_tokens"] == 1
+    assert [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got])[:-1].tolist()
+    assert rows(simple8b.token_file_digests(empty_docs(spark), path)) == []
+
+
+# -- op6
+
+
+def slow_fingerprint(text):
+    found = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    found = WORD.findall(found)
+    if not found:
+        return 0
+    k = min(4, len(found))
+    h = [xxhash.xxh64_intdigest(" ".join(found[i : i + k]).encode(), 42) for i in range(len(found) - k + 1)]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(spark):
+    docs = table("documents")
+    prints = {d["doc_id"]: slow_fingerprint(d["text"]) for d in docs}
+    ids = sorted(prints)
+    links = [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
+    want = components(ids, links)
+    got = rows(queries.op6_simhash(spark, SF))
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {i: (f"{prints[i]:016x}", want[i]) for i in ids}
+
+
+def test_golay_keys_meet():
+    assert (simhash._PATTERNS[:, 0] >= 0).all() and ((simhash._PATTERNS >= 0).sum(axis=1) % 5 == 1).all()
+    rng = random.Random(8)
+    for _ in range(3000):
+        a = rng.randrange(1 << 23)
+        b = a
+        for bit in rng.sample(range(23), rng.randrange(3)):
+            b ^= 1 << bit
+        x, y = simhash.segment_keys(np.array([a, b]))
+        assert set(x[x >= 0]) & set(y[y >= 0])
+
+
+def test_links_are_whole(spark):
+    rng = random.Random(4)
+    centre = rng.getrandbits(64)
+    prints = {centre, 0, (1 << 64) - 1}
+    for _ in range(400):  # a dense group, and chains
+        x = centre
+        for bit in rng.sample(range(64), rng.randrange(1, 5)):
+            x ^= 1 << bit
+        prints.add(x)
+    for _ in range(60):
+        x = rng.getrandbits(64)
+        for _ in range(4):
+            prints.add(x)
+            for bit in rng.sample(range(64), rng.choice((4, 5))):
+                x ^= 1 << bit
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    edges = rows(simhash.link_fingerprints(spark.createDataFrame([(s,) for s in signed], "fp long")))
+    wide = {s: s & (1 << 64) - 1 for s in signed}
+    assert all((wide[e["a"]] ^ wide[e["b"]]).bit_count() <= 4 for e in edges)
+    links = [(a, b) for a in signed for b in signed if a < b and (wide[a] ^ wide[b]).bit_count() <= 4]
+    assert components(signed, [(e["a"], e["b"]) for e in edges]) == components(signed, links)
+
+
+def test_simhash_odd_rows(spark):
+    docs = odd_docs(spark)
+    grouped = simhash.simhash_components(docs)
+    got = rows(grouped)
+    assert {r["doc_id"] for r in got if int(r["fingerprint"], 16) == 0} >= {1, 2, 7}
+    assert {r["component_id"] for r in got if r["doc_id"] in (3, 4)} == {3}
+    kept = sorted(r["doc_id"] is None and -1 or r["doc_id"] for r in rows(simhash.keep_one(docs.drop("key"), simhash.simhash_components(docs.drop("key")))))
+    assert kept.count(3) == 1 and kept.count(1) == 1 and 4 not in kept and 2 not in kept and -1 in kept
+    assert rows(simhash.simhash_components(empty_docs(spark))) == []
+
+
+# -- op7
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(1)
+    vectors, dims = [], 24
+    for i in range(500):
+        v = rng.standard_normal(dims)
+        vectors.append((i, (v * rng.uniform(0.1, 9)).tolist(), int(i % 3)))
+    for i in range(500, 900):  # near copies, exact copies, chains
+        j = int(rng.integers(0, i))
+        v = np.array(vectors[j][1]) + rng.standard_normal(dims) * np.linalg.norm(vectors[j][1]) * rng.choice([0, 0.02, 0.07])
+        vectors.append((i, v.tolist(), vectors[j][2]))
+    odd = [(1000, None, 1), (1001, [0.0] * dims, 1), (1002, [1.0, None], 1), (1003, [math.nan] * dims, 1), (1004, vectors[0][1], None), (1005, [], 1), (1006, [math.inf, 1.0], 1), (1007, [1.0, 2.0], 0)]
+    frame = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in rows(embeddings.embedding_components(frame, block=16))}
+    x = np.array([v for _, v, _ in vectors])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([l for *_, l in vectors])
+    near = (x @ x.T >= 0.93) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
+    true, found = near.sum(), sum(got[i]["n_links"] for i in range(900))
+    assert 0.97 * true <= found <= true and true > 300
+    assert all(got[i]["n_links"] <= near[i].sum() for i in range(900))
+    want = components(range(900), np.argwhere(near).tolist())
+    assert sum(got[i]["component_id"] == want[i] for i in range(900)) >= 880
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i, *_ in odd)
+    assert rows(embeddings.embedding_components(frame.limit(0))) == []
+
+
+def test_embedding_table(spark):
+    data = table("embeddings")
+    got = {r["vec_id"]: r["n_links"] for r in rows(queries.op7_embedding_links(spark, SF))}
+    x = np.array([v["embedding"] for v in data], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([v["label"] for v in data])
+    near = (x @ x.T >= 0.93) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
+    assert got == {v["vec_id"]: int(n) for v, n in zip(data, near.sum(axis=1))}
+
+
+# -- op8
+
+
+def test_page_text(spark):
+    page = """<!DOCTYPE html><html lang=en><head><title>T</title><style>p{}</style></head><body><nav><ul><li>Menu<li>Two</ul></nav>
+    <div class="ad">Buy</div><article><h1>A &amp; B</h1><p>One <b>b</b>old&nbsp;line<br>next<p>un&eacute; <script>var a="</p>x";</script>end.
+    <div class="cookie-notice">We use <p>cookies</div>After<!-- no --></article><section id="comments"><p>First!</p></section><footer>&copy; x</footer></body></html>"""
+    site = [(10 + i, f"http://h.org/a/{i}", f"<body><div>Site name</div><p>Text {w} of page.</p><div>Imprint, all pages</div></body>") for i, w in enumerate(["one", "two", "three"])]
+    data = [(1, "http://x.org/a", page), (2, None, None), (3, "http://x.org/b", ""), (4, "::bad[", "just <b>text"), (4, "::bad[", "just <b>text"), *site]
+    frame = spark.createDataFrame([(*d, 1) for d in data], "page_id long, url string, html string, place int")
+    got = rows(html_text.extract_text(frame))
+    texts = {r["page_id"]: r["text"] for r in got}
+    assert len(got) == 8 and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert texts[1] == "A & B One bold line next uné end. After"
+    assert texts[2] == texts[3] == "" and texts[4] == "just text"
+    assert [texts[10 + i] for i in range(3)] == [f"Text {w} of page." for w in ("one", "two", "three")]
+    assert rows(html_text.extract_text(frame.limit(0))) == []
+
+
+def test_page_text_of_documents(spark):
+    pages = {p["page_id"]: p["html"] for p in table("pages")}
+    for r in rows(queries.op8_page_text(spark, SF)):
+        article = re.search("<article>(.*)</article>", pages[r["page_id"]], re.S)[1]
+        import html
+
+        plain = re.sub(r"<(?:/?(?:b|i|em|strong|a|span)\b[^>]*)>", "", article)
+        assert r["text"] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", plain)).split())
+
+
+def test_ranks_do_not_depend_on_partitions(spark):
+    data = [(i, f"http://{'hot' if i % 3 else f'h{i % 7}'}.org/p/{i % 40}", i, i) for i in range(400)]
+    frame = spark.createDataFrame(data, "page_id long, url string, k1 long, k2 int")
+    one = {r["k1"]: (r["host_key"], r["pair"], r["at"]) for r in rows(html_text.neighbours(frame))}
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert {r["k1"]: (r["host_key"], r["pair"], r["at"]) for r in rows(html_text.neighbours(frame))} == one
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    sizes = Counter((h, p) for h, p, _ in one.values())
+    assert len(one) == 400 and set(sizes.values()) <= {1, 2, 3}
+
+
+# -- op9
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    return path, public_tokenizers.PATTERN, tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe(spark, bpe):
+    path, pattern, enc = bpe
+    want = {}
+    for d in table("documents"):
+        ids = enc.encode_ordinary(d["text"] or "")
+        want[d["doc_id"]] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((d["text"] or "").encode()).hexdigest())
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for options in ({}, {"chunk": 300, "overlap": 40}):
+        got = rows(byte_bpe.bpe_digests(docs, path, pattern, **options))
+        assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got} == want
+
+
+def test_bpe_cuts_change_nothing(bpe):
+    path, pattern, enc = bpe
+    for i in range(400):
+        rng = random.Random(i)
+        text = "".join(rng.choices(["a", "bc", "é", " ", "  ", "\n", "'", "'re", "'ll", "1", "23", "!", "…", "北", " ", "́"], k=rng.randrange(1, 300)))
+        at = [0, *byte_bpe.cuts(text, 30, 12, pattern), len(text)]
+        assert sorted(set(at)) == at or not text
+        pieces = [x for a, b in zip(at, at[1:]) for x in enc.encode_ordinary(text[a:b])]
+        assert pieces == enc.encode_ordinary(text)
+    assert byte_bpe.cuts("x" * 5000, 100, 20, pattern) == []
+
+
+def test_bpe_odd_rows(spark, bpe):
+    path, pattern, enc = bpe
+    got = rows(byte_bpe.bpe_digests(odd_docs(spark), path, pattern, chunk=1000))
+    assert Counter(r["doc_id"] for r in got) == Counter([1, None, 2, 3, 3, 4, 5, 6, 7, 8])
+    assert {r["n_tokens"] for r in got if r["doc_id"] in (1, 2)} == {0}
+    assert rows(byte_bpe.bpe_digests(empty_docs(spark), path, pattern)) == []
+    coded = byte_bpe.encode_ids(odd_docs(spark), path, pattern, chunk=1000)
+    text = defaultdict(dict)
+    for r in rows(byte_bpe.decode_ids(coded, path, pattern)):
+        text[r["row"], r["doc_id"]][r["piece"]] = bytes(r["data"])
+    made = Counter((d, b"".join(p[i] for i in sorted(p)).decode()) for (_, d), p in text.items())
+    assert made == Counter((r["doc_id"], r["text"] or "") for r in rows(odd_docs(spark)))
+
+
+# -- op10
+
+
+def test_language(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = {}
+    for p in pq.read_table(f"{sf}/pages.parquet").to_pylist():
+        truth[p["page_id"]] = re.search(r"\.\w+/(\w\w)/", p["url"])[1]
+    got = rows(queries.op10_language(spark, sf))
+    assert len(got) == len(truth)
+    assert sum(r["lang"] == truth[r["page_id"]] for r in got) >= 0.97 * len(got)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 200")
+    held = rows(docs.where("doc_id % 2 = 1"))
+    langs, model = language.fit_trigrams(docs.where("doc_id % 2 = 0"))
+    right = sum(langs[int(np.argmax(language.trigrams(d["text"]) @ model))] == d["lang"] for d in held)
+    assert right >= 0.95 * len(held)
+
+
+def test_language_evidence_and_odd_rows(spark):
+    docs = spark.createDataFrame([(i, t, l) for i in range(5) for t, l in (("the cat and the dog", "en"), ("der hund und die katze", "de"))], "doc_id long, text string, lang string")
+    pages = [(i, f"http://de.org/{i}", "<html lang='de-AT'><p>der hund und die katze der hund</p>") for i in range(20)]
+    pages += [(i, f"http://en.com/{i}", "<html lang=en><p>the cat and the dog and the cat</p>") for i in range(20, 40)]
+    pages += [(50, "http://de.org/x", "<html lang=de><p>1 2 3</p>"), (51, None, None), (52, "http://[", ""), (None, "http://en.com/", "<p>the dog</p>")]
+    frame = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, host int")
+    got = {r["page_id"]: r for r in rows(language.identify_language(frame, docs))}
+    assert len(got) == len(pages) and got[50]["lang"] == "de" and got[None]["lang"] == "en"
+    assert all(got[i]["lang"] == ("de" if i < 20 else "en") for i in range(40))
+    assert rows(language.identify_language(frame.limit(0), docs)) == []
+    assert {r["lang"] for r in rows(language.identify_language(frame, docs.limit(0)))} == {None}
+
+
+# -- pipeline and registration
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("__extra", F.lit(1)).withColumn("size", F.lit(2))
+    labels = {r["doc_id"]: r for r in table("labels")}
+    columns, kept = docs.columns, {r["doc_id"] for r in rows(docs)}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+        assert docs.columns == columns
+        assert {r["doc_id"] for r in rows(docs)} <= kept
+        kept = {r["doc_id"] for r in rows(docs)}
+    clean = [i for i, r in labels.items() if r["quality"] == 1]
+    assert len(kept) > 50 and clean
+    last = rows(corpus_pipeline.token_stage(spark, docs, SF))
+    assert Counter(r["doc_id"] for r in last) == Counter(r["doc_id"] for r in rows(docs))
+
+
+def test_pipeline_odd_and_empty(spark):
+    for docs in (odd_docs(spark).drop("key"), empty_docs(spark).drop("key")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+        assert corpus_pipeline.token_stage(spark, docs, SF).count() == docs.count()
+
+
+def test_registered():
+    names = list(entry.queries())
+    assert [n for n in names if n == "pipeline"] and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert set(queries.llm_oracles()) <= set(queries.llm_queries())
+
+
+@pytest.mark.parametrize("name", sorted(queries.llm_oracles()))
+def test_oracle(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("pages", "embeddings"):
+        con.sql(f"create view {t} as from '{SF}/{t}.parquet'")
+    want = con.sql(entry.oracle_sql()[name])
+    got = entry.queries()[name](spark, SF).select(*want.columns)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want.fetchall()))
