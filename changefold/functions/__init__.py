@@ -12,13 +12,15 @@ from changefold.functions.columns import (
     page_key,
     split_page_key,
 )
-from changefold.functions.json_body import body_accepted, decode_body, parse_variant
+from changefold.functions.json_body import body_accepted, body_field, decode_body, body_text
 
 __all__ = [
     "ARTICLE_NAMESPACE",
     "ARTICLE_TYPES",
     "PAGE_KEY_SEP",
     "body_accepted",
+    "body_field",
+    "body_text",
     "bot_ratio_pct",
     "decode_body",
     "guarded_ratio",
@@ -26,6 +28,5 @@ __all__ = [
     "iso_utc",
     "length_delta",
     "page_key",
-    "parse_variant",
     "split_page_key",
 ]

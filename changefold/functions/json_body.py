@@ -1,17 +1,18 @@
 """Decoding the JSON body of an event.
 
 ``from_json`` with an explicit schema ignores unknown fields, maps fields by
-exact (case-sensitive) name, and -- in PERMISSIVE mode with a corrupt-record
-column -- flags any body it cannot map: malformed or truncated text, a root
-array, single quotes, and values of the wrong type (``"namespace": "abc"``,
-``"namespace": 0.0``, an out-of-range int, ``"length": 5``). A flagged body
-is rejected as a whole; defaults are applied only to clean bodies.
-
-Differences from a strict typed decoder that remain in the fast mode: a JSON
-number or object in a string field is accepted as its text, and text after
-the closing brace is ignored. Strict mode closes the first gap by checking
-the JSON token type of every string field on a parsed variant (one extra
-parse per record, computed once in its own column).
+exact (case-sensitive) name, lets the last of duplicate keys win, and -- in
+PERMISSIVE mode with a corrupt-record column -- flags any body it cannot map:
+malformed or truncated text, and values of the wrong type (``"namespace":
+"abc"``, ``"namespace": 0.0``, an out-of-range int, ``"length": 5``). A
+flagged body is rejected as a whole; defaults are applied only to clean
+bodies.
+
+Two things ``from_json`` alone lets pass are closed in the same parse. The
+text is decoded as the one element of an array, so that text after the
+closing brace, a second object or a root array spoils it. String fields are
+decoded as variants, which keep the token's own type, so that a number or an
+object in a string field is seen and rejected.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changefold.schema import CORRUPT_COL, EDIT_BODY, REQUIRED_FIELDS
 
@@ -34,36 +36,53 @@ _JSON_OPTIONS = {
 }
 
 _STRING_FIELDS = ("type", "wiki", "title", "user", "server_name", "comment")
+_ONE = "body"
+_WRAPPED = T.StructType(
+    [
+        T.StructField(
+            _ONE,
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField(f.name, T.VariantType() if f.name in _STRING_FIELDS else f.dataType)
+                        for f in EDIT_BODY.fields
+                        if f.name != CORRUPT_COL
+                    ]
+                )
+            ),
+        ),
+        T.StructField(CORRUPT_COL, T.StringType()),
+    ]
+)
 
 
 def decode_body(value: Column | str = "value") -> Column:
-    """The body as a struct of ``EDIT_BODY`` (null for null or empty text)."""
+    """The body in its wrapper, for ``body_field``, ``body_text`` and
+    ``body_accepted`` (null for null text). Compute it once per record, as a
+    column of its own."""
     col = F.col(value) if isinstance(value, str) else value
-    return F.from_json(col, EDIT_BODY, _JSON_OPTIONS)
+    return F.from_json(F.concat(F.lit(f'{{"{_ONE}":['), col, F.lit("]}")), _WRAPPED, _JSON_OPTIONS)
 
 
-def parse_variant(value: Column | str = "value") -> Column:
-    """The body parsed as a variant (null when it is not valid JSON) -- the
-    input of the strict token-type checks. Compute it once per record, as a
-    column of its own, and pass that column to ``body_accepted``."""
-    col = F.col(value) if isinstance(value, str) else value
-    return F.try_parse_json(col)
-
-
-def body_accepted(body: Column, parsed: Column | None = None) -> Column:
-    """True iff the decoded body is a well-formed edit.
-
-    A body is accepted when it decoded to a struct, nothing was flagged
-    corrupt, and every field without a default is present and non-null. With
-    ``parsed`` (see ``parse_variant``), every string field present must also
-    be a JSON string.
-    """
-    checks = [body.isNotNull(), body[CORRUPT_COL].isNull()]
-    checks += [body[name].isNotNull() for name in REQUIRED_FIELDS]
-    if parsed is not None:
-        for name in _STRING_FIELDS:
-            token = F.try_variant_get(parsed, f"$.{name}", "variant")
-            # absent or JSON null is fine here (handled by the rules above);
-            # a present value must be a JSON string
-            checks.append(token.isNull() | F.is_variant_null(token) | (F.schema_of_variant(token) == F.lit("STRING")))
-    return reduce(lambda a, b: a & b, checks)
+def body_field(body: Column, name: str) -> Column:
+    """A field that is not text."""
+    return F.get(body[_ONE], F.lit(0))[name]
+
+
+def body_text(body: Column, name: str) -> Column:
+    """A text field; null if it is absent, JSON null or not a string."""
+    token = body_field(body, name)
+    return F.when(F.schema_of_variant(token) == "STRING", F.try_variant_get(token, "$", "string"))
+
+
+def body_accepted(body: Column) -> Column:
+    """True iff the decoded body is a well-formed edit: one object, nothing
+    flagged corrupt, every field without a default present and non-null, and
+    every text field a JSON string (or, with a default, null or absent)."""
+    checks = [body.isNotNull(), body[CORRUPT_COL].isNull(), F.size(body[_ONE]) == 1]
+    for name in REQUIRED_FIELDS:
+        checks.append((body_text if name in _STRING_FIELDS else body_field)(body, name).isNotNull())
+    for name in set(_STRING_FIELDS) - set(REQUIRED_FIELDS):
+        token = body_field(body, name)
+        checks.append(token.isNull() | F.is_variant_null(token) | body_text(body, name).isNotNull())
+    return F.coalesce(reduce(lambda a, b: a & b, checks), F.lit(False))

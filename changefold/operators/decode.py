@@ -9,19 +9,20 @@ from changefold.functions import (
     ARTICLE_NAMESPACE,
     ARTICLE_TYPES,
     body_accepted,
+    body_field,
+    body_text,
     decode_body,
     is_article_edit,
-    parse_variant,
     length_delta,
     page_key,
     split_page_key,
 )
+from changefold.schema import EDIT_COLUMNS
 
 BODY_COL = "_body"
-PARSED_COL = "_parsed"
 
 
-def parse_edits(envelope: DataFrame, strict: bool = False, keep_raw: bool = False) -> DataFrame:
+def parse_edits(envelope: DataFrame, keep_raw: bool = False) -> DataFrame:
     """Envelope -> one row per well-formed edit; undecodable records are dropped.
 
     Defaults apply after the reject decision: missing or null ``namespace``
@@ -38,32 +39,34 @@ def parse_edits(envelope: DataFrame, strict: bool = False, keep_raw: bool = Fals
     not decoded again.
     """
     body_col = F.col(BODY_COL) if BODY_COL in envelope.columns else decode_body("value")
-    parsed_col = F.col(PARSED_COL) if PARSED_COL in envelope.columns else parse_variant("value")
-    extra = [parsed_col.alias(PARSED_COL)] if strict else []
-    decoded = envelope.select("offset", "partition", "key", "timestamp", "value", body_col.alias(BODY_COL), *extra)
+    decoded = envelope.select("offset", "partition", "key", "timestamp", "value", body_col.alias(BODY_COL))
     body = F.col(BODY_COL)
-    parsed = F.col(PARSED_COL) if strict else None
     cols = [
-        F.col("offset"),
-        F.col("partition"),
-        F.col("key"),
-        F.col("timestamp").alias("event_time"),
-        body["type"].alias("type"),
-        body["wiki"].alias("wiki"),
-        body["title"].alias("title"),
-        body["user"].alias("user"),
-        body["bot"].alias("bot"),
-        body["timestamp"].alias("timestamp"),
-        body["server_name"].alias("serverName"),
-        F.coalesce(body["namespace"], F.lit(0)).alias("namespace"),
-        F.coalesce(body["comment"], F.lit("")).alias("comment"),
-        body["length"]["old"].alias("length_old"),
-        body["length"]["new"].alias("length_new"),
+        body_text(body, "type").alias("type"),
+        body_text(body, "wiki").alias("wiki"),
+        body_text(body, "title").alias("title"),
+        body_text(body, "user").alias("user"),
+        body_field(body, "bot").alias("bot"),
+        body_field(body, "timestamp").alias("timestamp"),
+        body_text(body, "server_name").alias("serverName"),
+        F.coalesce(body_field(body, "namespace"), F.lit(0)).alias("namespace"),
+        F.coalesce(body_text(body, "comment"), F.lit("")).alias("comment"),
+        body_field(body, "length")["old"].alias("length_old"),
+        body_field(body, "length")["new"].alias("length_new"),
     ]
-    if keep_raw:
-        cols.append(F.col("value"))
-    # inline(NULL) emits no rows, so a rejected record simply disappears
-    return decoded.select(F.inline(F.when(body_accepted(body, parsed), F.array(F.struct(*cols)))))
+    raw = ["value"] if keep_raw else []
+    # inline(NULL) emits no rows, so a rejected record simply disappears; the
+    # envelope's own columns stand beside the generator, where a predicate on
+    # them passes to the scan and is applied before any body is parsed
+    flat = decoded.select(
+        "offset",
+        "partition",
+        "key",
+        F.col("timestamp").alias("event_time"),
+        *raw,
+        F.inline(F.when(body_accepted(body), F.array(F.struct(*cols)))),
+    )
+    return flat.select(*EDIT_COLUMNS, *raw)
 
 
 def article_edits(edits: DataFrame) -> DataFrame:
@@ -71,7 +74,7 @@ def article_edits(edits: DataFrame) -> DataFrame:
     return edits.where(is_article_edit("type", "namespace"))
 
 
-def ingest_edits(envelope: DataFrame, strict: bool = False) -> DataFrame:
+def ingest_edits(envelope: DataFrame) -> DataFrame:
     """The ingest filter: article edits re-emitted as envelope records keyed by
     wiki -- ``(key = wiki, value = raw, timestamp, partition, offset)``.
 
@@ -79,16 +82,16 @@ def ingest_edits(envelope: DataFrame, strict: bool = False) -> DataFrame:
     record time travels with it, so the output is itself an envelope table
     that the aggregates can read (as a topic's consumers read the record time).
     """
-    edits = article_edits(parse_edits(envelope, strict=strict, keep_raw=True))
+    edits = article_edits(parse_edits(envelope, keep_raw=True))
     return edits.select(
         F.col("wiki").alias("key"), "value", F.col("event_time").alias("timestamp"), "partition", "offset"
     )
 
 
-def _counter_columns(body: Column, parsed: Column | None = None) -> list[Column]:
-    accepted = body_accepted(body, parsed)
-    type_ok = body["type"].isin(*ARTICLE_TYPES)
-    ns_ok = F.coalesce(body["namespace"], F.lit(0)) == F.lit(ARTICLE_NAMESPACE)
+def _counter_columns(body: Column) -> list[Column]:
+    accepted = body_accepted(body)
+    type_ok = F.coalesce(body_text(body, "type").isin(*ARTICLE_TYPES), F.lit(False))
+    ns_ok = F.coalesce(body_field(body, "namespace"), F.lit(0)) == F.lit(ARTICLE_NAMESPACE)
     return [
         F.count(F.lit(1)).alias("received"),
         F.count_if(accepted & type_ok & ns_ok).alias("published"),
@@ -99,16 +102,13 @@ def _counter_columns(body: Column, parsed: Column | None = None) -> list[Column]
     ]
 
 
-def ingest_counters(envelope: DataFrame, strict: bool = False) -> DataFrame:
+def ingest_counters(envelope: DataFrame) -> DataFrame:
     """One row: records received, published and skipped (by first failing reason)."""
-    extra = [parse_variant("value").alias(PARSED_COL)] if strict else []
-    decoded = envelope.select(decode_body("value").alias(BODY_COL), *extra)
-    return decoded.agg(*_counter_columns(F.col(BODY_COL), F.col(PARSED_COL) if strict else None))
+    decoded = envelope.select(decode_body("value").alias(BODY_COL))
+    return decoded.agg(*_counter_columns(F.col(BODY_COL)))
 
 
-def observe_ingest(
-    envelope: DataFrame, name: str = "ingest", strict: bool = False
-) -> tuple[DataFrame, Observation | None]:
+def observe_ingest(envelope: DataFrame, name: str = "ingest") -> tuple[DataFrame, Observation | None]:
     """Attach the ingest counters to a running job without a second pass or
     a second parse.
 
@@ -120,9 +120,7 @@ def observe_ingest(
     then ``None``).
     """
     decoded = envelope.withColumn(BODY_COL, decode_body("value"))
-    if strict:
-        decoded = decoded.withColumn(PARSED_COL, parse_variant("value"))
-    counters = _counter_columns(F.col(BODY_COL), F.col(PARSED_COL) if strict else None)
+    counters = _counter_columns(F.col(BODY_COL))
     if envelope.isStreaming:
         return decoded.observe(name, *counters), None
     obs = Observation(name)

@@ -40,8 +40,14 @@ def with_stream_time(
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
 ) -> DataFrame:
     """Add ``stream_time``: max of ``time_col`` over the partition's records up
-    to and including this one in ``order_col`` order."""
-    chunked = df.withColumn("_chunk", F.expr(f"`{order_col}` div {int(chunk_rows)}"))
+    to and including this one in ``order_col`` order.
+
+    Records without a position have no order; the job fails on the first one
+    instead of giving them all one group and an arbitrary answer."""
+    placed = F.col(order_col).isNotNull() & F.col(partition_col).isNotNull()
+    refuse = F.raise_error(F.lit(f"stream time needs {partition_col} and {order_col} of every record"))
+    chunk = F.when(placed, F.expr(f"`{order_col}` div {int(chunk_rows)}")).otherwise(refuse.cast("bigint"))
+    chunked = df.withColumn("_chunk", chunk)
     in_chunk = Window.partitionBy(partition_col, "_chunk").orderBy(order_col).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

@@ -58,7 +58,7 @@ def parse_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_edits_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoding with JSON token-type checks on every string field."""
-    return _edit_rows(ops.parse_edits(events_envelope(spark, sf_dir), strict=True))
+    return _edit_rows(ops.parse_edits(events_envelope(spark, sf_dir)))
 
 
 def article_edits(spark: SparkSession, sf_dir: str) -> DataFrame:

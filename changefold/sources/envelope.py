@@ -11,6 +11,8 @@ available in the test environment, so that path is untested here.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,18 @@ def _kafka_envelope(df: DataFrame) -> DataFrame:
     )
 
 
+def _epoch_ms(t: dt.datetime) -> int:
+    """Milliseconds since the epoch; a naive time is taken as UTC."""
+    aware = t if t.tzinfo else t.replace(tzinfo=dt.timezone.utc)
+    return int(aware.timestamp() * 1000)
+
+
+def _default_topic(opts: dict[str, str]) -> None:
+    """Kafka takes exactly one of these; a caller's own choice stands alone."""
+    if not {k.lower() for k in opts} & {"subscribe", "subscribepattern", "assign"}:
+        opts["subscribe"] = RAW_TOPIC
+
+
 def read_envelope(
     spark: SparkSession,
     path: str | None = None,
@@ -64,7 +78,10 @@ def read_envelope(
     """
     opts = dict(options or {})
     if fmt == "kafka":
-        opts.setdefault("subscribe", RAW_TOPIC)
+        _default_topic(opts)
+        if time_range is not None:  # the broker seeks to the bounds; the filter below stays exact
+            opts.setdefault("startingTimestamp", str(_epoch_ms(time_range[0])))
+            opts.setdefault("endingTimestamp", str(_epoch_ms(time_range[1])))
         df = _kafka_envelope(_load_kafka(spark.read.format("kafka").options(**opts)))
     else:
         df = spark.read.schema(ENVELOPE).format(fmt).options(**opts).load(path).select(*_ENVELOPE_COLS)
@@ -83,7 +100,7 @@ def read_envelope_stream(
     """Streaming read of the envelope: a topic, or files landing in ``path``."""
     opts = dict(options or {})
     if fmt == "kafka":
-        opts.setdefault("subscribe", RAW_TOPIC)
+        _default_topic(opts)
         # a new query reads the topic from the beginning, as the original consumer does
         opts.setdefault("startingOffsets", "earliest")
         return _kafka_envelope(_load_kafka(spark.readStream.format("kafka").options(**opts)))

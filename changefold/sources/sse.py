@@ -9,12 +9,15 @@ Decoding rule (one frame = one record):
   space) is ignored;
 * a frame whose payload is empty emits nothing;
 * a frame not terminated by a blank line (the tail of an interrupted dump)
-  emits nothing. A record ending in a newline is such a tail; a dump whose
-  last byte is not a newline cannot be told apart from a terminated frame by
-  the text reader and is kept.
-
-Frames are split by the text source with a custom record separator, so a
-dump is read in parallel splits; nothing is gathered per file.
+  emits nothing;
+* line ends are LF or CRLF, in any mixture.
+
+A batch read cuts files at blank lines in parallel splits and cuts the pieces
+again at blank lines of either line end, so ``frame_sep`` decides only how
+finely a dump is split, never what it holds: name ``"\\r\\n\\r\\n"`` for large
+CRLF dumps, whose files are otherwise one record each. Whether a file's last
+piece was terminated follows from the file's size: all records with their
+separators add up to it, or the last one lacks its own.
 """
 
 from __future__ import annotations
@@ -26,33 +29,65 @@ DATA_PREFIX = "data: "
 _MIN_EPOCH_S, _MAX_EPOCH_S = -62135596800, 253402300799  # years 0001..9999
 
 
-def decode_frames(frames: DataFrame, text_col: str = "value") -> DataFrame:
-    """Frame text -> ``payload`` (one row per frame that carries data)."""
-    text = F.col(text_col)
-    lines = F.split(text, r"\r?\n")
+_BLANK = r"\r?\n\r?\n"
+_COMPRESSED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
+
+
+def _payload(frame: Column) -> Column:
+    lines = F.transform(F.split(frame, "\n"), lambda line: F.rtrim(line, F.lit("\r")))
     data_lines = F.filter(lines, lambda line: line.startswith(DATA_PREFIX))
-    payload = F.array_join(
-        F.transform(data_lines, lambda line: line.substr(F.lit(len(DATA_PREFIX) + 1), F.length(line))),
-        "",
+    return F.array_join(
+        F.transform(data_lines, lambda line: line.substr(F.lit(len(DATA_PREFIX) + 1), F.length(line))), ""
     )
-    terminated = ~text.endswith("\n")
-    # The payload is built once per frame; a `where` on it would be pushed
-    # below this projection and rebuild it, so frames without payload are
-    # dropped by inlining a zero-or-one element array instead.
-    with_payload = frames.where(text.isNotNull() & terminated).select(payload.alias("payload"))
-    keep = F.when(F.length("payload") > 0, F.array(F.struct("payload")))
-    return with_payload.select(F.inline(keep))
+
+
+def decode_frames(pieces: DataFrame, text_col: str = "value", tail_col: str | None = None) -> DataFrame:
+    """Text cut at blank lines -> ``payload`` (one row per frame that carries
+    data). ``tail_col`` marks pieces that no blank line ends: the frame after
+    their last blank line is dropped. Without it a piece is such a tail if it
+    ends in a line feed."""
+    text = F.col(text_col)
+    tail = F.col(tail_col) if tail_col else text.endswith("\n")
+    frames = F.split(text, _BLANK)
+    whole = F.when(tail, F.slice(frames, F.lit(1), F.size(frames) - 1)).otherwise(frames)
+    # Payloads are built once per frame; a `where` on them would be pushed
+    # below the projection and build them again, so the array is filtered.
+    payloads = F.filter(F.transform(whole, _payload), lambda p: F.length(p) > 0)
+    return pieces.where(text.isNotNull()).select(F.explode(payloads).alias("payload"))
 
 
 def read_sse_frames(spark: SparkSession, path: str, frame_sep: str = "\n\n") -> DataFrame:
-    """Decode an SSE dump (file or directory). ``frame_sep`` is ``"\\r\\n\\r\\n"``
-    for a dump with CRLF line ends."""
-    return decode_frames(spark.read.option("lineSep", frame_sep).text(path))
+    """Decode an SSE dump (file or directory); see above for ``frame_sep``.
+
+    One small aggregate per file (its bytes and its last record) finds open
+    tails. Of a compressed file the size tells nothing; there a record that
+    ends in a line feed is taken for a tail."""
+    file = F.col("_metadata.file_path")
+    pieces = spark.read.option("lineSep", frame_sep).text(path).select(
+        "value",
+        file.alias("_file"),
+        F.col("_metadata.file_size").alias("_size"),
+        F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n")).alias("_at"),
+    )
+    read = F.sum(F.octet_length("value") + F.lit(len(frame_sep)))
+    open_files = (
+        pieces.where(~F.col("_file").rlike(_COMPRESSED))
+        .groupBy("_file", "_size")
+        .agg(read.alias("_read"), F.max("_at").alias("_last"))
+        .where(F.col("_read") != F.col("_size"))
+        .select(F.col("_file").alias("_open"), "_last")
+    )
+    told = pieces.join(open_files, (F.col("_file") == F.col("_open")) & (F.col("_at") == F.col("_last")), "left")
+    guessed = F.col("_file").rlike(_COMPRESSED) & F.col("value").endswith("\n")
+    return decode_frames(told.withColumn("_tail", F.col("_open").isNotNull() | guessed), tail_col="_tail")
 
 
-def read_sse_frames_stream(spark: SparkSession, path: str, frame_sep: str = "\n\n") -> DataFrame:
-    """The same decoding over dump files landing in a directory."""
-    return decode_frames(spark.readStream.option("lineSep", frame_sep).text(path))
+def read_sse_frames_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The same decoding over dump files landing in a directory. Each file is
+    one record (a landed dump is a rotated, bounded file), so that its tail is
+    known without state."""
+    files = spark.readStream.text(path, wholetext=True)
+    return decode_frames(files.withColumn("_tail", F.lit(True)), tail_col="_tail")
 
 
 def sse_frame_text(payload: Column, event_id: Column, split_at: Column | None = None) -> Column:

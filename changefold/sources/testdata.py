@@ -35,6 +35,7 @@ MALFORMED_EVERY = 97  # body truncated when event_id % 97 == 0
 MALFORMED_CUT = 9  # characters cut off a malformed body
 LATE_EVERY, LATE_REMAINDER = 50, 7  # late variant: event_id % 50 == 7 ...
 LATE_SHIFT_US = 180_000_000  # ... arrives 180 s behind its position
+SPREAD = 16  # partitions that the bare event columns are dealt over; a cluster passes its own
 AS_OF = dt.datetime(2024, 1, 1, 6, 0, 30, tzinfo=dt.timezone.utc)  # fixed "now" of the reports
 
 
@@ -52,21 +53,13 @@ def _raw_ts_literal(event_us: int):
     return F.expr(f"TIMESTAMP_NTZ '{text}'")
 
 
-def _parallelism(spark: SparkSession, df: DataFrame) -> tuple[int, int]:
-    """(cores, input splits); (0, 0) where the RDD view is unavailable
-    (e.g. a Spark Connect session), which turns spreading off."""
-    try:
-        return spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
-    except Exception:
-        return 0, 0
-
-
 def events_envelope(
     spark: SparkSession,
     sf_dir: str,
     late: bool = False,
     malformed: bool = True,
     time_range: tuple[dt.datetime, dt.datetime] | None = None,
+    spread: int = SPREAD,
 ) -> DataFrame:
     """``events`` as an envelope DataFrame ``(key, value, timestamp, partition, offset)``.
 
@@ -77,18 +70,15 @@ def events_envelope(
     """
     ensure_utc(spark)
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    # A whole-table read of a file with few row groups yields fewer splits than
-    # cores; such input is spread so decoding runs in parallel. A cluster-scale
-    # input has far more splits than cores and is left alone; a time-ranged
-    # read is small and left alone. (Counted on the bare scan: the mapping
-    # below is narrow and keeps its partitioning.)
-    cores, splits = _parallelism(spark, ev)
-    spread = time_range is None and splits < cores
     if time_range is not None:
         lo_us, hi_us = epoch_us(time_range[0]), epoch_us(time_range[1])
         slack = LATE_SHIFT_US if late else 0
         ev = ev.where((F.col("ts") >= _raw_ts_literal(lo_us)) & (F.col("ts") < _raw_ts_literal(hi_us + slack)))
 
+    # A file of few row groups has few splits; its bare columns are dealt out
+    # before the mapping writes and reads any JSON, whatever the input's size.
+    ev = ev.select("event_id", "user_id", "event_type", "ts", "props").repartition(spread)
+
     user_id = F.col("user_id")
     event_id = F.col("event_id")
     k = F.get_json_object("props", "$.k").try_cast("int")
@@ -144,4 +134,4 @@ def events_envelope(
         # exact bound on the event time (the raw-ts bound above is exact only
         # without the late shift; with it, it is a superset)
         out = out.where((F.col("timestamp") >= F.lit(time_range[0])) & (F.col("timestamp") < F.lit(time_range[1])))
-    return out.repartition(cores) if spread else out
+    return out

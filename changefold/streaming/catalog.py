@@ -24,6 +24,7 @@ from changefold.sources.testdata import events_envelope
 from changefold.streaming import jobs
 
 SLICE_SECONDS = 4 * 3600
+STATE_PARTITIONS = 8  # fixed for a checkpoint's life, so an explicit parameter
 AVAILABLE_NOW = {"availableNow": True}
 
 
@@ -43,19 +44,19 @@ def run_over_slices(
     sf_dir: str,
     start: Callable[[DataFrame], object],
     restart_on_injected_failure: bool = False,
+    state_partitions: int = STATE_PARTITIONS,
 ) -> None:
     """Feed the adapted records slice by slice; after each, run ``start(stream)``
     to completion (``start`` builds and starts the streaming query).
 
     The number of state partitions of a stateful query is fixed by
-    ``spark.sql.shuffle.partitions`` when its checkpoint is created; these
-    queries size it to the available cores (restoring the session's value
-    afterwards) instead of inheriting a batch-oriented setting such as 200.
+    ``spark.sql.shuffle.partitions`` when its checkpoint is created; it is
+    ``state_partitions`` here (the session's value is restored afterwards) instead of inheriting a batch-oriented setting such as 200.
     """
     jobs.configure_streaming(spark)
     staging, slices = land_in_slices(spark, events_envelope(spark, sf_dir))
     landing = scratch_path(spark, "landing")
-    with jobs.state_partitions(spark, spark.sparkContext.defaultParallelism):
+    with jobs.state_partitions(spark, state_partitions):
         for s in slices:
             spark.read.parquet(f"{staging}/_slice={s}").write.mode("append").parquet(landing)
             query = start(read_envelope_stream(spark, landing))

@@ -24,8 +24,8 @@ def spark():
 
 def edit_json(
     wiki: str = "enwiki",
-    title: str = "Test article",
-    user: str = "TestUser",
+    title: str = "Peat bog",
+    user: str = "someone",
     bot: bool = False,
     type: str = "edit",
     namespace: int = 0,

@@ -9,9 +9,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from changefold.plans.catalog import all_queries
 
 SF = "/root/testdata/sf0.01"
-NAMES = sorted(entry.queries())
+NAMES = sorted(all_queries())
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +32,8 @@ def _rows(cols, rows):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    own = set(all_queries())
+    assert own <= set(entry.queries()) and set(entry.oracle_sql()) & own == own
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="test data not present")

@@ -38,6 +38,21 @@ def test_crlf_dump(spark):
     assert _payloads(spark, text, sep="\r\n\r\n") == ['{"a":1}', '{"b":2}']
 
 
+def test_line_ends_and_open_tails_need_no_parameter(spark):
+    lf = "".join(f'event: message\ndata: {{"n":{i}}}\n\n' for i in range(5))
+    crlf = lf.replace("\n", "\r\n")
+    want = [f'{{"n":{i}}}' for i in range(5)]
+    tails = ("data: tail", "data: tail\n", "data: tail\r\n", "data: tail\r", "id: 7\ndata: tail")
+    for dump in (lf, crlf, lf + crlf, crlf + lf):
+        for sep in ("\n\n", "\r\n\r\n"):
+            expected = sorted(want * (len(dump) // len(lf)))
+            assert _payloads(spark, dump, sep) == expected
+    for dump, sep in ((lf, "\n\n"), (crlf, "\n\n"), (crlf, "\r\n\r\n")):
+        for tail in tails:
+            assert _payloads(spark, dump + tail, sep) == want
+    assert _payloads(spark, "data: only") == [] and _payloads(spark, "") == []
+
+
 def test_other_prefixes_inside_a_frame_are_ignored(spark):
     text = "data: {\"x\":\nid: 5\ndata:skipped\n: comment\ndata: 1}\n\n"
     assert _payloads(spark, text) == ['{"x":1}']
@@ -68,8 +83,7 @@ def test_streaming_dump_files(spark):
     q = jobs.start_changelog(read_sse_frames_stream(spark, d), table, ckpt, {"availableNow": True}, output_mode="append")
     q.awaitTermination()
     got = sorted(r.payload for r in jobs.read_changelog(spark, table).collect())
-    # "data: cut" has no terminating blank line but also no final newline: kept (documented limit)
-    assert got == sorted(['{"a":1}', '{"b":2}', '{"c":3}', "cut"])
+    assert got == sorted(['{"a":1}', '{"b":2}', '{"c":3}'])
 
 
 def test_payloads_feed_the_ingest_filter(spark):
