@@ -164,7 +164,7 @@ class WordEncoder:
     Latin letters and trailing ASCII marks are looked up as the two lower-case
     pre-tokens that they are. ``most`` bounds memory, not results."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -172,33 +172,56 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.plain = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*%$#&|]*)").fullmatch
-        self.known: dict[str, bytes] = {}
-        self.atoms: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of words and of pre-tokens alike; the frequent ones come early and stay
         self.most = most
-
-    def _learn(self, unknown: list[str]) -> None:
-        parts: list[tuple[str, ...]] = []
+        mark = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if mark:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
+
+    def _learn(self, unknown: set[str]) -> dict[str, bytes]:
+        known, parts = self.known, {}
         for word in unknown:
             m = self.plain(word)
-            parts.append(((m[1].lower(), m[2]) if m[2] else (m[1].lower(),)) if m else (word,))
-        new = list({a for p in parts for a in p}.difference(self.atoms))
-        for atom, made in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.atoms[atom] = np.array(made.ids, dtype="<u4").tobytes()
-        for word, part in zip(unknown, parts):
-            self.known[word] = b"".join([self.atoms[a] for a in part])
+            parts[word] = ((m[1].lower(), m[2]) if m[2] else (m[1].lower(),)) if m else (word,)
+        new = {a for p in parts.values() for a in p}.difference(known)
+        got = self._single([a for a in new if a and self.plain(a) and a.isalpha()])
+        rest = list(new.difference(got))
+        made = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        got.update((a, np.array(e.ids, dtype="<u4").tobytes()) for a, e in zip(rest, made))
+        for word, part in parts.items():
+            if word not in got:
+                got[word] = b"".join([got[a] if a in got else known[a] for a in part])
+        if len(known) < self.most:
+            known.update(got)
+        return got
+
+    def _single(self, atoms: list[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens of Latin letters, encoded as one text: each ends
+        in the one of its tokens that the vocabulary marks as a word's end."""
+        if not atoms or self.ends is None:
+            return {}
+        ids = np.array(self.tokenizer.encode(" ".join(atoms), add_special_tokens=False).ids, dtype="<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(stops) != len(atoms) or stops[-1] != len(ids):
+            return {}
+        data, out, at = ids.tobytes(), {}, 0
+        for atom, stop in zip(atoms, stops):
+            out[atom] = data[4 * at : 4 * stop]
+            at = stop
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.known) + len(self.atoms) > self.most:
-            self.known.clear()
-            self.atoms.clear()
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         unknown: set[str] = set()
         for found in split:
             unknown.update(found)
-        self._learn(list(unknown.difference(self.known)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, found)) for found in split]
+        unknown.difference_update(self.known)
+        new, get = self._learn(unknown), self.known.get
+        return [b"".join([new[w] if (b := get(w)) is None else b for w in found]) for found in split]
 
 
 @lru_cache(1)
