@@ -40,12 +40,11 @@ BLOCK, ESCAPE, SHARD = 4096, 60, 1 << 20
 
 def _bits(ids: np.ndarray) -> np.ndarray:
     """Bits that each id needs, at least 1."""
-    out = np.ones(ids.shape, dtype=np.uint8)
-    for step in (32, 16, 8, 4, 2, 1):
-        wide = ids >> np.uint64(step) != 0
-        out[wide] += np.uint8(step)
-        ids = np.where(wide, ids >> np.uint64(step), ids)
-    return out
+    high = ids >> np.uint64(32)
+    out = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]  # halves are exact as doubles
+    if high.any():
+        out = np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], out)
+    return np.maximum(out, 1).astype(np.uint8)
 
 
 def pack(ids: np.ndarray, block: int = BLOCK, escape: int = ESCAPE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +63,7 @@ def pack(ids: np.ndarray, block: int = BLOCK, escape: int = ESCAPE) -> tuple[np.
         more = COUNTS[selector] - span  # never more than span
         widest[:, :-more] = np.maximum(widest[:, :-more], widest[:, more:])
         span = COUNTS[selector]
-        best[widest[:, :block] <= WIDTHS[selector]] = selector
+        np.copyto(best, np.uint8(selector), where=widest[:, :block] <= WIDTHS[selector])
     ends = [min(block, len(ids) - i * block) for i in range(blocks)]
     at, offsets = [], [0]
     for i, end in enumerate(ends):
@@ -182,20 +181,30 @@ class WordEncoder:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
 
     def _learn(self, unknown: set[str]) -> dict[str, bytes]:
-        known, parts = self.known, {}
+        """Ids of words not known yet and of their new pre-tokens; none of them is known."""
+        known, parts, letters, others = self.known, {}, set(), set()
         for word in unknown:
-            m = self.plain(word)
-            parts[word] = ((m[1].lower(), m[2]) if m[2] else (m[1].lower(),)) if m else (word,)
-        new = {a for p in parts.values() for a in p}.difference(known)
-        got = self._single([a for a in new if a and self.plain(a) and a.isalpha()])
-        rest = list(new.difference(got))
+            if word.isascii() and word.isalpha():
+                stem, marks = word.lower(), ""
+            elif m := self.plain(word):
+                stem, marks = m[1].lower(), m[2]
+            else:
+                others.add(word)
+                continue
+            letters.add(stem)
+            if marks:
+                others.add(marks)
+                parts[word] = (stem, marks)
+            else:
+                parts[word] = (stem,)
+        letters = letters.difference(known)
+        got = self._single(list(letters))
+        rest = list((letters | others).difference(known, got))
         made = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
         got.update((a, np.array(e.ids, dtype="<u4").tobytes()) for a, e in zip(rest, made))
         for word, part in parts.items():
             if word not in got:
                 got[word] = b"".join([got[a] if a in got else known[a] for a in part])
-        if len(known) < self.most:
-            known.update(got)
         return got
 
     def _single(self, atoms: list[str]) -> dict[str, bytes]:
@@ -219,9 +228,15 @@ class WordEncoder:
         unknown: set[str] = set()
         for found in split:
             unknown.update(found)
-        unknown.difference_update(self.known)
-        new, get = self._learn(unknown), self.known.get
-        return [b"".join([new[w] if (b := get(w)) is None else b for w in found]) for found in split]
+        known = self.known
+        full = len(known) >= self.most
+        new = self._learn(unknown.difference(known))
+        known.update(new)
+        out = [b"".join(map(known.__getitem__, found)) for found in split]
+        if full:
+            for word in new:
+                del known[word]
+        return out
 
 
 @lru_cache(1)
