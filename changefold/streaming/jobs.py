@@ -176,6 +176,17 @@ def start_changelog(
     return writer.start()
 
 
+def kafka_records(records: DataFrame) -> DataFrame:
+    """``(key, value)`` for a Kafka sink; further columns travel as text headers."""
+    extra = [c for c in records.columns if c not in ("key", "value")]
+    if not extra:
+        return records.select("key", "value")
+    headers = [
+        F.struct(F.lit(c).alias("key"), F.col(c).cast("string").cast("binary").alias("value")) for c in extra
+    ]
+    return records.select("key", "value", F.array(*headers).alias("headers"))
+
+
 def start_topic_sink(
     records: DataFrame,
     checkpoint: str,
@@ -192,7 +203,7 @@ def start_topic_sink(
     if kafka_options is not None:
         opts = {"topic": STATS_TOPIC, **KAFKA_PRODUCER_DEFAULTS, **kafka_options}
         return (
-            records.select("key", "value").writeStream.format("kafka").options(**opts)
+            kafka_records(records).writeStream.format("kafka").options(**opts)
             .option("checkpointLocation", checkpoint).outputMode("update").trigger(**trig).start()
         )
     if path is None:

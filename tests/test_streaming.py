@@ -74,6 +74,14 @@ def test_topic_receives_one_record_per_update(spark):
     assert [(r.key, r.value) for r in log] == [("enwiki", "2"), ("enwiki", "3")]
 
 
+def test_kafka_records_keep_the_window_as_a_header(spark):
+    counts = spark.sql("select 'dewiki' wiki, timestamp'2024-01-01 00:01:00' window_start, 3L edit_count")
+    (row,) = jobs.kafka_records(jobs.stats_topic_records(counts, keep_window=True)).collect()
+    assert (row.key, row.value) == ("dewiki", "3")
+    assert [(h.key, bytes(h.value)) for h in row.headers] == [("window_start", b"2024-01-01T00:01:00Z")]
+    assert jobs.kafka_records(jobs.stats_topic_records(counts)).columns == ["key", "value"]
+
+
 def test_ingest_stream_is_exactly_once_on_rerun(spark):
     out = stream_catalog.ingest_edits_stream(spark, SMOKE)
     assert _sorted(out) == _sorted(catalog.ingest_edits(spark, SMOKE))
