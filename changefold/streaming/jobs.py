@@ -135,19 +135,28 @@ class InjectedFailure(RuntimeError):
     """Raised by a changelog writer set up to fail once (restart tests)."""
 
 
-def changelog_writer(path: str, fail_once_after_batch: int | None = None) -> Callable[[DataFrame, int], None]:
+def changelog_writer(
+    path: str,
+    fail_once_after_batch: int | None = None,
+    also: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function writing each batch to ``path/batch_id=<n>``.
 
     Overwrite makes a replayed batch idempotent. ``fail_once_after_batch``
     raises once *after* that batch's output was written, to exercise
-    restart-and-replay.
+    restart-and-replay. ``also`` maps further changelog paths to functions of
+    the batch; they read the batch as just written, so it is computed once.
     """
     state = {"failed": False}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if BATCH_COL in batch.columns:
             raise ValueError(f"column name {BATCH_COL!r} is reserved for the changelog")
-        batch.write.mode("overwrite").parquet(f"{path}/{BATCH_COL}={batch_id}")
+        written = f"{path}/{BATCH_COL}={batch_id}"
+        batch.write.mode("overwrite").parquet(written)
+        for other, derive in (also or {}).items():
+            rows = batch.sparkSession.read.schema(batch.schema).parquet(written)
+            derive(rows).write.mode("overwrite").parquet(f"{other}/{BATCH_COL}={batch_id}")
         if fail_once_after_batch is not None and batch_id == fail_once_after_batch and not state["failed"]:
             state["failed"] = True
             raise InjectedFailure(f"injected failure after writing batch {batch_id}")
@@ -163,11 +172,12 @@ def start_changelog(
     output_mode: str = "update",
     query_name: str | None = None,
     fail_once_after_batch: int | None = None,
+    also: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
 ) -> StreamingQuery:
     """Run ``df`` into a changelog table (see module doc)."""
     writer = (
         df.writeStream.outputMode(output_mode)
-        .foreachBatch(changelog_writer(path, fail_once_after_batch))
+        .foreachBatch(changelog_writer(path, fail_once_after_batch, also))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "1 second"}))
     )

@@ -100,17 +100,16 @@ def read_landed_edits(spark: SparkSession, layout: Layout, time_range: tuple | N
 
 
 def start_aggregates(spark: SparkSession, layout: Layout, trigger: dict | None = None) -> dict[str, StreamingQuery]:
-    """Start the three aggregates and the count topic records off the landed edits."""
+    """Start the three aggregates off the landed edits; the query of the minute
+    counts writes the count topic records too (one scan, one state store)."""
     jobs.configure_streaming(spark)
     queries = {}
+    derived = {"edit_counts": {layout.table("edit_stats_topic"): jobs.stats_topic_records}}
     for name, (build, _keys) in AGGREGATES.items():
         queries[name] = jobs.start_changelog(
-            build(landed_edits_stream(spark, layout)), layout.table(name), layout.checkpoint(name), trigger
+            build(landed_edits_stream(spark, layout)), layout.table(name), layout.checkpoint(name), trigger,
+            also=derived.get(name),
         )
-    records = jobs.stats_topic_records(jobs.edit_count_stream(landed_edits_stream(spark, layout)))
-    queries["edit_stats_topic"] = jobs.start_topic_sink(
-        records, layout.checkpoint("edit_stats_topic"), path=layout.table("edit_stats_topic"), trigger=trigger
-    )
     return queries
 
 
