@@ -19,13 +19,13 @@ import datetime as dt
 import json
 import sys
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from changefold.plans import reports
 from changefold.session import build_session
 from changefold.sources.envelope import RAW_TOPIC, read_envelope_stream
 from changefold.streaming import jobs, topology
+from changefold.streaming.tables import NotReady
 
 # Response field names of the original HTTP answers.
 EDIT_COUNT_FIELDS = {"wiki": "wiki", "window_start": "windowStartIso", "window_end": "windowEndIso",
@@ -78,7 +78,9 @@ def cmd_stream(spark: SparkSession, args) -> None:
 
 
 def cmd_ingest(spark: SparkSession, args) -> None:
-    jobs.start_ingest(_source(spark, args), args.checkpoint, path=args.out, trigger=_trigger(args)).awaitTermination()
+    kafka = {"kafka.bootstrap.servers": args.kafka_sink} if args.kafka_sink else None
+    source = _source(spark, args)
+    jobs.start_ingest(source, args.checkpoint, args.out, kafka, _trigger(args)).awaitTermination()
 
 
 def cmd_sse(spark: SparkSession, args) -> None:
@@ -129,8 +131,10 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("stream", help="run decode-once landing and the aggregates")
     s.add_argument("--root", required=True)
     source_args(s)
-    i = sub.add_parser("ingest", help="filtered raw records to a file sink")
-    i.add_argument("--out", required=True)
+    i = sub.add_parser("ingest", help="filtered raw records to files or the raw topic")
+    to = i.add_mutually_exclusive_group(required=True)
+    to.add_argument("--out", help="directory of a Parquet file sink")
+    to.add_argument("--kafka-sink", help="bootstrap servers: write the raw topic instead of files")
     i.add_argument("--checkpoint", required=True)
     source_args(i)
     e = sub.add_parser("sse", help="decode an SSE dump and write the filtered records")
@@ -163,9 +167,7 @@ def main(argv: list[str] | None = None) -> None:
     else:
         try:
             sys.stdout.write(cmd_report(spark, args) + "\n")
-        except AnalysisException as exc:
-            if "PATH_NOT_FOUND" not in str(exc):
-                raise
+        except NotReady:
             # the original answers 503 while its stores are not ready
             raise SystemExit("results not ready yet: the stream may still be starting up") from None
 

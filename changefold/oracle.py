@@ -10,6 +10,7 @@ with the Spark side.
 from __future__ import annotations
 
 from changefold.sources import testdata as td
+from changefold.streaming.catalog import LATE_ARRIVAL_SECONDS, SLICE_SECONDS
 
 _MIN_US = 60_000_000
 _AS_OF_US = td.epoch_us(td.AS_OF)
@@ -39,32 +40,45 @@ env AS (
          CAST(user_id % {len(td.WIKIS)} AS INTEGER) AS "partition",
          t_us,
          [{wikis}][user_id % {len(td.WIKIS)} + 1] AS wiki,
-         'Page_' || CAST(user_id % {td.PAGES} AS VARCHAR) AS title,
+         event_id % {td.VARIANTS} AS v,
+         'Page_' || CAST(user_id % {td.PAGES} AS VARCHAR)
+           || CASE WHEN event_id % {td.VARIANTS} = {td.TITLE_BAR} THEN '|talk' ELSE '' END AS title,
          'User_' || CAST(user_id AS VARCHAR) AS "user",
          (user_id % {td.BOT_EVERY} = 0) AS bot,
          CASE event_type {kinds} ELSE 'categorize' END AS "type",
-         CAST(k % {td.NAMESPACES} AS INTEGER) AS namespace,
+         CAST(k % {td.NAMESPACES} AS VARCHAR) AS ns_text,
+         CASE WHEN event_id % {td.VARIANTS} IN ({td.NAMESPACE_ABSENT}, {td.NAMESPACE_NULL}) THEN 0
+              ELSE CAST(k % {td.NAMESPACES} AS INTEGER) END AS namespace,
          CASE WHEN event_id % {td.COMMENT_OMITTED_EVERY} = 0 THEN NULL ELSE 'evt ' || event_type END AS comment,
          CAST({td.LENGTH_BASE} + user_id AS INTEGER) AS length_old,
          CASE WHEN event_id % {td.LENGTH_NEW_NULL_EVERY} = 0 THEN NULL
               ELSE CAST({td.LENGTH_BASE} + user_id + k - 50 AS INTEGER) END AS length_new,
          t_us // 1000000 AS ts_sec,
-         (event_id % {td.MALFORMED_EVERY} = 0) AS malformed
+         (event_id % {td.MALFORMED_EVERY} = 0) AS cut,
+         (event_id % {td.MALFORMED_EVERY} = 0 OR event_id % {td.VARIANTS} IN
+           ({td.TITLE_NUMBER}, {td.TEXT_AFTER}, {td.OBJECT_AFTER}, {td.NAMESPACE_QUOTED})) AS malformed
   FROM src
 ),
 body AS (
   SELECT *,
-    '{{"type":"' || "type" || '","wiki":"' || wiki || '","title":"' || title || '","user":"' || "user"
+    '{{' || CASE v WHEN {td.UNKNOWN_FIELD} THEN '"extra":{{"type":"log"}},'
+                 WHEN {td.TITLE_TWICE} THEN '"title":"before",' ELSE '' END
+    || '"type":"' || "type" || '","wiki":"' || wiki || '","title":'
+    || CASE WHEN v = {td.TITLE_NUMBER} THEN '7' ELSE '"' || title || '"' END || ',"user":"' || "user"
     || '","bot":' || CASE WHEN bot THEN 'true' ELSE 'false' END
     || ',"timestamp":' || CAST(ts_sec AS VARCHAR)
-    || ',"server_name":"' || wiki || '.x","namespace":' || CAST(namespace AS VARCHAR)
+    || ',"server_name":"' || wiki || '.x"'
+    || CASE v WHEN {td.NAMESPACE_ABSENT} THEN '' WHEN {td.NAMESPACE_NULL} THEN ',"namespace":null'
+              WHEN {td.NAMESPACE_QUOTED} THEN ',"namespace":"' || ns_text || '"'
+              ELSE ',"namespace":' || ns_text END
     || coalesce(',"comment":"' || comment || '"', '')
     || ',"length":{{"old":' || CAST(length_old AS VARCHAR)
-    || coalesce(',"new":' || CAST(length_new AS VARCHAR), '') || '}}}}' AS json_text
+    || coalesce(',"new":' || CAST(length_new AS VARCHAR), '') || '}}}}'
+    || CASE v WHEN {td.TEXT_AFTER} THEN ' tail' WHEN {td.OBJECT_AFTER} THEN '{{}}' ELSE '' END AS json_text
   FROM env
 ),
 raw AS (
-  SELECT *, CASE WHEN malformed THEN left(json_text, length(json_text) - {td.MALFORMED_CUT}) ELSE json_text END AS value
+  SELECT *, CASE WHEN cut THEN left(json_text, length(json_text) - {td.MALFORMED_CUT}) ELSE json_text END AS value
   FROM body
 ),
 edits AS (SELECT * FROM raw WHERE NOT malformed),
@@ -100,6 +114,28 @@ def _late_timed() -> str:
   FROM articles)"""
 
 
+def _slice(delay_us: str = "0") -> str:
+    """Number of the slice in which a record of time t_us arrives."""
+    return f"(t_us + {delay_us}) // 1000000 // {SLICE_SECONDS}"
+
+
+def _sliced(grace_us: int) -> str:
+    """Articles with the watermark (whole milliseconds) that the slices before their own had reached."""
+    delay = f'CASE WHEN "offset" % {td.LATE_EVERY} = {td.LATE_REMAINDER} THEN {LATE_ARRIVAL_SECONDS}000000 ELSE 0 END'
+    return f"""sliced AS (SELECT *, {_slice(delay)} AS slice FROM articles),
+tops AS (SELECT slice, max(t_us) AS top FROM sliced GROUP BY slice),
+marks AS (SELECT slice, max(top) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  // 1000 * 1000 - {grace_us} AS mark FROM tops),
+timed AS (SELECT a.*, coalesce(m.mark, 0) AS mark FROM sliced a JOIN marks m ON a.slice = m.slice)"""
+
+
+def _topic_sql(extra: str = "") -> str:
+    """One record for each slice that updates a count: the count so far."""
+    return f"""SELECT wiki AS key,
+  CAST(CAST(sum(count(*)) OVER (PARTITION BY wiki, s ORDER BY slice) AS BIGINT) AS VARCHAR) AS value{extra}
+FROM (SELECT wiki, {_TUMBLE} AS s, {_slice()} AS slice FROM articles) GROUP BY wiki, s, slice"""
+
+
 def _hopping_counts_sql() -> str:
     return f"""SELECT wiki, title, {_iso('s')} AS window_start, {_iso(f's + {5 * _MIN_US}')} AS window_end,
   CAST(count(*) AS BIGINT) AS edit_count
@@ -232,13 +268,21 @@ FROM articles GROUP BY wiki"""
     q["edit_stats_stream"] = q["edit_stats"]
     q["changelog_latest"] = q["bot_ratio"]
     q["ingest_edits_stream"] = q["ingest_edits"]
-    q["edit_stats_topic"] = _with(
-        f"""SELECT wiki AS key, CAST(count(*) AS VARCHAR) AS value
-FROM (SELECT wiki, {_TUMBLE} AS s FROM articles) GROUP BY wiki, s"""
+    q["edit_stats_topic"] = _with(_topic_sql())
+    q["edit_stats_topic_windowed"] = _with(_topic_sql(f", {_iso('s')} AS window_start"))
+    q["edits_per_wiki_minute_late_stream"] = _with(
+        f""", {_sliced(0)}
+SELECT wiki, {_iso('s')} AS window_start, {_iso(f's + {_MIN_US}')} AS window_end,
+  CAST(count(*) AS BIGINT) AS edit_count
+FROM (SELECT wiki, {_TUMBLE} AS s, mark FROM timed)
+WHERE s + {_MIN_US} > mark GROUP BY wiki, s"""
     )
-    q["edit_stats_topic_windowed"] = _with(
-        f"""SELECT wiki AS key, CAST(count(*) AS VARCHAR) AS value, {_iso('s')} AS window_start
-FROM (SELECT wiki, {_TUMBLE} AS s FROM articles) GROUP BY wiki, s"""
+    q["page_edits_hopping_late_stream"] = _with(
+        f""", {_sliced(30_000_000)}
+SELECT wiki, title, {_iso('s')} AS window_start, {_iso(f's + {5 * _MIN_US}')} AS window_end,
+  CAST(count(*) AS BIGINT) AS edit_count
+FROM (SELECT wiki, title, {_TUMBLE} - i * {_MIN_US} AS s, mark FROM timed, unnest([0, 1, 2, 3, 4]) AS h(i))
+WHERE s + {5 * _MIN_US} > mark GROUP BY wiki, title, s"""
     )
     return q
 

@@ -23,6 +23,7 @@ from changefold.sources.testdata import AS_OF, events_envelope
 
 HOT_PAGES_LIMIT = 10
 REPORT_WIKI = "enwiki"
+REPORT_CHUNK_ROWS = 1 << 11  # offsets to a chunk in the late reports, so that small tables merge chunks too
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -176,13 +177,15 @@ def hot_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stats_all_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1 over counts that drop late records (no grace), on the late variant.
     Stream time depends on every earlier record, so the whole table is read."""
-    counts = ops.late_tumbling_counts(_landed_late_articles(spark, sf_dir, "key"), grace_seconds=0)
+    arts = _landed_late_articles(spark, sf_dir, "key")
+    counts = ops.late_tumbling_counts(arts, grace_seconds=0, chunk_rows=REPORT_CHUNK_ROWS)
     return reports.stats_all(counts, AS_OF)
 
 
 def hot_pages_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R3 over hopping counts with the 30 s grace, on the late variant."""
-    windows = ops.late_hopping_counts(_landed_late_articles(spark, sf_dir, "wiki", "title"), grace_seconds=30)
+    arts = _landed_late_articles(spark, sf_dir, "wiki", "title")
+    windows = ops.late_hopping_counts(arts, grace_seconds=30, chunk_rows=REPORT_CHUNK_ROWS)
     return reports.hot_pages(windows, AS_OF, limit=HOT_PAGES_LIMIT)
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changefold.session import ensure_utc
@@ -33,6 +33,12 @@ LENGTH_NEW_NULL_EVERY = 11  # length.new omitted when event_id % 11 == 0
 COMMENT_OMITTED_EVERY = 3  # comment omitted when event_id % 3 == 0
 MALFORMED_EVERY = 97  # body truncated when event_id % 97 == 0
 MALFORMED_CUT = 9  # characters cut off a malformed body
+# Body variants, by event_id % VARIANTS. Accepted: an unknown field, namespace absent or null (0 then), "|" in
+# the title, the title key twice (the last counts). Rejected: a numeric title, text or an object after the body,
+# namespace in quotes.
+VARIANTS = 41
+UNKNOWN_FIELD, NAMESPACE_ABSENT, NAMESPACE_NULL, TITLE_BAR, TITLE_TWICE = 11, 12, 13, 14, 15
+TITLE_NUMBER, TEXT_AFTER, OBJECT_AFTER, NAMESPACE_QUOTED = 16, 17, 18, 19
 LATE_EVERY, LATE_REMAINDER = 50, 7  # late variant: event_id % 50 == 7 ...
 LATE_SHIFT_US = 180_000_000  # ... arrives 180 s behind its position
 SPREAD = 16  # partitions that the bare event columns are dealt over; a cluster passes its own
@@ -53,6 +59,31 @@ def _raw_ts_literal(event_us: int):
     return F.expr(f"TIMESTAMP_NTZ '{text}'")
 
 
+def _with_variant(json: Column, variant: Column, title: Column, namespace: Column, rejected: bool) -> Column:
+    """The body text changed as its variant says (``rejected``: also to bodies
+    that no decoder may accept)."""
+
+    def field(name: str, text: Column) -> Column:
+        return F.concat(F.lit(f'"{name}":'), text)
+
+    def inserted(text: str) -> Column:
+        return F.concat(F.lit("{" + text), F.substr(json, F.lit(2)))
+
+    ns = field("namespace", namespace.cast("string"))
+    quoted_title = field("title", F.concat(F.lit('"'), title, F.lit('"')))
+    out = F.when(variant == UNKNOWN_FIELD, inserted('"extra":{"type":"log"},'))
+    out = out.when(variant == NAMESPACE_ABSENT, F.replace(json, F.concat(ns, F.lit(",")), F.lit("")))
+    out = out.when(variant == NAMESPACE_NULL, F.replace(json, ns, F.lit('"namespace":null')))
+    out = out.when(variant == TITLE_TWICE, inserted('"title":"before",'))
+    if rejected:
+        out = out.when(variant == TITLE_NUMBER, F.replace(json, quoted_title, F.lit('"title":7')))
+        out = out.when(variant == TEXT_AFTER, F.concat(json, F.lit(" tail")))
+        out = out.when(variant == OBJECT_AFTER, F.concat(json, F.lit("{}")))
+        in_quotes = field("namespace", F.concat(F.lit('"'), namespace.cast("string"), F.lit('"')))
+        out = out.when(variant == NAMESPACE_QUOTED, F.replace(json, ns, in_quotes))
+    return out.otherwise(json)
+
+
 def events_envelope(
     spark: SparkSession,
     sf_dir: str,
@@ -90,6 +121,9 @@ def events_envelope(
     ev = ev.withColumn("_event_us", event_us)
     event_us = F.col("_event_us")
 
+    variant = event_id % VARIANTS
+    title = F.concat(F.lit("Page_"), (user_id % PAGES).cast("string"))
+    title = F.when(variant == TITLE_BAR, F.concat(title, F.lit("|talk"))).otherwise(title)
     wiki = F.try_element_at(F.array(*[F.lit(w) for w in WIKIS]), (user_id % len(WIKIS)).cast("int") + 1)
     etype = F.col("event_type")
     kind = F.lit("categorize")
@@ -106,7 +140,7 @@ def events_envelope(
     body = F.struct(
         kind.alias("type"),
         wiki.alias("wiki"),
-        F.concat(F.lit("Page_"), (user_id % PAGES).cast("string")).alias("title"),
+        title.alias("title"),
         F.concat(F.lit("User_"), user_id.cast("string")).alias("user"),
         (user_id % BOT_EVERY == 0).alias("bot"),
         F.expr("_event_us div 1000000").alias("timestamp"),  # epoch seconds
@@ -117,6 +151,7 @@ def events_envelope(
     )
     # serialize once into its own column; the truncation below refers to it
     ev = ev.withColumn("_json", F.to_json(body, {"ignoreNullFields": "true"}))
+    ev = ev.withColumn("_json", _with_variant(F.col("_json"), variant, title, k % NAMESPACES, malformed))
     value = F.col("_json")
     if malformed:
         value = F.when(

@@ -1,10 +1,10 @@
 """Streaming forms of the catalog queries.
 
-Each query lands the adapted ``events`` records as Parquet files in time
-slices (aligned to ``SLICE_SECONDS``, so no one-minute window spans two
-slices) and, after each slice arrives, runs its streaming query with
+Each query lands the adapted ``events`` records as Parquet files in slices of
+arrival time and, after each slice arrives, runs its streaming query with
 ``availableNow`` from the same checkpoint -- every slice after the first is a
-restart from durable state. The DataFrame returned reads the query's result
+restart from durable state. ``SLICE_SECONDS`` is no whole number of minutes,
+so windows at a border are updated by two batches. The DataFrame returned reads the query's result
 table. Nothing here collects data: the driver only sees slice numbers.
 """
 
@@ -14,26 +14,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import StreamingQueryException
+from pyspark.sql.streaming import StreamingQuery
 
 from changefold import operators as ops
 from changefold.functions import iso_utc
 from changefold.session import scratch_path
 from changefold.sources.envelope import read_envelope_stream
-from changefold.sources.testdata import events_envelope
+from changefold.sources.testdata import LATE_EVERY, LATE_REMAINDER, events_envelope
 from changefold.streaming import jobs
 
-SLICE_SECONDS = 4 * 3600
+SLICE_SECONDS = 6 * 3600 - 17
+# The late queries: one record in LATE_EVERY arrives two hours after its event time.
+LATE_ARRIVAL_SECONDS = 7200
 STATE_PARTITIONS = 8  # fixed for a checkpoint's life, so an explicit parameter
 AVAILABLE_NOW = {"availableNow": True}
 
 
 def land_in_slices(
-    spark: SparkSession, envelope: DataFrame, slice_seconds: int = SLICE_SECONDS
+    spark: SparkSession, envelope: DataFrame, slice_seconds: int = SLICE_SECONDS, late: bool = False
 ) -> tuple[str, list[int]]:
-    """Stage the envelope partitioned by time slice (one pass over the input)."""
+    """Stage the envelope partitioned by slice of arrival time (one pass over
+    the input). Records arrive at their event time, ``late`` ones after it."""
     staging = scratch_path(spark, "staged-envelope")
-    slice_col = F.floor(F.unix_seconds("timestamp") / F.lit(slice_seconds)).cast("bigint")
+    arrival = F.unix_seconds("timestamp")
+    if late:
+        arrival += F.when(F.col("offset") % LATE_EVERY == LATE_REMAINDER, LATE_ARRIVAL_SECONDS).otherwise(0)
+    slice_col = F.floor(arrival / F.lit(slice_seconds)).cast("bigint")
     envelope.withColumn("_slice", slice_col).write.partitionBy("_slice").parquet(staging)
     slices = sorted(r[0] for r in spark.read.parquet(staging).select("_slice").distinct().collect())
     return staging, slices
@@ -42,45 +48,39 @@ def land_in_slices(
 def run_over_slices(
     spark: SparkSession,
     sf_dir: str,
-    start: Callable[[DataFrame], object],
-    restart_on_injected_failure: bool = False,
+    start: Callable[[DataFrame], StreamingQuery],
     state_partitions: int = STATE_PARTITIONS,
+    late: bool = False,
 ) -> None:
     """Feed the adapted records slice by slice; after each, run ``start(stream)``
     to completion (``start`` builds and starts the streaming query).
 
     The number of state partitions of a stateful query is fixed by
     ``spark.sql.shuffle.partitions`` when its checkpoint is created; it is
-    ``state_partitions`` here (the session's value is restored afterwards) instead of inheriting a batch-oriented setting such as 200.
+    ``state_partitions`` here (the session's value is restored afterwards)
+    instead of inheriting a batch-oriented setting such as 200.
     """
     jobs.configure_streaming(spark)
-    staging, slices = land_in_slices(spark, events_envelope(spark, sf_dir))
+    staging, slices = land_in_slices(spark, events_envelope(spark, sf_dir), late=late)
     landing = scratch_path(spark, "landing")
     with jobs.state_partitions(spark, state_partitions):
         for s in slices:
             spark.read.parquet(f"{staging}/_slice={s}").write.mode("append").parquet(landing)
-            query = start(read_envelope_stream(spark, landing))
-            try:
-                query.awaitTermination()
-            except StreamingQueryException as exc:
-                if not (restart_on_injected_failure and "injected failure" in str(exc)):
-                    raise
-                query = start(read_envelope_stream(spark, landing), retry=True)
-                query.awaitTermination()
+            start(read_envelope_stream(spark, landing)).awaitTermination()
 
 
 def _articles(stream: DataFrame) -> DataFrame:
     return ops.article_edits(ops.parse_edits(stream))
 
 
-def _changelog_query(build: Callable[[DataFrame], DataFrame], keys: list[str], name: str):
+def _changelog_query(build: Callable[[DataFrame], DataFrame], keys: list[str], name: str, late: bool = False):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         table, ckpt = scratch_path(spark, f"{name}-table"), scratch_path(spark, f"{name}-ckpt")
 
-        def start(stream: DataFrame, retry: bool = False):
-            return jobs.start_changelog(build(_articles(stream)), table, ckpt, AVAILABLE_NOW)
+        def start(stream: DataFrame):
+            return jobs.start_changelog(build(_articles(stream)), table, ckpt, AVAILABLE_NOW, keys=keys)
 
-        run_over_slices(spark, sf_dir, start)
+        run_over_slices(spark, sf_dir, start, late=late)
         return jobs.read_latest(spark, table, keys)
 
     return run
@@ -100,6 +100,19 @@ def page_edits_hopping_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _iso(run(spark, sf_dir))
 
 
+def edits_per_wiki_minute_late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 as a stream: a late record is dropped when its window had ended by the
+    highest event time of the slices before its own."""
+    run = _changelog_query(jobs.edit_count_stream, ["wiki", "window_start"], "a1-late", late=True)
+    return _iso(run(spark, sf_dir))
+
+
+def page_edits_hopping_late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 as a stream: as above with 30 s of grace, decided window by window."""
+    run = _changelog_query(jobs.page_hopping_stream, ["wiki", "title", "window_start"], "a2-late", late=True)
+    return _iso(run(spark, sf_dir))
+
+
 def bot_ratio_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _changelog_query(jobs.bot_ratio_stream, ["wiki"], "a3-stream")
     return ops.with_bot_share(run(spark, sf_dir))
@@ -113,7 +126,7 @@ def edit_stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _topic(spark: SparkSession, sf_dir: str, keep_window: bool) -> DataFrame:
     table, ckpt = scratch_path(spark, "topic-table"), scratch_path(spark, "topic-ckpt")
 
-    def start(stream: DataFrame, retry: bool = False):
+    def start(stream: DataFrame):
         records = jobs.stats_topic_records(jobs.edit_count_stream(_articles(stream)), keep_window=keep_window)
         return jobs.start_topic_sink(records, ckpt, path=table, trigger=AVAILABLE_NOW)
 
@@ -132,18 +145,15 @@ def edit_stats_topic_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changelog_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running totals through the changelog with a failure injected after a
-    batch was written; the restarted query replays that batch over its own
-    output, and the latest view still equals the batch answer."""
+    """Running totals through the changelog, folded after every second batch;
+    the latest view over the fold and its tail equals the batch answer."""
     table, ckpt = scratch_path(spark, "s5-table"), scratch_path(spark, "s5-ckpt")
 
-    def start(stream: DataFrame, retry: bool = False):
-        fail_at = None if retry else 1
-        return jobs.start_changelog(
-            jobs.bot_ratio_stream(_articles(stream)), table, ckpt, AVAILABLE_NOW, fail_once_after_batch=fail_at
-        )
+    def start(stream: DataFrame):
+        totals = jobs.bot_ratio_stream(_articles(stream))
+        return jobs.start_changelog(totals, table, ckpt, AVAILABLE_NOW, keys=["wiki"], fold_every=2)
 
-    run_over_slices(spark, sf_dir, start, restart_on_injected_failure=True)
+    run_over_slices(spark, sf_dir, start)
     return ops.with_bot_share(jobs.read_latest(spark, table, ["wiki"]))
 
 
@@ -151,7 +161,7 @@ def ingest_edits_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ingest filter as a stream into an exactly-once Parquet file sink."""
     out, ckpt = scratch_path(spark, "ingest-out"), scratch_path(spark, "ingest-ckpt")
 
-    def start(stream: DataFrame, retry: bool = False):
+    def start(stream: DataFrame):
         return jobs.start_ingest(stream, ckpt, path=out, trigger=AVAILABLE_NOW)
 
     run_over_slices(spark, sf_dir, start)
@@ -161,6 +171,8 @@ def ingest_edits_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM_QUERIES = {
     "edits_per_wiki_minute_stream": edits_per_wiki_minute_stream,
     "page_edits_hopping_stream": page_edits_hopping_stream,
+    "edits_per_wiki_minute_late_stream": edits_per_wiki_minute_late_stream,
+    "page_edits_hopping_late_stream": page_edits_hopping_late_stream,
     "bot_ratio_stream": bot_ratio_stream,
     "edit_stats_stream": edit_stats_stream,
     "edit_stats_topic": edit_stats_topic,

@@ -2,10 +2,10 @@
 
 Each aggregate runs as its own ``StreamingQuery`` with its own checkpoint
 (durable state across restarts). Results leave the query as an **update-mode
-changelog**: ``foreachBatch`` writes each micro-batch's updated rows to
-``<table>/batch_id=<n>`` with overwrite, so a batch replayed after a failure
-replaces its own output instead of duplicating it. ``read_latest`` turns the
-changelog into the current table (latest row per key by ``batch_id``).
+changelog** (``streaming.tables``): ``foreachBatch`` publishes each
+micro-batch's updated rows once and whole, and keyed tables are folded into
+their current rows now and then. ``read_latest`` turns the changelog into the
+current table (latest row per key by ``batch_id``).
 
 Late data: a watermark of ``grace`` behind the highest event time. With
 ``spark.sql.streaming.statefulOperator.allowMultiple=false`` a micro-batch's
@@ -29,6 +29,7 @@ from pyspark.sql.streaming import StreamingQuery
 from changefold import operators as ops
 from changefold.functions import guarded_ratio
 from changefold.sources.envelope import STATS_TOPIC
+from changefold.streaming import tables
 
 # Producer settings of the original sinks (all replicas
 # acknowledge, idempotent producer, 3 retries); callers may override them.
@@ -36,7 +37,8 @@ KAFKA_PRODUCER_DEFAULTS = {"kafka.acks": "all", "kafka.enable.idempotence": "tru
 
 TUMBLING_GRACE = "0 seconds"
 HOPPING_GRACE = "30 seconds"
-BATCH_COL = "batch_id"
+BATCH_COL = tables.BATCH_COL
+FOLD_EVERY = 100  # batches between two folds of a keyed table
 
 
 def configure_streaming(spark: SparkSession) -> None:
@@ -131,35 +133,33 @@ def stats_topic_records(counts: DataFrame, keep_window: bool = False) -> DataFra
 # --- sinks ---------------------------------------------------------------------------
 
 
-class InjectedFailure(RuntimeError):
-    """Raised by a changelog writer set up to fail once (restart tests)."""
-
-
 def changelog_writer(
     path: str,
-    fail_once_after_batch: int | None = None,
     also: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+    keys: list[str] | None = None,
+    fold_every: int = FOLD_EVERY,
 ) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function writing each batch to ``path/batch_id=<n>``.
+    """``foreachBatch`` function publishing each batch once (``streaming.tables``).
 
-    Overwrite makes a replayed batch idempotent. ``fail_once_after_batch``
-    raises once *after* that batch's output was written, to exercise
-    restart-and-replay. ``also`` maps further changelog paths to functions of
-    the batch; they read the batch as just written, so it is computed once.
+    A batch replayed after it was published is run for its state and not
+    written again. ``also`` maps further tables to functions of the batch; they
+    read the batch as just written, so it is computed once. With ``keys`` the
+    table is folded into its current rows after every ``fold_every`` batches;
+    without them it is a log that keeps every record.
     """
-    state = {"failed": False}
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if BATCH_COL in batch.columns:
-            raise ValueError(f"column name {BATCH_COL!r} is reserved for the changelog")
-        written = f"{path}/{BATCH_COL}={batch_id}"
-        batch.write.mode("overwrite").parquet(written)
+        spark = batch.sparkSession
+        owner = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        for table in (path, *(also or {})):
+            tables.claim(spark, table, owner)
+        if not tables.write_batch(batch, path, batch_id):
+            batch.write.format("noop").mode("overwrite").save()
         for other, derive in (also or {}).items():
-            rows = batch.sparkSession.read.schema(batch.schema).parquet(written)
-            derive(rows).write.mode("overwrite").parquet(f"{other}/{BATCH_COL}={batch_id}")
-        if fail_once_after_batch is not None and batch_id == fail_once_after_batch and not state["failed"]:
-            state["failed"] = True
-            raise InjectedFailure(f"injected failure after writing batch {batch_id}")
+            if not tables.published(spark, other).has(batch_id):
+                tables.write_batch(derive(tables.read_batch(spark, path, batch_id)), other, batch_id)
+        if keys and len(tables.published(spark, path).tail()) >= fold_every:
+            tables.fold(spark, path, keys)
 
     return write
 
@@ -171,13 +171,14 @@ def start_changelog(
     trigger: dict | None = None,
     output_mode: str = "update",
     query_name: str | None = None,
-    fail_once_after_batch: int | None = None,
     also: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+    keys: list[str] | None = None,
+    fold_every: int = FOLD_EVERY,
 ) -> StreamingQuery:
     """Run ``df`` into a changelog table (see module doc)."""
     writer = (
         df.writeStream.outputMode(output_mode)
-        .foreachBatch(changelog_writer(path, fail_once_after_batch, also))
+        .foreachBatch(changelog_writer(path, also, keys, fold_every))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "1 second"}))
     )
@@ -257,13 +258,11 @@ def start_ingest(
 
 
 def read_changelog(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of a changelog table, with its ``batch_id``."""
-    return spark.read.parquet(path)
+    """Every published record of a changelog table, with its ``batch_id`` (of a
+    folded table: the newest fold and the batches after it)."""
+    return tables.read_published(spark, path)
 
 
 def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Current table of a changelog: per key, the row of the highest batch."""
-    log = read_changelog(spark, path)
-    values = [c for c in log.columns if c not in keys and c != BATCH_COL]
-    latest = log.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col(BATCH_COL)).alias("_latest"))
-    return latest.select(*keys, *[F.col(f"_latest.{v}").alias(v) for v in values])
+    return tables.latest_rows(tables.read_published(spark, path), keys)

@@ -105,10 +105,10 @@ def start_aggregates(spark: SparkSession, layout: Layout, trigger: dict | None =
     jobs.configure_streaming(spark)
     queries = {}
     derived = {"edit_counts": {layout.table("edit_stats_topic"): jobs.stats_topic_records}}
-    for name, (build, _keys) in AGGREGATES.items():
+    for name, (build, keys) in AGGREGATES.items():
         queries[name] = jobs.start_changelog(
             build(landed_edits_stream(spark, layout)), layout.table(name), layout.checkpoint(name), trigger,
-            also=derived.get(name),
+            also=derived.get(name), keys=keys,
         )
     return queries
 

@@ -130,7 +130,7 @@ def test_continuous_stream_runs_until_a_query_stops(spark):
     assert runner.is_alive()  # still serving, not returned early
     local_root = root.removeprefix("file:")
     deadline = time.time() + 120
-    while time.time() < deadline and not glob.glob(f"{local_root}/tables/bot_ratio/batch_id=*/_SUCCESS"):
+    while time.time() < deadline and not glob.glob(f"{local_root}/tables/bot_ratio/commits/batch-*"):
         time.sleep(0.5)
     for q in spark.streams.active:
         q.stop()

@@ -34,9 +34,9 @@ def test_sigkill_then_resume(spark):
     )
     try:
         deadline = time.time() + 180
-        while time.time() < deadline and len(glob.glob(f"{local_table}/batch_id=*/_SUCCESS")) < 3:
+        while time.time() < deadline and len(glob.glob(f"{local_table}/commits/batch-*")) < 3:
             time.sleep(0.2)
-        written = len(glob.glob(f"{local_table}/batch_id=*/_SUCCESS"))
+        written = len(glob.glob(f"{local_table}/commits/batch-*"))
     finally:
         os.killpg(child.pid, signal.SIGKILL)  # the child's own process group: Python + its JVM
         child.wait(timeout=60)

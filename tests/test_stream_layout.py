@@ -8,7 +8,7 @@ from changefold.plans import catalog
 from changefold.session import scratch_path
 from changefold.sources import read_envelope_stream
 from changefold.sources.testdata import events_envelope
-from changefold.streaming import topology
+from changefold.streaming import jobs, topology
 
 SMOKE = "/root/testdata/sf0.001"
 NOW = {"availableNow": True}
@@ -41,7 +41,7 @@ def test_layout_equals_batch(spark):
     live = {r.key[0]: r.value[0] for r in state.collect()}  # (key) -> (count, sum)
     assert live == {r.wiki: r.total_edits for r in totals.collect()}
 
-    topic = spark.read.parquet(layout.table("edit_stats_topic"))
+    topic = jobs.read_changelog(spark, layout.table("edit_stats_topic"))
     assert topic.count() == counts.count()
     assert topic.agg(F.sum(F.col("value").cast("long"))).collect()[0][0] == counts.agg(F.sum("edit_count")).collect()[0][0]
 
