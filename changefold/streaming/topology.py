@@ -5,6 +5,7 @@
         landed edits --> per-wiki minute counts   --> changelog table  (+ count topic records)
         landed edits --> per-page hopping counts  --> changelog table
         landed edits --> running bot/human totals --> changelog table
+        landed edits --> per-editor minute counts --> changelog table  (full window statistics when read)
 
 Decoding happens once; each aggregate reads the landed columns it needs. Each
 query has its own checkpoint under ``root`` (which must be on shared storage),
@@ -44,6 +45,7 @@ AGGREGATES = {
     "edit_counts": (jobs.edit_count_stream, ["wiki", "window_start"]),
     "hot_pages": (jobs.page_hopping_stream, ["wiki", "title", "window_start"]),
     "bot_ratio": (jobs.bot_ratio_stream, ["wiki"]),
+    "editor_counts": (jobs.editor_counts_stream, ["wiki", "window_start", "user"]),
 }
 
 
@@ -100,7 +102,7 @@ def read_landed_edits(spark: SparkSession, layout: Layout, time_range: tuple | N
 
 
 def start_aggregates(spark: SparkSession, layout: Layout, trigger: dict | None = None) -> dict[str, StreamingQuery]:
-    """Start the three aggregates off the landed edits; the query of the minute
+    """Start the aggregates off the landed edits; the query of the minute
     counts writes the count topic records too (one scan, one state store)."""
     jobs.configure_streaming(spark)
     queries = {}
@@ -118,6 +120,11 @@ def current_table(spark: SparkSession, layout: Layout, name: str) -> DataFrame:
     return jobs.read_latest(spark, layout.table(name), AGGREGATES[name][1])
 
 
+def current_edit_stats(spark: SparkSession, layout: Layout) -> DataFrame:
+    """Full per-wiki window statistics (A5) from the per-editor counts."""
+    return jobs.roll_up_editor_counts(current_table(spark, layout, "editor_counts"))
+
+
 def read_state(spark: SparkSession, checkpoint: str, operator_id: int = 0) -> DataFrame:
     """Live state of a stateful query, for inspection only: evicted windows are
     gone, and two aggregates of the same kind (e.g. two counts) can show the

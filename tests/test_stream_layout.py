@@ -1,4 +1,4 @@
-"""Decode-once streaming layout: landing + three aggregates + topic."""
+"""Decode-once streaming layout: landing + aggregates + topic."""
 
 from __future__ import annotations
 
@@ -34,6 +34,8 @@ def test_layout_equals_batch(spark):
     pages = topology.current_table(spark, layout, "hot_pages")
     assert _sorted(catalog._iso(pages)) == _sorted(catalog.page_edits_hopping(spark, SMOKE))
     totals = topology.current_table(spark, layout, "bot_ratio")
+    stats = topology.current_edit_stats(spark, layout)
+    assert _sorted(catalog._iso(stats)) == _sorted(catalog.edit_stats(spark, SMOKE))
     batch = catalog.bot_ratio(spark, SMOKE).select("wiki", "total_edits", "bot_edits")
     assert _sorted(totals) == _sorted(batch)
 
