@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import hashlib
 import json
 import sys
 
@@ -88,7 +89,9 @@ def cmd_sse(spark: SparkSession, args) -> None:
     from changefold.sources import sse
 
     payloads = sse.read_sse_frames(spark, args.dump, frame_sep=args.frame_sep)
-    ops.ingest_edits(sse.payload_envelope(payloads)).write.mode("append").parquet(args.out)
+    # a folder of its own for each dump path: a rerun replaces that dump's records and no others
+    own = hashlib.sha1(args.dump.encode()).hexdigest()[:16]
+    ops.ingest_edits(sse.payload_envelope(payloads)).write.mode("overwrite").parquet(f"{args.out}/dump=d{own}")
 
 
 def cmd_report(spark: SparkSession, args) -> str:
