@@ -7,7 +7,9 @@ tokens. In a leaf, a token is a constant of a place where it recurs over
 everything else being variable. A template of which at least ``similarity`` is
 constant and that occurs in ``support`` documents recurs: it stays in the
 first document that has it and is dropped from all others. A line that recurs
-to the letter, but for its digits, is the template without other fields.
+to the letter, but for its digits, is the template without other fields; it
+too needs ``similarity`` of its tokens constant. A line with more digits than
+that (a row of numbers, dates, ids) is counted as it stands.
 """
 
 from __future__ import annotations
@@ -26,15 +28,21 @@ def _tokens(line: Column) -> Column:
     return F.array_remove(F.split(masked, "[\\x20\\x09-\\x0D]+"), "")
 
 
+def _as_is(line: Column) -> Column:
+    """A hash of the tokens with their digits, unlike that of masked tokens."""
+    return F.xxhash64(F.array_remove(F.split(line, "[\\x20\\x09-\\x0D]+"), ""), F.lit(1))
+
+
 def _leaf(depth: int) -> Column:
     return F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
 
 
 def _lines(docs: DataFrame, least_tokens: int) -> DataFrame:
-    """(keys, doc_id, at, tokens): the lines long enough for the tree."""
+    """(keys, doc_id, at, line, tokens): the lines long enough for the tree."""
     each = docs.select(*KEYS, "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     each = each.where(F.char_length("line") >= 2 * least_tokens - 1)
-    return each.select(*KEYS, "doc_id", "at", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= least_tokens)
+    each = each.select(*KEYS, "doc_id", "at", "line", _tokens(F.col("line")).alias("tokens"))
+    return each.where(F.size("tokens") >= least_tokens)
 
 
 def recurring_lines(
@@ -45,12 +53,21 @@ def recurring_lines(
     the first doc_id of the template.
 
     Only templates of ``general`` tokens or more have fields beside digits.
+    Lines with less than ``similarity`` of their tokens free of digits are
+    counted by a hash of the line with its digits.
     Lines are counted as hashes; the tokens themselves are read again only for
     leaves with ``support`` variants. Counting is by partial sums, so a line
     in every document is one row a task."""
+    n = F.size("tokens")
+    shaped = F.size(F.array_remove("tokens", "<*>")) >= similarity * n
     lines = materialize(
         _lines(docs, least_tokens).select(
-            *KEYS, "doc_id", "at", _leaf(depth).alias("leaf"), F.xxhash64("tokens").alias("sig"), F.size("tokens").alias("n")
+            *KEYS,
+            "doc_id",
+            "at",
+            _leaf(depth).alias("leaf"),
+            F.when(shaped, F.xxhash64("tokens")).otherwise(_as_is(F.col("line"))).alias("sig"),
+            F.when(shaped, n).otherwise(0).alias("n"),  # 0: no line of the tree
         ),
         "lines",
     )

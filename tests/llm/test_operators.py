@@ -217,6 +217,20 @@ def test_lines_odd_rows(spark):
     assert rows(line_templates.dedup_lines(empty_docs(spark))) == []
 
 
+def test_lines_of_numbers_are_not_one_line(spark):
+    numbers = ["12 45 19 20 33", "7 8 9 10 11", "2020-01-02 3.50 4.75 0x1f 99", "41 42 43 44 45"]
+    docs = [(i, f"{line}\ntotal {i} {i + 1} {i + 2} {i + 3}") for i, line in enumerate(numbers)]
+    docs += [(10 + i, "5 6 7 8 9\nof its own") for i in range(3)]  # recurs to the letter
+    docs += [(20 + i, f"page {i} of the long printed annual report") for i in range(3)]  # one digit field
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in rows(line_templates.dedup_lines(frame))}
+    assert all(got[i] == text for i, text in docs[:5])
+    assert got[11] == got[12] == "of its own"
+    assert got[20] == docs[7][1] and got[21] == got[22] == ""
+    staged = corpus_pipeline.line_stage(spark, frame, SF)
+    assert {r["doc_id"] for r in rows(staged)} == {0, 1, 2, 3, 10, 11, 12, 20}
+
+
 # -- op3
 
 
