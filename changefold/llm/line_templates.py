@@ -10,6 +10,10 @@ first document that has it and is dropped from all others. A line that recurs
 to the letter, but for its digits, is the template without other fields; it
 too needs ``similarity`` of its tokens constant. A line with more digits than
 that (a row of numbers, dates, ids) is counted as it stands.
+
+Beside the templates, lines may be counted to the letter: long ones recur from
+``verbatim`` documents on, lines too short for the tree from ``brief`` / number
+of tokens on, so the fewer words the more documents.
 """
 
 from __future__ import annotations
@@ -22,6 +26,10 @@ from changefold.session import materialize
 _MASK = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 _DROPPED = "__dropped"
 
+#: The rule of the registered queries: a long line recurs to the letter in two
+#: documents, one of 4, 3, 2 or 1 tokens in 10, 14, 20 or 40.
+LETTER = {"verbatim": 2, "brief": 40}
+
 
 def _tokens(line: Column) -> Column:
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _MASK, "<*>")).otherwise(line)
@@ -46,7 +54,14 @@ def _lines(docs: DataFrame, least_tokens: int) -> DataFrame:
 
 
 def recurring_lines(
-    docs: DataFrame, least_tokens: int = 5, depth: int = 3, support: int = 3, similarity: float = 0.7, general: int = 8
+    docs: DataFrame,
+    least_tokens: int = 5,
+    depth: int = 3,
+    support: int = 3,
+    similarity: float = 0.7,
+    general: int = 8,
+    verbatim: int | None = None,
+    brief: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(lines, recurring): lines (keys, doc_id, at, leaf, sig) of ``keyed``
     docs as hashes, and (sig, first), the variants whose template recurs with
@@ -54,28 +69,38 @@ def recurring_lines(
 
     Only templates of ``general`` tokens or more have fields beside digits.
     Lines with less than ``similarity`` of their tokens free of digits are
-    counted by a hash of the line with its digits.
+    counted by a hash of the line with its digits. With ``verbatim`` so are
+    all lines, from that many documents on; with ``brief`` also those of fewer
+    than ``least_tokens`` tokens, from ``brief`` / tokens documents on. A line
+    with digits then has two rows in lines, one for each way.
     Lines are counted as hashes; the tokens themselves are read again only for
     leaves with ``support`` variants. Counting is by partial sums, so a line
     in every document is one row a task."""
     n = F.size("tokens")
-    shaped = F.size(F.array_remove("tokens", "<*>")) >= similarity * n
+    fixed = F.size(F.array_remove("tokens", "<*>"))
+    own, none = _as_is(F.col("line")), F.lit(0)  # none: no line of the tree
+    exact_need = F.lit(support if verbatim is None else min(support, verbatim))
+
+    def way(sig: Column, need: Column, n: Column) -> Column:
+        return F.struct(sig.alias("sig"), need.cast("int").alias("need"), n.alias("n"))
+
+    masked, letter = way(F.xxhash64("tokens"), F.lit(support), n), way(own, exact_need, none)
+    both_ways = F.array(masked) if verbatim is None else F.array(masked, letter)
+    ways = F.when(fixed == n, F.array(way(F.xxhash64("tokens"), exact_need, n)))
+    ways = ways.when(fixed >= similarity * n, both_ways).otherwise(F.array(letter))
+    if brief is not None:
+        ways = F.when(n < least_tokens, F.array(way(own, F.ceil(F.lit(brief) / n), none))).otherwise(ways)
     lines = materialize(
-        _lines(docs, least_tokens).select(
-            *KEYS,
-            "doc_id",
-            "at",
-            _leaf(depth).alias("leaf"),
-            F.when(shaped, F.xxhash64("tokens")).otherwise(_as_is(F.col("line"))).alias("sig"),
-            F.when(shaped, n).otherwise(0).alias("n"),  # 0: no line of the tree
+        _lines(docs, least_tokens if brief is None else 1).select(
+            *KEYS, "doc_id", "at", _leaf(depth).alias("leaf"), F.inline(ways)
         ),
         "lines",
     )
-    once = lines.groupBy("sig", "leaf", "n", *KEYS).agg(F.min("doc_id").alias("doc_id"))
+    once = lines.groupBy("sig", "leaf", "n", "need", *KEYS).agg(F.min("doc_id").alias("doc_id"))
     variants = materialize(
-        once.groupBy("sig", "leaf", "n").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")), "variants"
+        once.groupBy("sig", "leaf", "n", "need").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")), "variants"
     )
-    exact = variants.where(F.col("docs") >= support).select("sig", "first")
+    exact = variants.where(F.col("docs") >= F.col("need")).select("sig", "first")
     leaves = variants.where(F.col("n") >= general).groupBy("leaf").agg(F.count("*").alias("variants"))
     leaves = materialize(leaves.where(F.col("variants") >= support).select("leaf"), "leaves")
     spoken = (
@@ -136,7 +161,7 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
 
     Reads doc_id and text; other columns pass through whatever their names. A
     null text stays null and has no lines. Lines of fewer than
-    ``least_tokens`` tokens always stay. The smallest doc_id that has a
+    ``least_tokens`` tokens stay unless ``brief`` is given. The smallest doc_id that has a
     template keeps all its lines of it; a null doc_id keeps them only if no
     document with an id has it. Equal rows count as one document and get equal
     texts. A document that loses all lines has an empty text. An empty table

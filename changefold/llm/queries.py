@@ -38,7 +38,8 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_templates.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_templates.dedup_lines(docs, **line_templates.LETTER)
     return out.select("doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"))
 
 

@@ -29,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines stay in their first document. A document left without a
     word by that is a copy of others' lines and goes; n_chars follows the text."""
-    out = line_templates.dedup_lines(docs)
+    out = line_templates.dedup_lines(docs, **line_templates.LETTER)
     blank = (F.col("__n_dropped") > 0) & (F.char_length(F.translate("text", " \t\n\x0b\f\r", "")) == 0)
     out = out.where(~F.coalesce(blank, F.lit(False)))
     if "n_chars" in docs.columns:

@@ -231,6 +231,18 @@ def test_lines_of_numbers_are_not_one_line(spark):
     assert {r["doc_id"] for r in rows(staged)} == {0, 1, 2, 3, 10, 11, 12, 20}
 
 
+def test_lines_to_the_letter(spark, tmp_path):
+    twice = "this long passage stands word for word in two documents"
+    numbered = "see page 12 of the long printed report"
+    docs = [(i, f"{twice if i < 2 else 'x'}\n{numbered if i in (5, 6) else 'y'}\nAll rights reserved.\nThanks.") for i in range(14)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in rows(queries.op2_line_templates(spark, str(tmp_path)))}
+    assert got[0] == docs[0][1]  # first to have each
+    assert twice not in got[1] and numbered in got[5] and numbered not in got[6]
+    assert all("rights" not in got[i] and "Thanks." in got[i] for i in range(1, 14))
+    assert got[2] == "x\ny\nThanks."
+
+
 # -- op3
 
 
