@@ -7,8 +7,9 @@ subsequence; shared lines are the site's template and are deleted. Markup that
 says what a line is comes first: menus, headers, footers, asides, notices,
 adverts, forms, scripts and comments go on every page, and lines inside the
 page's own article or main element are not deleted for being shared, because
-two pages may publish one article. Differencing thus decides about lines that
-the markup leaves open.
+two pages may publish one article. Differencing decides about the lines that
+the markup leaves open, on every page: those beside an article stay, unless
+they are shared.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -115,10 +117,14 @@ def shared(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
 
 
 def main_text(own: list[tuple[int, str]], deleted: set[int]) -> str:
-    """The article's lines; of a page that marks none, the open lines that are
-    not ``deleted`` (numbers among the open lines)."""
-    kept = [t for role, t in own if role == KEPT]
-    return " ".join(kept or [t for i, (_, t) in enumerate(own) if i not in deleted])
+    """The article's lines and the open lines that are not ``deleted``
+    (numbers among the open lines), in the order of the page."""
+    out, at = [], 0
+    for role, text in own:
+        if role == KEPT or at not in deleted:
+            out.append(text)
+        at += role == OPEN
+    return " ".join(out)
 
 
 def _ranks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,21 +142,28 @@ def _ranks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _open_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Open lines, and a hash of the article's (null: none)."""
     for frame in frames:
-        found = [[t for role, t in lines(h or "") if role == OPEN] for h in frame["html"]]
-        yield frame.drop(columns="html").assign(open=found)
+        parsed = [lines(h or "") for h in frame["html"]]
+        found = [[t for role, t in own if role == OPEN] for own in parsed]
+        articles = ["\n".join(t for role, t in own if role == KEPT) for own in parsed]
+        digests = [blake2b(a.encode("utf-8", "replace"), digest_size=8).digest() if a else None for a in articles]
+        yield frame.drop(columns="html").assign(open=found, article=digests)
 
 
 def _difference(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Numbers of the open lines that a page shares with a page beside it."""
     for g in contiguous(frames, ["host_key", "pair"]):
-        found = [list(x) for x in g["open"]]
+        found, articles = [list(x) for x in g["open"]], list(g["article"])
         deleted: list[set[int]] = [set() for _ in found]
         for i in range(len(found) - 1):
             x, y = shared(found[i], found[i + 1])
-            if len(x) < len(found[i]) or len(y) < len(found[i + 1]):  # else the pages are copies
-                deleted[i] |= x
-                deleted[i + 1] |= y
+            same = len(x) == len(found[i]) and len(y) == len(found[i + 1])
+            if same and articles[i] == articles[i + 1]:
+                continue  # the pages are copies
+            for k, z in ((i, x), (i + 1, y)):
+                if not same or articles[k] is not None:  # a page without an article is not emptied
+                    deleted[k] |= z
         out = pd.DataFrame({"k1": g["k1"].to_numpy(), "k2": g["k2"].to_numpy(), "deleted": [sorted(d) for d in deleted]})
         yield out[out["deleted"].str.len() > 0]
 
@@ -208,12 +221,12 @@ def extract_text(pages: DataFrame) -> DataFrame:
         {"k1": F.xxhash64("page_id", "url", "html"), "k2": F.hash("page_id", "url", "html")}
     )
     parsed = materialize(
-        base.mapInPandas(_open_lines, "page_id long, url string, open array<string>, k1 long, k2 int"), "open-lines"
+        base.mapInPandas(_open_lines, "page_id long, url string, open array<string>, k1 long, k2 int, article binary"), "open-lines"
     )
     one = parsed.dropDuplicates(keys)
     deleted = materialize(
         neighbours(one)
-        .join(one.select(*keys, "open"), keys)
+        .join(one.select(*keys, "open", "article"), keys)
         .repartition(partitions(pages), "host_key", "pair")
         .sortWithinPartitions("host_key", "pair", "at")
         .mapInPandas(_difference, "k1 long, k2 int, deleted array<int>"),

@@ -543,6 +543,18 @@ def test_page_text_of_documents(spark):
         assert r["text"] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", plain)).split())
 
 
+def test_page_text_beside_an_article(spark):
+    frame = "<body><div>Site name</div><div>Body {0} of its own.</div><article>Card {0}</article><div>Imprint</div></body>"
+    bare = "<body><div>Site name</div><article>Story {0}</article><div>Imprint</div></body>"
+    data = [(i, f"http://a.org/{i}", frame.format(i)) for i in range(3)]
+    data += [(10 + i, f"http://b.org/{i}", bare.format(i)) for i in range(2)]  # open lines are all template
+    data += [(20 + i, f"http://c.org/{i}", frame.format(7)) for i in range(2)]  # copies
+    got = {r["page_id"]: r["text"] for r in rows(html_text.extract_text(spark.createDataFrame(data, "page_id long, url string, html string")))}
+    assert [got[i] for i in range(3)] == [f"Body {i} of its own. Card {i}" for i in range(3)]
+    assert [got[10 + i] for i in range(2)] == ["Story 0", "Story 1"]
+    assert got[20] == got[21] == "Site name Body 7 of its own. Card 7 Imprint"
+
+
 def test_ranks_do_not_depend_on_partitions(spark):
     data = [(i, f"http://{'hot' if i % 3 else f'h{i % 7}'}.org/p/{i % 40}", i, i) for i in range(400)]
     frame = spark.createDataFrame(data, "page_id long, url string, k1 long, k2 int")
