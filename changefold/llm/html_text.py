@@ -33,13 +33,26 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
 )
-#: Fixed: class, id and role tokens that name what is not the article.
+#: Fixed: whole class, id and role tokens that name what is not the article,
+#: and the compounds of them that name the same; other compounds (has-sidebar,
+#: page-with-nav, search-result, entry-header) say something of a page's body.
 BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|gdpr|popup|modal|newsletter|subscribe|"
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|gdpr|popup|modal|newsletter|subscribe|"
     r"nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|widget|related|share|sharing|social|"
-    r"comments?|commentlist|respond|replies|reply|disqus|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])",
+    r"comments?|commentlist|respond|replies|reply|disqus|pagination|pager|complementary|contentinfo|search|"
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*)[-_](?:slot|unit|box|block|banner|container|wrapper|area|space|label|links?|\d+)|"
+    r"(?:cookie|consent|gdpr|privacy)[-_](?:notice|banner|bar|consent|popup|message|overlay)|"
+    r"(?:site|main|global|top|primary|secondary|bottom|mobile|sub)[-_](?:nav|navbar|navigation|menu|header|footer|sidebar|banner)|"
+    r"(?:nav|navbar|navigation|menu|footer|header|sidebar|widget)[-_](?:menu|links?|list|items?|bar|area|inner|top|bottom|left|right|nav|widgets?)|"
+    r"(?:related|share|sharing|social|comments?|reply)[-_](?:posts?|articles?|stories|content|links?|list|items?|buttons?|bar|icons?|form|area|section|wrapper|container|box|body|respond)|"
+    r"(?:post|posts|entry|article|page)[-_](?:navigation|nav|pagination|share|sharing|related|comments?|footer)|"
+    r"search[-_](?:form|box|bar|field|input|button|toggle)|"
+    r"(?:newsletter|subscribe|breadcrumbs?|pagination|pager|popup|modal|notice)[-_](?:signup|form|box|bar|banner|nav|list|links?|trail|container|wrapper|dialog|overlay|item)|"
+    r"(?:nav|navbar|menu|footer|sidebar|breadcrumbs?|pagination|share|social|comments?|cookie|modal|popup)(?:__|--)[\w-]+",
     re.I,
 )
+#: Fixed: those whose members are article elements of their own.
+LISTS = re.compile(r"(?:related|comments?|commentlist|respond|replies|reply|disqus)(?:[-_].*)?|(?:post|posts|entry|article|page)[-_](?:related|comments?)", re.I)
 _TAG = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(script|style|noscript|template|svg|iframe|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|"
     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
@@ -48,14 +61,27 @@ _TAG = re.compile(
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 OPEN, KEPT = 0, 1
+#: What makes an element boilerplate, the stronger the higher.
+FREE, NAMED, LISTED, ELEMENT = range(4)
+
+
+def _boiler(name: str, named: str) -> int:
+    if name in DROPPED:
+        return ELEMENT
+    if not named or name in MAIN or name in ("html", "body"):
+        return FREE
+    found = [t for t in named.split() if BOILER.fullmatch(t)]
+    return LISTED if any(LISTS.fullmatch(t) for t in found) else NAMED if found else FREE
 
 
 def lines(page: str) -> list[tuple[int, str]]:
     """(role, text) of each block with text, markup gone, what markup calls
-    boilerplate left out; role KEPT inside an article or main element."""
+    boilerplate left out; role KEPT inside an article or main element. Such an
+    element ends boilerplate that only class and id names around it say, but
+    for an article in an article or in a list of comments or related ones."""
     out: list[tuple[int, str]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, boilerplate from here on, inside the article
+    stack: list[tuple[str, int, bool]] = []  # element, boilerplate from here on, inside the article
 
     def close_block() -> None:
         text = " ".join(entities.unescape("".join(held)).split())
@@ -87,13 +113,16 @@ def lines(page: str) -> list[tuple[int, str]]:
                 close_block()
             continue
         named = " ".join(a or b or c for a, b, c in _NAMED.findall(m[4])) if m[4] else ""
-        boiler = (stack[-1][1] if stack else False) or name in DROPPED or bool(named and name not in ("html", "body") and name not in MAIN and BOILER.search(named))
+        own, above = _boiler(name, named), stack[-1][1] if stack else FREE
+        if above == NAMED and (name == "main" or name == "article" and all(s[0] != "article" for s in stack)):
+            above = FREE
+        boiler = max(above, own)
         if name == "p" or not inline:
             close_block()
         if name in ("p", "li", "tr", "td", "th", "option", "dd", "dt"):  # their end tags are optional
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    boiler = boiler if not stack[i][1] else (stack[i - 1][1] if i else False) or name in DROPPED or bool(named and BOILER.search(named))
+                    boiler = boiler if not stack[i][1] else max(stack[i - 1][1] if i else FREE, own)
                     del stack[i:]
                     break
                 if stack[i][0] not in INLINE and stack[i][0] != "p":

@@ -555,6 +555,20 @@ def test_page_text_beside_an_article(spark):
     assert got[20] == got[21] == "Site name Body 7 of its own. Card 7 Imprint"
 
 
+def test_page_text_in_named_wrappers():
+    for name in ("has-sidebar", "no-sidebar", "page-with-nav", "search-result", "widget", "sidebar"):
+        for element in ("article", "main"):
+            page = f"<body><div class='{name}'><{element}><div class=entry-header>Title</div><p>Body</{element}></div></body>"
+            assert html_text.lines(page) == [(html_text.KEPT, "Title"), (html_text.KEPT, "Body")], page
+        if "-" in name:
+            assert html_text.lines(f"<div id={name}><p>Body</div>") == [(html_text.OPEN, "Body")]
+    for name in ("nav", "site-header", "cookie-notice", "ad", "related-posts", "menu__item", "share-buttons x"):
+        assert html_text.lines(f"<main>a<div class='{name}'><p>b</div></main>") == [(html_text.KEPT, "a")], name
+    for name in ("comments", "comment-list", "related"):
+        assert html_text.lines(f"<div class={name}><article>c</article></div><p>a") == [(html_text.OPEN, "a")]
+    assert html_text.lines("<aside><article>c</article></aside><article>a<div class=widget><article>b</article></div></article>") == [(html_text.KEPT, "a")]
+
+
 def test_ranks_do_not_depend_on_partitions(spark):
     data = [(i, f"http://{'hot' if i % 3 else f'h{i % 7}'}.org/p/{i % 40}", i, i) for i in range(400)]
     frame = spark.createDataFrame(data, "page_id long, url string, k1 long, k2 int")
