@@ -3,8 +3,8 @@
 Normalised vectors at cosine c lie sqrt(2 - 2c) apart. A table hashes a vector
 by ``k`` quantised Gaussian projections, floor((a.x + b) / w); near vectors
 fall into one bucket in some of the ``tables``. At cosine 0.93 one projection
-agrees with probability 0.85, a table of 16 with 0.08 and one of 48 tables
-with 0.98; nearer pairs hardly ever fail. Unrelated vectors agree in a table
+agrees with probability 0.85, a table of 16 with 0.08 and one of 96 tables
+with 0.9995; nearer pairs hardly ever fail. Unrelated vectors agree in a table
 once in a hundred thousand. Every pair of a bucket is then held to its exact
 cosine, in blocks of bounded size.
 """
@@ -103,7 +103,7 @@ def _verify(least: float, chunk: int = 100_000):
 def embedding_components(
     vectors: DataFrame,
     least: float = 0.93,
-    tables: int = 48,
+    tables: int = 96,
     k: int = 16,
     width: float = 2.0,
     seed: int = 7,

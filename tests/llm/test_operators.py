@@ -514,6 +514,22 @@ def test_embedding_table(spark):
     assert got == {v["vec_id"]: int(n) for v, n in zip(data, near.sum(axis=1))}
 
 
+def test_embedding_links_just_over_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    pairs, dims = 3000, 64
+    a = rng.standard_normal((pairs, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((pairs, dims))
+    b -= (b * a).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = np.concatenate([np.full(pairs // 2, 0.9301), rng.uniform(0.93, 0.95, pairs - pairs // 2)])[:, None]
+    x = np.stack([a, c * a + np.sqrt(1 - c * c) * b], axis=1).reshape(-1, dims)
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in rows(embeddings.embedding_components(frame))}
+    lost = sum(got[2 * i + 1]["component_id"] != 2 * i or got[2 * i]["n_links"] != 1 for i in range(pairs))
+    assert lost <= 0.001 * pairs, lost
+
+
 # -- op8
 
 
