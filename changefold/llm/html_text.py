@@ -16,8 +16,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from hashlib import blake2b
 
 import pandas as pd
@@ -137,11 +137,34 @@ def lines(page: str) -> list[tuple[int, str]]:
 
 
 def shared(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
-    """Lines of ``a`` and of ``b`` in their alignment."""
-    x, y = set(), set()
-    for i, j, n in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
-        x.update(range(i, i + n))
-        y.update(range(j, j + n))
+    """Lines of ``a`` and of ``b`` in a longest common subsequence (Hunt and
+    Szymanski, between the common start and the common end)."""
+    start, end, least = 0, 0, min(len(a), len(b))
+    while start < least and a[start] == b[start]:
+        start += 1
+    while end < least - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    x = {*range(start), *range(len(a) - end, len(a))}
+    y = {*range(start), *range(len(b) - end, len(b))}
+    places: dict[str, list[int]] = {}
+    for j in range(len(b) - end - 1, start - 1, -1):
+        places.setdefault(b[j], []).append(j)
+    ends: list[int] = []  # least last line of b of a subsequence of each length
+    chains: list[tuple] = []  # that subsequence from its end
+    for i in range(start, len(a) - end):
+        for j in places.get(a[i], ()):
+            k = bisect_left(ends, j)
+            chain = (i, j, chains[k - 1] if k else None)
+            if k == len(ends):
+                ends.append(j)
+                chains.append(chain)
+            else:
+                ends[k], chains[k] = j, chain
+    chain = chains[-1] if chains else None
+    while chain:
+        x.add(chain[0])
+        y.add(chain[1])
+        chain = chain[2]
     return x, y
 
 

@@ -571,6 +571,25 @@ def test_page_text_beside_an_article(spark):
     assert got[20] == got[21] == "Site name Body 7 of its own. Card 7 Imprint"
 
 
+def test_shared_lines_are_a_longest_common_subsequence():
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for p in a:
+            new = [0]
+            for j, q in enumerate(b):
+                new.append(row[j] + 1 if p == q else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    pick = random.Random(3)
+    cases = [("BAEABBA", "ABCBACD"), ("", "AB"), ("AB", "AB"), ("AA", "A")]
+    cases += [(pick.choices("ABCDE", k=pick.randrange(12)), pick.choices("ABCDE", k=pick.randrange(12))) for _ in range(500)]
+    for a, b in cases:
+        x, y = html_text.shared(list(a), list(b))
+        assert [a[i] for i in sorted(x)] == [b[j] for j in sorted(y)]
+        assert len(x) == len(y) == length(a, b), (a, b)
+
+
 def test_page_text_in_named_wrappers():
     for name in ("has-sidebar", "no-sidebar", "page-with-nav", "search-result", "widget", "sidebar"):
         for element in ("article", "main"):
