@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from changefold.llm import (
     byte_bpe,
+    conversations,
     embeddings,
     html_text,
     language,
+    lexical_search,
     line_templates,
     mixing,
+    oracles,
+    phrase_index,
     quality_rules,
     simhash,
     simple8b,
@@ -83,6 +87,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrase_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), best=50)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,13 +109,20 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_source_mix, op2_line_templates, op3_quality_rules, op4_warc_archive, op5_token_files, op6_simhash,
-        op7_embedding_links, op8_page_text, op9_byte_bpe, op10_language, pipeline,
+        op7_embedding_links, op8_page_text, op9_byte_bpe, op10_language, op11_phrase_index, op12_lexical_search, op13_conversation_repair,
+        pipeline,
     )
     return {f.__name__: f for f in own}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op4_warc_archive": WARC_SQL, "op7_embedding_links": EMBEDDING_SQL}
+    return {
+        "op4_warc_archive": WARC_SQL,
+        "op7_embedding_links": EMBEDDING_SQL,
+        "op11_phrase_index": oracles.PHRASE_SQL,
+        "op12_lexical_search": oracles.SEARCH_SQL,
+        "op13_conversation_repair": oracles.REPAIR_SQL,
+    }
 
 
 WARC_SQL = """
