@@ -8,11 +8,14 @@ malformed or truncated text, and values of the wrong type (``"namespace":
 flagged body is rejected as a whole; defaults are applied only to clean
 bodies.
 
-Two things ``from_json`` alone lets pass are closed in the same parse. The
+Three things ``from_json`` alone lets pass are closed in the same parse. The
 text is decoded as the one element of an array, so that text after the
-closing brace, a second object or a root array spoils it. String fields are
-decoded as variants, which keep the token's own type, so that a number or an
-object in a string field is seen and rejected.
+closing brace, a second object or a root array spoils it. A text could close
+that array itself and go on outside (``{...}],"x":[1`` or ``{...}]} tail``);
+it would need a square bracket, outside its strings, that it has not opened,
+and a text with one is not decoded at all (``_stays_inside``). String fields
+are decoded as variants, which keep the token's own type, so that a number or
+an object in a string field is seen and rejected.
 """
 
 from __future__ import annotations
@@ -56,12 +59,34 @@ _WRAPPED = T.StructType(
 )
 
 
+def _stays_inside(text: Column) -> Column:
+    """False iff a ``]`` outside the text's strings closes more than the text has
+    opened: only so can it leave the array that it is decoded in.
+
+    The parse proves nesting and strings as far as it reads, so up to the first
+    such bracket strings are what stands between two quotes that no backslash
+    precedes. Nearly all bodies have no ``]``, or only in strings, and stop at
+    the first or second test; depth is counted over the brackets of the rest."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"\\.", ""), '"[^"]*"', "")
+    only = F.regexp_replace(bare, r"[^\[\]]", "")
+    steps = F.transform(F.split(only, ""), lambda c: F.when(c == "[", 1).when(c == "]", -1).otherwise(0))
+    run = F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least")),
+        lambda a, x: F.struct((a["depth"] + x).alias("depth"), F.least(a["least"], a["depth"] + x).alias("least")),
+        lambda a: a["least"] >= 0,
+    )
+    return F.when(~text.contains("]"), True).when(~bare.contains("]"), True).otherwise(run)
+
+
 def decode_body(value: Column | str = "value") -> Column:
     """The body in its wrapper, for ``body_field``, ``body_text`` and
-    ``body_accepted`` (null for null text). Compute it once per record, as a
+    ``body_accepted`` (null for null text and for text that leaves the wrapper).
+    Compute it once per record, as a
     column of its own."""
     col = F.col(value) if isinstance(value, str) else value
-    return F.from_json(F.concat(F.lit(f'{{"{_ONE}":['), col, F.lit("]}")), _WRAPPED, _JSON_OPTIONS)
+    decoded = F.from_json(F.concat(F.lit(f'{{"{_ONE}":['), col, F.lit("]}")), _WRAPPED, _JSON_OPTIONS)
+    return F.when(_stays_inside(col), decoded)
 
 
 def body_field(body: Column, name: str) -> Column:

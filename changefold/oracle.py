@@ -14,6 +14,8 @@ from changefold.streaming.catalog import LATE_ARRIVAL_SECONDS, SLICE_SECONDS
 
 _MIN_US = 60_000_000
 _AS_OF_US = td.epoch_us(td.AS_OF)
+_CLOSERS = ", ".join(str(code) for code in td.CLOSERS)
+_CLOSED = " ".join(f"WHEN {code} THEN json_once || '{text}' || json_once" for code, text in td.CLOSERS.items())
 
 
 def _iso(expr: str) -> str:
@@ -56,13 +58,15 @@ env AS (
          t_us // 1000000 AS ts_sec,
          (event_id % {td.MALFORMED_EVERY} = 0) AS cut,
          (event_id % {td.MALFORMED_EVERY} = 0 OR event_id % {td.VARIANTS} IN
-           ({td.TITLE_NUMBER}, {td.TEXT_AFTER}, {td.OBJECT_AFTER}, {td.NAMESPACE_QUOTED})) AS malformed
+           ({td.TITLE_NUMBER}, {td.TEXT_AFTER}, {td.OBJECT_AFTER}, {td.NAMESPACE_QUOTED}, {_CLOSERS})) AS malformed
   FROM src
 ),
 body AS (
-  SELECT *,
+  SELECT *, CASE v {_CLOSED} ELSE json_once END AS json_text FROM (SELECT *,
     '{{' || CASE v WHEN {td.UNKNOWN_FIELD} THEN '"extra":{{"type":"log"}},'
-                 WHEN {td.TITLE_TWICE} THEN '"title":"before",' ELSE '' END
+                 WHEN {td.TITLE_TWICE} THEN '"title":"before",'
+                 WHEN {td.ARRAY_FIELD} THEN '"tags":[["a"],["]"]],'
+                 WHEN {td.BRACKET_TEXT} THEN '"note":"],\\"z\\":[ [[x]], ]}}",' ELSE '' END
     || '"type":"' || "type" || '","wiki":"' || wiki || '","title":'
     || CASE WHEN v = {td.TITLE_NUMBER} THEN '7' ELSE '"' || title || '"' END || ',"user":"' || "user"
     || '","bot":' || CASE WHEN bot THEN 'true' ELSE 'false' END
@@ -74,8 +78,8 @@ body AS (
     || coalesce(',"comment":"' || comment || '"', '')
     || ',"length":{{"old":' || CAST(length_old AS VARCHAR)
     || coalesce(',"new":' || CAST(length_new AS VARCHAR), '') || '}}}}'
-    || CASE v WHEN {td.TEXT_AFTER} THEN ' tail' WHEN {td.OBJECT_AFTER} THEN '{{}}' ELSE '' END AS json_text
-  FROM env
+    || CASE v WHEN {td.TEXT_AFTER} THEN ' tail' WHEN {td.OBJECT_AFTER} THEN '{{}}' ELSE '' END AS json_once
+  FROM env)
 ),
 raw AS (
   SELECT *, CASE WHEN cut THEN left(json_text, length(json_text) - {td.MALFORMED_CUT}) ELSE json_text END AS value

@@ -34,11 +34,15 @@ COMMENT_OMITTED_EVERY = 3  # comment omitted when event_id % 3 == 0
 MALFORMED_EVERY = 97  # body truncated when event_id % 97 == 0
 MALFORMED_CUT = 9  # characters cut off a malformed body
 # Body variants, by event_id % VARIANTS. Accepted: an unknown field, namespace absent or null (0 then), "|" in
-# the title, the title key twice (the last counts). Rejected: a numeric title, text or an object after the body,
-# namespace in quotes.
+# the title, the title key twice (the last counts), arrays in an unknown field, brackets in the comment. Rejected: a
+# numeric title, text or an object after the body, namespace in quotes, and bodies that would close an array around
+# them and add another key, the same key again, a longer key, or text after all.
 VARIANTS = 41
 UNKNOWN_FIELD, NAMESPACE_ABSENT, NAMESPACE_NULL, TITLE_BAR, TITLE_TWICE = 11, 12, 13, 14, 15
 TITLE_NUMBER, TEXT_AFTER, OBJECT_AFTER, NAMESPACE_QUOTED = 16, 17, 18, 19
+ARRAY_FIELD, BRACKET_TEXT = 20, 21
+# What stands between the body and a second copy of it (the last: after the body).
+CLOSERS = {22: '],"z":[', 23: '],"body":[', 24: '],"body2":[', 25: "]} "}
 LATE_EVERY, LATE_REMAINDER = 50, 7  # late variant: event_id % 50 == 7 ...
 LATE_SHIFT_US = 180_000_000  # ... arrives 180 s behind its position
 SPREAD = 16  # partitions that the bare event columns are dealt over; a cluster passes its own
@@ -75,12 +79,16 @@ def _with_variant(json: Column, variant: Column, title: Column, namespace: Colum
     out = out.when(variant == NAMESPACE_ABSENT, F.replace(json, F.concat(ns, F.lit(",")), F.lit("")))
     out = out.when(variant == NAMESPACE_NULL, F.replace(json, ns, F.lit('"namespace":null')))
     out = out.when(variant == TITLE_TWICE, inserted('"title":"before",'))
+    out = out.when(variant == ARRAY_FIELD, inserted('"tags":[["a"],["]"]],'))
+    out = out.when(variant == BRACKET_TEXT, inserted('"note":"],\\"z\\":[ [[x]], ]}",'))
     if rejected:
         out = out.when(variant == TITLE_NUMBER, F.replace(json, quoted_title, F.lit('"title":7')))
         out = out.when(variant == TEXT_AFTER, F.concat(json, F.lit(" tail")))
         out = out.when(variant == OBJECT_AFTER, F.concat(json, F.lit("{}")))
         in_quotes = field("namespace", F.concat(F.lit('"'), namespace.cast("string"), F.lit('"')))
         out = out.when(variant == NAMESPACE_QUOTED, F.replace(json, ns, in_quotes))
+        for code, closer in CLOSERS.items():
+            out = out.when(variant == code, F.concat(json, F.lit(closer), json))
     return out.otherwise(json)
 
 

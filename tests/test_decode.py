@@ -103,6 +103,19 @@ EDGE_CASES = [
     ("Bot instead of bot", _body(bot=_DROP, Bot=True), False),
     ("single quotes", _GOOD.replace('"', "'"), False),
     ("root array", "[" + _GOOD + "]", False),
+    ("closes the array: another key", _GOOD + '],"z":[1', False),
+    ("closes the array: the same key", _GOOD + '],"body":[' + _GOOD, False),
+    ("closes the array: a longer key", _GOOD + '],"body2":[', False),
+    ("closes the array and the wrapper", _GOOD + "]} tail", False),
+    ("closes the wrapper, another root", _GOOD + ']}{"z":[1', False),
+    ("closes the array in front", '],"body":[' + _GOOD, False),
+    ("closes after a string of brackets", _body(comment="[[[") + '],"z":["[', False),
+    ("closes after an escaped quote", _body(comment='\\" [[') + '],"z":[1', False),
+    ("closes after an array of its own", _body(tags=[1, [2]]) + '],"z":[[1]', False),
+    ("arrays of its own", _body(tags=["a", ["]", []], {"x": [1]}]), True),
+    ("brackets in strings", _body(comment=']],"body":[ ]} \\" ]', title="[[T]]"), True),
+    ("a quote and brackets in a string", _body(comment='say "]" \\\\', note="]"), True),
+    ("a long string of escapes", _body(comment='\\"]' * 20000), True),
     ("truncated", _GOOD[:-9], False),
     ("raw newline in string", _GOOD.replace("Peat bog", "Peat\nbog"), False),
     ("empty text", "", False),
