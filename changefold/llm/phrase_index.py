@@ -145,7 +145,7 @@ def _starts_of(wanted: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def _intersect(slop: int):
     def run(asked: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"segment": [], "doc": [], "windows": [], "starts": [], "stops": []})
+        none = pd.DataFrame(columns=["segment", "doc", "windows", "starts", "stops"], dtype=object)
         head = lists["term"].isna().to_numpy()
         if not len(asked) or not head.any():
             return none
