@@ -88,7 +88,7 @@ def cmd_sse(spark: SparkSession, args) -> None:
     from changefold import operators as ops
     from changefold.sources import sse
 
-    payloads = sse.read_sse_frames(spark, args.dump, frame_sep=args.frame_sep)
+    payloads = sse.read_sse_frames(spark, args.dump)
     # a folder of its own for each dump path: a rerun replaces that dump's records and no others
     own = hashlib.sha1(args.dump.encode()).hexdigest()[:16]
     ops.ingest_edits(sse.payload_envelope(payloads)).write.mode("overwrite").parquet(f"{args.out}/dump=d{own}")
@@ -143,7 +143,6 @@ def parser() -> argparse.ArgumentParser:
     e = sub.add_parser("sse", help="decode an SSE dump and write the filtered records")
     e.add_argument("--dump", required=True)
     e.add_argument("--out", required=True)
-    e.add_argument("--frame-sep", default="\n\n")
     r = sub.add_parser("report", help="answer one question from the result tables")
     r.add_argument("question", choices=["stats", "stats-wiki", "hot-pages", "bot-ratio"])
     r.add_argument("--root", required=True)

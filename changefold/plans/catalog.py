@@ -88,11 +88,13 @@ def edit_length_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Land the raw records as an SSE dump (Spark job), then decode it back.
+    """Land the raw records as SSE dumps (Spark job), then decode them back.
 
     Frames carry ``event:`` and ``id:`` lines; every 7th payload is split over
     two ``data:`` lines, every 17th frame has an ignored ``data:`` line
-    without the space, and heartbeat comment frames sit between them.
+    without the space, and heartbeat comment frames sit between them. A third
+    of the dumps ends lines with LF, a third with CRLF, a third is compressed;
+    files end in a frame that is cut off.
     """
     return sse.read_sse_frames(spark, _land_sse_dump(spark, sf_dir))
 
@@ -110,10 +112,21 @@ def _land_sse_dump(spark: SparkSession, sf_dir: str) -> str:
     split_at = F.when(offset % 7 == 3, F.lit(20)).otherwise(F.lit(0))
     frame = sse.sse_frame_text(F.col("value"), offset, split_at)
     frame = F.when(offset % 17 == 5, F.concat(F.lit("data:ignored\n"), frame)).otherwise(frame)
-    heartbeats = env.where(offset % 13 == 0).select(F.lit(":ok").alias("value"))
-    dump = env.select(frame.alias("value")).unionByName(heartbeats)
+    kinds = ("lf", "crlf", "gz")
+    env = env.withColumn("_kind", F.element_at(F.array(*[F.lit(k) for k in kinds]), (offset % 3).cast("int") + 1))
+    heartbeats = env.where(offset % 13 == 0).select("_kind", F.lit(":ok").alias("value"))
+    cut = env.where(offset % 101 == 0).select("_kind", F.substring(frame, 1, 90).alias("value"), F.lit(True).alias("_cut"))
+    whole = env.select("_kind", frame.alias("value")).unionByName(heartbeats).withColumn("_cut", F.lit(False))
+    # the line feed that ends a row of the writer is the second of a whole frame's
+    dump = whole.withColumn("value", F.concat("value", F.lit("\n"))).unionByName(cut)
     path = scratch_path(spark, "sse-dump")
-    dump.write.mode("overwrite").option("lineSep", "\n\n").text(path)
+    for kind in kinds:
+        own = dump.where(F.col("_kind") == kind)
+        if kind == "crlf":
+            own = own.withColumn("value", F.replace("value", F.lit("\n"), F.lit("\r\n")))
+            own = own.withColumn("value", F.concat("value", F.lit("\r")))
+        lines = own.repartition(4).sortWithinPartitions("_cut").select("value")
+        lines.write.option("compression", "gzip" if kind == "gz" else "none").text(f"{path}/kind={kind}")
     return path
 
 

@@ -12,25 +12,31 @@ Decoding rule (one frame = one record):
   emits nothing;
 * line ends are LF or CRLF, in any mixture.
 
-A batch read cuts files at blank lines in parallel splits and cuts the pieces
-again at blank lines of either line end, so ``frame_sep`` decides only how
-finely a dump is split, never what it holds: name ``"\\r\\n\\r\\n"`` for large
-CRLF dumps, whose files are otherwise one record each. Whether a file's last
-piece was terminated follows from the file's size: all records with their
-separators add up to it, or the last one lacks its own.
+Dumps are read line by line, so every uncompressed file is cut into splits
+whatever its line ends, and no more than a batch of lines and one open frame is
+held. Frames are closed by a segmented scan: each split assembles what lies
+between two of its blank lines and reports its two edges (the text before its
+first blank line, the text after its last); edges, one small row a split, are
+then joined over the splits of their file. What is open at a file's end emits
+nothing, in a compressed file as in a plain one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
+
+from changefold.session import materialize
 
 DATA_PREFIX = "data: "
 _MIN_EPOCH_S, _MAX_EPOCH_S = -62135596800, 253402300799  # years 0001..9999
 
 
 _BLANK = r"\r?\n\r?\n"
-_COMPRESSED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
+_SCANNED = "payload string, file long, block long, head string, tail string, closed boolean"
 
 
 def _payload(frame: Column) -> Column:
@@ -56,36 +62,113 @@ def decode_frames(pieces: DataFrame, text_col: str = "value", tail_col: str | No
     return pieces.where(text.isNotNull()).select(F.explode(payloads).alias("payload"))
 
 
-def read_sse_frames(spark: SparkSession, path: str, frame_sep: str = "\n\n") -> DataFrame:
-    """Decode an SSE dump (file or directory); see above for ``frame_sep``.
+def _segment_scan():
+    """Lines ``(file, block, value)`` in file order -> rows of ``_SCANNED``: a
+    payload for each frame closed inside a split, one row of edges for each
+    split. Built here, so that workers need not import this package."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    prefix = DATA_PREFIX
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+    names = ["payload", "file", "block", "head", "tail", "closed"]
+
+    def out(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    def edges(at, head, tail):
+        rest = "".join(tail)
+        return out([None], *[[x] for x in at], [rest if head is None else head], [None if head is None else rest], [head is not None])
+
+    def joined(lines):
+        """Payload text of the frames that a run of lines begins, goes on with or ends."""
+        lines = pc.ascii_rtrim(lines, characters="\r")
+        blank = pc.equal(pc.binary_length(lines), 0).to_numpy(zero_copy_only=False)
+        data = np.flatnonzero(pc.starts_with(lines, prefix).to_numpy(zero_copy_only=False))
+        frame = np.cumsum(blank)[data]
+        texts = pc.binary_replace_slice(lines.take(pa.array(data)), 0, len(prefix), "")
+        offsets = np.searchsorted(frame, np.arange(int(blank.sum()) + 2)).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), texts), "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, head, tail = None, None, []  # head: None until the split's first blank line
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            file, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                own = (int(file[a]), int(block[a]))
+                if own != at:
+                    if at is not None:
+                        yield edges(at, head, tail)
+                    at, head, tail = own, None, []
+                frames = joined(batch.column(2).slice(a, b - a))
+                tail.append(frames[0].as_py())
+                if len(frames) == 1:
+                    continue
+                whole, first = frames[1:-1], "".join(tail)
+                tail = [frames[-1].as_py()]
+                if head is None:
+                    head = first
+                else:
+                    whole = pa.concat_arrays([whole, pa.array([first], pa.string())])
+                whole = whole.filter(pc.greater(pc.binary_length(whole), 0))
+                none = [None] * len(whole)
+                if len(whole):
+                    yield out(whole, none, none, none, none, none)
+        if at is not None:
+            yield edges(at, head, tail)
+
+    return run
+
+
+def dump_lines(source: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    """The lines of a dump with their file and split, in batch (``spark.read``)
+    or as files land (``spark.readStream``)."""
+    return source.option("lineSep", "\n").text(path).select(
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
+    )
+
+
+def frames_of_lines(lines: DataFrame) -> DataFrame:
+    """``dump_lines`` -> ``payload``, one row per frame that carries data.
 
-    One small aggregate per file (its bytes and its last record) finds open
-    tails. Of a compressed file the size tells nothing; there a record that
-    ends in a line feed is taken for a tail."""
-    file = F.col("_metadata.file_path")
-    pieces = spark.read.option("lineSep", frame_sep).text(path).select(
-        "value",
-        file.alias("_file"),
-        F.col("_metadata.file_size").alias("_size"),
-        F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n")).alias("_at"),
+    Lines are read once; what the scan finds is written to the shared scratch
+    folder, frames and edges together. Edges of a file are numbered in order of
+    its splits: a frame that is open at a split's end goes on in the head of the
+    next split, and through all of a split without a blank line."""
+    scanned = materialize(lines.mapInArrow(_segment_scan(), _SCANNED), "sse-frames")
+    in_order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.sum(F.col("closed").cast("int")).over(in_order), F.lit(0))
+    parts = F.array(
+        F.struct(F.col("ended").alias("frame"), F.lit(0).alias("late"), F.col("head").alias("text"), "closed"),
+        F.struct((F.col("ended") + 1).alias("frame"), F.lit(1).alias("late"), F.col("tail").alias("text"), F.lit(False).alias("closed")),
+    )
+    pieces = (
+        scanned.where(F.col("file").isNotNull())
+        .select("file", "block", "head", "tail", "closed", ended.alias("ended"))
+        .select("file", "block", F.inline(parts))
+        .where(F.col("text").isNotNull())
     )
-    read = F.sum(F.octet_length("value") + F.lit(len(frame_sep)))
-    open_files = (
-        pieces.where(~F.col("_file").rlike(_COMPRESSED))
-        .groupBy("_file", "_size")
-        .agg(read.alias("_read"), F.max("_at").alias("_last"))
-        .where(F.col("_read") != F.col("_size"))
-        .select(F.col("_file").alias("_open"), "_last")
+    across = pieces.groupBy("file", "frame").agg(
+        F.max("closed").alias("whole"), F.array_sort(F.collect_list(F.struct("block", "late", "text"))).alias("texts")
     )
-    told = pieces.join(open_files, (F.col("_file") == F.col("_open")) & (F.col("_at") == F.col("_last")), "left")
-    guessed = F.col("_file").rlike(_COMPRESSED) & F.col("value").endswith("\n")
-    return decode_frames(told.withColumn("_tail", F.col("_open").isNotNull() | guessed), tail_col="_tail")
+    stitched = across.where("whole").select(F.array_join("texts.text", "").alias("payload")).where(F.length("payload") > 0)
+    return scanned.where(F.col("file").isNull()).select("payload").unionByName(stitched)
+
+
+def read_sse_frames(spark: SparkSession, path: str, frame_sep: str | None = None) -> DataFrame:
+    """Decode an SSE dump (file or directory, compressed or not). ``frame_sep``
+    is accepted for earlier callers and changes nothing."""
+    return frames_of_lines(dump_lines(spark.read, path))
 
 
 def read_sse_frames_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The same decoding over dump files landing in a directory. Each file is
-    one record (a landed dump is a rotated, bounded file), so that its tail is
-    known without state."""
+    """The same decoding over small dump files landing in a directory, as a
+    streaming plan: each file is one record, so that its tail is known without
+    state. Files of any size: ``streaming.jobs.start_sse``, by lines."""
     files = spark.readStream.text(path, wholetext=True)
     return decode_frames(files.withColumn("_tail", F.lit(True)), tail_col="_tail")
 

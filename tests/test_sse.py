@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+import gzip
 import os
+import random
 import tempfile
+from contextlib import contextmanager
 
 from changefold.sources import read_sse_frames
+from changefold.sources.sse import dump_lines
 
 
 def _dump(text: str, name: str = "dump.txt") -> str:
     d = tempfile.mkdtemp(prefix="cf-sse-")
-    with open(os.path.join(d, name), "w", newline="") as fh:
+    opened = gzip.open if name.endswith(".gz") else open
+    with opened(os.path.join(d, name), "wt", newline="") as fh:
         fh.write(text)
     return d
 
 
-def _payloads(spark, text, sep="\n\n"):
-    return sorted(r.payload for r in read_sse_frames(spark, _dump(text), frame_sep=sep).collect())
+def _payloads(spark, text, name="dump.txt"):
+    return sorted(r.payload for r in read_sse_frames(spark, _dump(text, name)).collect())
+
+
+@contextmanager
+def _splits(spark, size):
+    """Files are cut every ``size`` bytes."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_frame_rules(spark):
@@ -35,7 +54,7 @@ def test_frame_rules(spark):
 
 def test_crlf_dump(spark):
     text = "event: message\r\ndata: {\"a\":1}\r\n\r\ndata: {\"b\":\r\ndata: 2}\r\n\r\n"
-    assert _payloads(spark, text, sep="\r\n\r\n") == ['{"a":1}', '{"b":2}']
+    assert _payloads(spark, text) == ['{"a":1}', '{"b":2}']
 
 
 def test_line_ends_and_open_tails_need_no_parameter(spark):
@@ -44,12 +63,11 @@ def test_line_ends_and_open_tails_need_no_parameter(spark):
     want = [f'{{"n":{i}}}' for i in range(5)]
     tails = ("data: tail", "data: tail\n", "data: tail\r\n", "data: tail\r", "id: 7\ndata: tail")
     for dump in (lf, crlf, lf + crlf, crlf + lf):
-        for sep in ("\n\n", "\r\n\r\n"):
-            expected = sorted(want * (len(dump) // len(lf)))
-            assert _payloads(spark, dump, sep) == expected
-    for dump, sep in ((lf, "\n\n"), (crlf, "\n\n"), (crlf, "\r\n\r\n")):
+        assert _payloads(spark, dump) == sorted(want * (len(dump) // len(lf)))
+    for dump in (lf, crlf):
         for tail in tails:
-            assert _payloads(spark, dump + tail, sep) == want
+            for name in ("dump.txt", "dump.txt.gz"):
+                assert _payloads(spark, dump + tail, name) == want
     assert _payloads(spark, "data: only") == [] and _payloads(spark, "") == []
 
 
@@ -58,17 +76,56 @@ def test_other_prefixes_inside_a_frame_are_ignored(spark):
     assert _payloads(spark, text) == ['{"x":1}']
 
 
+def _model(text):
+    """The rule read line by line."""
+    out, data = [], []
+    lines = text.split("\n")
+    for line in lines[:-1] if lines[-1] == "" else lines:
+        line = line.rstrip("\r")
+        if line.startswith("data: "):
+            data.append(line[6:])
+        if line == "":
+            out.append("".join(data))
+            data = []
+    return sorted(p for p in out if p)
+
+
 def test_many_frames_across_splits(spark):
-    frames = "".join(f"event: message\ndata: {{\"n\":{i}}}\n\n" for i in range(20000))
-    d = _dump(frames)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
-    try:
-        df = read_sse_frames(spark, d)
-        assert df.rdd.getNumPartitions() > 1
-        got = sorted(int(r.payload[5:-1]) for r in df.collect())
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert got == list(range(20000))
+    """A dump of any line ends is read by many tasks and gives the same frames."""
+    lf = "".join(f'event: message\ndata: {{"n":\ndata: {i}}}\n\n' for i in range(8000))
+    want = sorted(f'{{"n":{i}}}' for i in range(8000))
+    for text in (lf, lf.replace("\n", "\r\n"), lf[: len(lf) // 2] + lf[len(lf) // 2 :].replace("\n", "\r\n")):
+        d = _dump(text)
+        with _splits(spark, 16384):
+            assert dump_lines(spark.read, d).rdd.getNumPartitions() > 10
+            got = sorted(r.payload for r in read_sse_frames(spark, d).collect())
+        assert got == want == _model(text)
+
+
+def test_frames_longer_than_splits(spark):
+    """Frames that go on through splits without a blank line, at every cut."""
+    rng = random.Random(4)
+    pieces = []
+    for i in range(60):
+        pieces += [f"data: {i}-{j} " + "x" * rng.randrange(12) for j in range(rng.choice([1, 2, 3, 40]))]
+        pieces += [":" + "c" * rng.randrange(90)] * rng.randrange(2) + [""] * rng.choice([1, 1, 2])
+    end = rng.choice
+    text = "".join(p + end(["\n", "\r\n"]) for p in pieces)
+    for size in (97, 256, 1000):
+        for tail in ("", "data: cut", "data: cut\n"):
+            d = _dump(text + tail)
+            with _splits(spark, size):
+                assert sorted(r.payload for r in read_sse_frames(spark, d).collect()) == _model(text)
+
+
+def test_several_files_keep_their_frames_apart(spark):
+    d = _dump("data: a1\n\ndata: open", "a.txt")
+    with gzip.open(os.path.join(d, "b.txt.gz"), "wt") as fh:
+        fh.write("data: b1\n\ndata: b2\n\n")
+    with open(os.path.join(d, "c.txt"), "w") as fh:
+        fh.write("\ndata: c1\n\n")
+    open(os.path.join(d, "empty.txt"), "w").close()
+    assert sorted(r.payload for r in read_sse_frames(spark, d).collect()) == ["a1", "b1", "b2", "c1"]
 
 
 def test_streaming_dump_files(spark):
