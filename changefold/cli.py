@@ -100,14 +100,18 @@ def cmd_report(spark: SparkSession, args) -> str:
     if as_of.tzinfo is None:
         as_of = as_of.replace(tzinfo=dt.timezone.utc)
     if args.question == "stats":
-        return _emit(reports.stats_all(topology.current_table(spark, layout, "edit_counts"), as_of), EDIT_COUNT_FIELDS)
+        span = (as_of - reports.STATS_LOOKBACK, as_of)
+        counts = topology.current_table(spark, layout, "edit_counts", span)
+        return _emit(reports.stats_all(counts, as_of), EDIT_COUNT_FIELDS)
     if args.question == "stats-wiki":
         if not args.wiki:
             raise SystemExit("--wiki is required")
-        counts = topology.current_table(spark, layout, "edit_counts")
+        span = (as_of - reports.WIKI_LOOKBACK, as_of)
+        counts = topology.current_table(spark, layout, "edit_counts", span)
         return _emit(reports.stats_by_wiki(counts, args.wiki, as_of), EDIT_COUNT_FIELDS)
     if args.question == "hot-pages":
-        windows = topology.current_table(spark, layout, "hot_pages")
+        span = (as_of - reports.HOT_LOOKBACK, as_of)
+        windows = topology.current_table(spark, layout, "hot_pages", span)
         limit = reports.limit_from_param(args.limit)
         return _emit(reports.hot_pages(windows, as_of, limit=limit), HOT_PAGE_FIELDS)
     totals = topology.current_table(spark, layout, "bot_ratio")

@@ -3,8 +3,8 @@
 Each aggregate runs as its own ``StreamingQuery`` with its own checkpoint
 (durable state across restarts). Results leave the query as an **update-mode
 changelog** (``streaming.tables``): ``foreachBatch`` publishes each
-micro-batch's updated rows once and whole, and keyed tables are folded into
-their current rows now and then. ``read_latest`` turns the changelog into the
+micro-batch's updated rows once and whole, and tables are folded now and then
+(``Kept`` says how a table keeps its rows). ``read_latest`` turns the changelog into the
 current table (latest row per key by ``batch_id``).
 
 Late data: a watermark of ``grace`` behind the highest event time. With
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from changefold import operators as ops
 from changefold.functions import guarded_ratio
+from changefold.sources import sse
 from changefold.sources.envelope import STATS_TOPIC
 from changefold.streaming import tables
 
@@ -38,7 +40,7 @@ KAFKA_PRODUCER_DEFAULTS = {"kafka.acks": "all", "kafka.enable.idempotence": "tru
 TUMBLING_GRACE = "0 seconds"
 HOPPING_GRACE = "30 seconds"
 BATCH_COL = tables.BATCH_COL
-FOLD_EVERY = 100  # batches between two folds of a keyed table
+FOLD_EVERY = 100  # batches between two folds of a table
 
 
 def configure_streaming(spark: SparkSession) -> None:
@@ -133,33 +135,72 @@ def stats_topic_records(counts: DataFrame, keep_window: bool = False) -> DataFra
 # --- sinks ---------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Kept:
+    """How a result table keeps its rows (``streaming.tables``).
+
+    ``keys``: the latest row of each key counts; without them the table is a
+    log. ``window``: the timestamp column whose hours partition it. ``grace``:
+    the query's watermark delay in seconds, from which folds see what windows
+    are settled. ``settled_to``: (table, function) that settled rows move to,
+    changed by the function, instead of staying."""
+
+    keys: tuple[str, ...] = ()
+    window: str | None = None
+    grace: int | None = None
+    settled_to: tuple[str, Callable[[DataFrame], DataFrame]] | None = None
+    fold_every: int = FOLD_EVERY
+
+    def fold(self, spark: SparkSession, table: str) -> None:
+        """Fold the table if enough batches have come since it was folded."""
+        if len(tables.published(spark, table).tail()) >= self.fold_every:
+            tables.fold(spark, table, list(self.keys) or None, self.window, self.grace, on_settled=self._on_settled())
+
+    def _on_settled(self):
+        if self.settled_to is None:
+            return None
+        target, change = self.settled_to
+
+        def move(rows: DataFrame, n: int) -> None:
+            tables.write_batch(change(rows), target, n, self.window)
+            Kept(window=self.window, fold_every=self.fold_every).fold(rows.sparkSession, target)
+
+        return move
+
+
 def changelog_writer(
     path: str,
     also: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
     keys: list[str] | None = None,
     fold_every: int = FOLD_EVERY,
+    kept: Kept | None = None,
+    derive: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function publishing each batch once (``streaming.tables``).
 
     A batch replayed after it was published is run for its state and not
     written again. ``also`` maps further tables to functions of the batch; they
-    read the batch as just written, so it is computed once. With ``keys`` the
-    table is folded into its current rows after every ``fold_every`` batches;
-    without them it is a log that keeps every record.
+    read the batch as just written, so it is computed once, and are logs.
+    ``derive`` makes the rows to be published of the micro-batch. Every
+    ``fold_every`` batches a table is folded: with ``keys`` into its current
+    rows, without them into fewer files; ``kept`` says more about it.
     """
+    kept = kept or Kept(keys=tuple(keys or ()), fold_every=fold_every)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         owner = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
-        for table in (path, *(also or {})):
+        for table in (path, *(also or {}), *([kept.settled_to[0]] if kept.settled_to else [])):
             tables.claim(spark, table, owner)
-        if not tables.write_batch(batch, path, batch_id):
+        if tables.published(spark, path).has(batch_id):
             batch.write.format("noop").mode("overwrite").save()
-        for other, derive in (also or {}).items():
+        else:
+            tables.write_batch(derive(batch) if derive else batch, path, batch_id, kept.window)
+        for other, change in (also or {}).items():
             if not tables.published(spark, other).has(batch_id):
-                tables.write_batch(derive(tables.read_batch(spark, path, batch_id)), other, batch_id)
-        if keys and len(tables.published(spark, path).tail()) >= fold_every:
-            tables.fold(spark, path, keys)
+                tables.write_batch(change(tables.read_batch(spark, path, batch_id, kept.window)), other, batch_id)
+            Kept(fold_every=kept.fold_every).fold(spark, other)
+        kept.fold(spark, path)
 
     return write
 
@@ -174,11 +215,13 @@ def start_changelog(
     also: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
     keys: list[str] | None = None,
     fold_every: int = FOLD_EVERY,
+    kept: Kept | None = None,
+    derive: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Run ``df`` into a changelog table (see module doc)."""
     writer = (
         df.writeStream.outputMode(output_mode)
-        .foreachBatch(changelog_writer(path, also, keys, fold_every))
+        .foreachBatch(changelog_writer(path, also, keys, fold_every, kept, derive))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "1 second"}))
     )
@@ -187,6 +230,15 @@ def start_changelog(
     return writer.start()
 
 
+def start_sse(
+    spark: SparkSession, dumps: str, path: str, checkpoint: str, trigger: dict | None = None, options: dict | None = None
+) -> StreamingQuery:
+    """Decode SSE dump files of any size as they land: a table of ``payload``.
+    A micro-batch holds whole files, which are read by lines in many splits."""
+    lines = sse.dump_lines(spark.readStream.options(**(options or {})), dumps)
+    return start_changelog(lines, path, checkpoint, trigger, "append", derive=sse.frames_of_lines)
+
+
 def kafka_records(records: DataFrame) -> DataFrame:
     """``(key, value)`` for a Kafka sink; further columns travel as text headers."""
     extra = [c for c in records.columns if c not in ("key", "value")]
@@ -219,7 +271,7 @@ def start_topic_sink(
         )
     if path is None:
         raise ValueError("either path or kafka_options is required")
-    return start_changelog(records, path, checkpoint, trig)
+    return start_changelog(records, path, checkpoint, trig)  # a log: kept whole, in ever fewer files
 
 
 def start_ingest(
@@ -257,12 +309,29 @@ def start_ingest(
 # --- reading results back ----------------------------------------------------------------
 
 
-def read_changelog(spark: SparkSession, path: str) -> DataFrame:
-    """Every published record of a changelog table, with its ``batch_id`` (of a
-    folded table: the newest fold and the batches after it)."""
-    return tables.read_published(spark, path)
+def read_changelog(spark: SparkSession, path: str, window: str | None = None) -> DataFrame:
+    """Every record of a changelog table that a fold has not replaced, with its
+    ``batch_id``: all records of a log."""
+    return tables.read_published(spark, path, window)
 
 
-def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Current table of a changelog: per key, the row of the highest batch."""
-    return tables.latest_rows(tables.read_published(spark, path), keys)
+def read_latest(
+    spark: SparkSession, path: str, keys: list[str], window: str | None = None, time_range: tuple | None = None
+) -> DataFrame:
+    """Current table of a changelog: per key, the row of the highest batch. A
+    time range on ``window``, the table's window column, prunes its hours."""
+    return tables.latest_rows(tables.read_published(spark, path, window, time_range), keys)
+
+
+def read_settled(
+    spark: SparkSession, path: str, kept: Kept, result_keys: list[str], time_range: tuple | None = None
+) -> DataFrame:
+    """A table whose settled rows move to another: that one's rows, and the rows
+    here changed alike. A window that a failure has left in both counts there."""
+    target, change = kept.settled_to
+    changing = change(read_latest(spark, path, list(kept.keys), kept.window, time_range))
+    try:
+        done = read_latest(spark, target, result_keys, kept.window, time_range)
+    except tables.NotReady:
+        return changing
+    return done.unionByName(changing.join(done.select(*result_keys), result_keys, "left_anti"))

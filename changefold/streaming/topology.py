@@ -5,7 +5,8 @@
         landed edits --> per-wiki minute counts   --> changelog table  (+ count topic records)
         landed edits --> per-page hopping counts  --> changelog table
         landed edits --> running bot/human totals --> changelog table
-        landed edits --> per-editor minute counts --> changelog table  (full window statistics when read)
+        landed edits --> per-editor minute counts --> changelog table  (open minutes)
+                                                  --> full window statistics (settled minutes)
 
 Decoding happens once; each aggregate reads the landed columns it needs. Each
 query has its own checkpoint under ``root`` (which must be on shared storage),
@@ -47,6 +48,17 @@ AGGREGATES = {
     "bot_ratio": (jobs.bot_ratio_stream, ["wiki"]),
     "editor_counts": (jobs.editor_counts_stream, ["wiki", "window_start", "user"]),
 }
+WINDOW = "window_start"
+GRACE = {"edit_counts": 0, "hot_pages": 30, "editor_counts": 0}  # seconds, as in the aggregates' watermarks
+STATS_KEYS = ["wiki", WINDOW]
+
+
+def kept(layout: Layout, name: str, fold_every: int = jobs.FOLD_EVERY) -> jobs.Kept:
+    """How a table is kept: windowed ones by hour, settled windows folded once;
+    per-editor rows of settled minutes become one row of ``edit_stats``."""
+    to = (layout.table("edit_stats"), jobs.roll_up_editor_counts) if name == "editor_counts" else None
+    keys = tuple(AGGREGATES[name][1])
+    return jobs.Kept(keys, WINDOW if WINDOW in keys else None, GRACE.get(name), to, fold_every)
 
 
 HOUR_COL = "event_hour"
@@ -101,28 +113,36 @@ def read_landed_edits(spark: SparkSession, layout: Layout, time_range: tuple | N
     return edits
 
 
-def start_aggregates(spark: SparkSession, layout: Layout, trigger: dict | None = None) -> dict[str, StreamingQuery]:
+def start_aggregates(
+    spark: SparkSession, layout: Layout, trigger: dict | None = None, fold_every: int = jobs.FOLD_EVERY
+) -> dict[str, StreamingQuery]:
     """Start the aggregates off the landed edits; the query of the minute
     counts writes the count topic records too (one scan, one state store)."""
     jobs.configure_streaming(spark)
     queries = {}
     derived = {"edit_counts": {layout.table("edit_stats_topic"): jobs.stats_topic_records}}
-    for name, (build, keys) in AGGREGATES.items():
+    for name, (build, _) in AGGREGATES.items():
         queries[name] = jobs.start_changelog(
             build(landed_edits_stream(spark, layout)), layout.table(name), layout.checkpoint(name), trigger,
-            also=derived.get(name), keys=keys,
+            also=derived.get(name), kept=kept(layout, name, fold_every),
         )
     return queries
 
 
-def current_table(spark: SparkSession, layout: Layout, name: str) -> DataFrame:
-    """The current state of one aggregate (latest row per key)."""
-    return jobs.read_latest(spark, layout.table(name), AGGREGATES[name][1])
+def current_table(spark: SparkSession, layout: Layout, name: str, time_range: tuple | None = None) -> DataFrame:
+    """The current state of one aggregate (latest row per key); of windowed ones
+    those that start in ``time_range`` (both ends included), reading only the
+    hours in it."""
+    keys = AGGREGATES[name][1]
+    return jobs.read_latest(spark, layout.table(name), keys, WINDOW if WINDOW in keys else None, time_range)
 
 
-def current_edit_stats(spark: SparkSession, layout: Layout) -> DataFrame:
-    """Full per-wiki window statistics (A5) from the per-editor counts."""
-    return jobs.roll_up_editor_counts(current_table(spark, layout, "editor_counts"))
+def current_edit_stats(spark: SparkSession, layout: Layout, time_range: tuple | None = None) -> DataFrame:
+    """Full per-wiki window statistics (A5): rows of settled minutes as they are
+    stored, open ones from the per-editor counts."""
+    return jobs.read_settled(
+        spark, layout.table("editor_counts"), kept(layout, "editor_counts"), STATS_KEYS, time_range
+    )
 
 
 def read_state(spark: SparkSession, checkpoint: str, operator_id: int = 0) -> DataFrame:

@@ -62,7 +62,7 @@ def test_folds_keep_rows_and_bound_the_table(spark):
             tables.fold(spark, table, ["wiki"])  # nothing new: no second fold
         assert _rows(jobs.read_latest(spark, table, ["wiki"])) == sorted((v, k) for k, v in want.items())
     names = tables._names(spark, f"{table}/data")
-    assert sorted(n.rsplit("-", 1)[0] for n in names) == ["batch-6", "batch-7", "batch-8", "fold-5", "fold-7"]
+    assert sorted(n.rsplit("-", 1)[0] for n in names) == ["index-5", "index-7", "seg=batch-6", "seg=batch-7", "seg=batch-8", "seg=open-5", "seg=open-7"]
     assert not tables.write_batch(_batch(spark, all=0), table, 1)  # folded long ago
     assert jobs.read_changelog(spark, table).count() == 6
 
