@@ -38,10 +38,14 @@ def with_stream_time(
     partition_col: str = "partition",
     order_col: str = "offset",
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
+    seed: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``stream_time``: max of ``time_col`` over the partition's records up
     to and including this one in ``order_col`` order.
 
+    ``seed`` (partition, ``stream_time``; one row a partition) is what earlier
+    records, which are not in ``df``, had reached.
+
     Records without a position have no order; the job fails on the first one
     instead of giving them all one group and an arbitrary answer."""
     placed = F.col(order_col).isNotNull() & F.col(partition_col).isNotNull()
@@ -57,6 +61,10 @@ def with_stream_time(
     chunk_max = chunked.groupBy(partition_col, "_chunk").agg(F.max(time_col).alias("_chunk_max"))
     before = Window.partitionBy(partition_col).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     prior = chunk_max.select(partition_col, "_chunk", F.max("_chunk_max").over(before).alias("_prior_max"))
+    if seed is not None:
+        reached = seed.select(partition_col, F.col("stream_time").alias("_seed"))
+        prior = prior.join(reached, partition_col, "left").withColumn("_prior_max", F.greatest("_prior_max", "_seed"))
+        prior = prior.drop("_seed")
 
     return (
         running.join(prior, [partition_col, "_chunk"], "left")
@@ -76,9 +84,10 @@ def late_tumbling_counts(
     grace_seconds: int = 0,
     key_col: str = "key",
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
+    seed: DataFrame | None = None,
 ) -> DataFrame:
     """Tumbling counts per wiki with late records dropped (no grace by default)."""
-    timed = with_stream_time(edits.where(F.col(key_col).isNotNull()), chunk_rows=chunk_rows)
+    timed = with_stream_time(edits.where(F.col(key_col).isNotNull()), chunk_rows=chunk_rows, seed=seed)
     kept = timed.withColumn("_w", F.window("event_time", size)).where(_not_late("_w.end", grace_seconds))
     return (
         kept.groupBy(F.col(key_col).alias("wiki"), F.col("_w"))
@@ -93,10 +102,11 @@ def late_hopping_counts(
     slide: str = "1 minute",
     grace_seconds: int = 30,
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
+    seed: DataFrame | None = None,
 ) -> DataFrame:
     """Hopping counts per page with the late rule decided per window: a late
     record may still count in those of its windows that are open."""
-    timed = with_stream_time(edits, chunk_rows=chunk_rows)
+    timed = with_stream_time(edits, chunk_rows=chunk_rows, seed=seed)
     kept = timed.withColumn("_w", F.window("event_time", size, slide)).where(_not_late("_w.end", grace_seconds))
     return (
         kept.groupBy("wiki", "title", F.col("_w"))

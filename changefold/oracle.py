@@ -268,6 +268,10 @@ FROM articles GROUP BY wiki"""
     # Streaming forms land the same records and must reach the same answer.
     q["edits_per_wiki_minute_stream"] = q["edits_per_wiki_minute"]
     q["page_edits_hopping_stream"] = q["page_edits_hopping"]
+    q["edits_per_wiki_minute_exact_stream"] = q["edits_per_wiki_minute_late"]
+    q["page_edits_hopping_exact_stream"] = q["page_edits_hopping_late"]
+    q["stats_all_table"] = q["stats_all"]
+    q["hot_pages_table"] = q["hot_pages"]
     q["bot_ratio_stream"] = q["bot_ratio"]
     q["edit_stats_stream"] = q["edit_stats"]
     q["changelog_latest"] = q["bot_ratio"]

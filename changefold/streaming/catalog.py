@@ -18,16 +18,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from changefold import operators as ops
 from changefold.functions import iso_utc
+from changefold.plans import reports
 from changefold.session import scratch_path
 from changefold.sources.envelope import read_envelope_stream
-from changefold.sources.testdata import LATE_EVERY, LATE_REMAINDER, events_envelope
-from changefold.streaming import jobs
+from changefold.sources.testdata import AS_OF, LATE_EVERY, LATE_REMAINDER, events_envelope
+from changefold.streaming import exact, jobs, topology
 
 SLICE_SECONDS = 6 * 3600 - 17
 # The late queries: one record in LATE_EVERY arrives two hours after its event time.
 LATE_ARRIVAL_SECONDS = 7200
 STATE_PARTITIONS = 8  # fixed for a checkpoint's life, so an explicit parameter
 AVAILABLE_NOW = {"availableNow": True}
+HOT_PAGES_LIMIT = 10
 
 
 def land_in_slices(
@@ -69,6 +71,21 @@ def run_over_slices(
             start(read_envelope_stream(spark, landing)).awaitTermination()
 
 
+def run_over_offsets(
+    spark: SparkSession, envelope: DataFrame, start: Callable[[DataFrame], StreamingQuery], slices: int = 3
+) -> None:
+    """Feed an envelope in ``slices`` parts of its offsets, so that each source
+    partition's records arrive in order; after each, run ``start(stream)``."""
+    staged, landing = scratch_path(spark, "staged-offsets"), scratch_path(spark, "landing-offsets")
+    envelope.write.parquet(staged)
+    records = spark.read.parquet(staged)
+    size = F.lit(1 + (records.agg(F.max("offset")).first()[0] or 0))
+    for i in range(slices):
+        own = records.where(F.floor(F.col("offset") * slices / size) == i)
+        own.write.mode("append").parquet(landing)
+        start(read_envelope_stream(spark, landing)).awaitTermination()
+
+
 def _articles(stream: DataFrame) -> DataFrame:
     return ops.article_edits(ops.parse_edits(stream))
 
@@ -113,14 +130,67 @@ def page_edits_hopping_late_stream(spark: SparkSession, sf_dir: str) -> DataFram
     return _iso(run(spark, sf_dir))
 
 
+def edits_per_wiki_minute_exact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 as a stream that decides record by record: the answer of the batch
+    form, however the records are cut into micro-batches."""
+    table, ckpt = scratch_path(spark, "a1-exact-table"), scratch_path(spark, "a1-exact-ckpt")
+
+    def start(stream: DataFrame):
+        return exact.start_tumbling(_articles(stream), table, ckpt, AVAILABLE_NOW, fold_every=2)
+
+    run_over_offsets(spark, events_envelope(spark, sf_dir, late=True), start)
+    return _iso(exact.read_counts(spark, table, exact.TUMBLING_KEYS))
+
+
+def page_edits_hopping_exact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 likewise: 30 s of grace, decided record by record and window by window."""
+    table, ckpt = scratch_path(spark, "a2-exact-table"), scratch_path(spark, "a2-exact-ckpt")
+
+    def start(stream: DataFrame):
+        return exact.start_hopping(_articles(stream), table, ckpt, AVAILABLE_NOW, fold_every=2)
+
+    run_over_offsets(spark, events_envelope(spark, sf_dir, late=True), start)
+    return _iso(exact.read_counts(spark, table, exact.HOPPING_KEYS))
+
+
 def bot_ratio_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _changelog_query(jobs.bot_ratio_stream, ["wiki"], "a3-stream")
     return ops.with_bot_share(run(spark, sf_dir))
 
 
+def _table_query(spark: SparkSession, sf_dir: str, name: str) -> topology.Layout:
+    """One aggregate of the layout, folded after every second batch."""
+    layout = topology.Layout(scratch_path(spark, f"{name}-layout"))
+    kept, build = topology.kept(layout, name, fold_every=2), topology.AGGREGATES[name][0]
+
+    def start(stream: DataFrame):
+        return jobs.start_changelog(
+            build(_articles(stream)), layout.table(name), layout.checkpoint(name), AVAILABLE_NOW, kept=kept
+        )
+
+    run_over_slices(spark, sf_dir, start)
+    return layout
+
+
 def edit_stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = _changelog_query(jobs.editor_counts_stream, ["wiki", "window_start", "user"], "a5-stream")
-    return _iso(jobs.roll_up_editor_counts(run(spark, sf_dir)))
+    """A5 as a stream: settled minutes stored as one row each, open ones from
+    per-editor counts."""
+    return _iso(topology.current_edit_stats(spark, _table_query(spark, sf_dir, "editor_counts")))
+
+
+def stats_all_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 from the folded result table of the minute counts, of which only the
+    hours in range are read."""
+    span = (AS_OF - reports.STATS_LOOKBACK, AS_OF)
+    layout = _table_query(spark, sf_dir, "edit_counts")
+    return reports.stats_all(topology.current_table(spark, layout, "edit_counts", span), AS_OF)
+
+
+def hot_pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R3 likewise from the table of the hopping counts."""
+    span = (AS_OF - reports.HOT_LOOKBACK, AS_OF)
+    layout = _table_query(spark, sf_dir, "hot_pages")
+    return reports.hot_pages(topology.current_table(spark, layout, "hot_pages", span), AS_OF, limit=HOT_PAGES_LIMIT)
 
 
 def _topic(spark: SparkSession, sf_dir: str, keep_window: bool) -> DataFrame:
@@ -173,6 +243,10 @@ STREAM_QUERIES = {
     "page_edits_hopping_stream": page_edits_hopping_stream,
     "edits_per_wiki_minute_late_stream": edits_per_wiki_minute_late_stream,
     "page_edits_hopping_late_stream": page_edits_hopping_late_stream,
+    "edits_per_wiki_minute_exact_stream": edits_per_wiki_minute_exact_stream,
+    "page_edits_hopping_exact_stream": page_edits_hopping_exact_stream,
+    "stats_all_table": stats_all_table,
+    "hot_pages_table": hot_pages_table,
     "bot_ratio_stream": bot_ratio_stream,
     "edit_stats_stream": edit_stats_stream,
     "edit_stats_topic": edit_stats_topic,
