@@ -32,6 +32,7 @@ def _minutes(spark, first, last, count, wikis=3):
 
 def _size(table, prefix):
     total = 0
+    table = table.removeprefix("file:")
     for name in os.listdir(f"{table}/data"):
         if name.startswith(f"seg={prefix}"):
             for folder, _, files in os.walk(f"{table}/data/{name}"):
