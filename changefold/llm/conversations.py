@@ -41,6 +41,8 @@ FINISH = (0, 10, 5, 0)
 _TURN = {START: USER, SYSTEM: USER, USER: ASSISTANT, ASSISTANT: USER}
 _ROLE = {USER: "user", ASSISTANT: "assistant"}
 
+#: Rows of a conversation stand in this order.
+ORDER = ("conv_id", "turn", "role", "start", "hash")
 PIECES = "conv_id {kind}, at long, classes binary, steps binary, tail int, entry int"
 WALKED = "conv_id {kind}, audit string, cost long, illegal long, repaired_sha256 string"
 
@@ -137,64 +139,86 @@ def _rerun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _row_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces -> (pos, kind, before, least, after) of each row."""
     for batch in batches:
-        for at, classes, steps, tail in zip(*(batch.column(c).to_pylist() for c in ("at", "classes", "steps", "tail"))):
-            steps = np.frombuffer(steps, "<i8")
-            vectors = steps >> 7
-            arrays = (
-                at + np.arange(len(steps)), np.frombuffer(classes, np.uint8).astype(np.int32), vectors.astype(np.int32),
-                (steps & 127).astype(np.int32), np.append(vectors[1:], tail).astype(np.int32),
-            )
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["pos", "kind", "before", "least", "after"])
+        at, classes, steps, tails = (batch.column(c).to_pylist() for c in ("at", "classes", "steps", "tail"))
+        if not at:
+            continue
+        steps = [np.frombuffer(x, "<i8") for x in steps]
+        sizes = np.array([len(x) for x in steps])
+        vectors = np.concatenate(steps)
+        after = np.append(vectors[1:] >> 7, 0)
+        after[np.cumsum(sizes) - 1] = tails
+        ahead = np.cumsum(sizes) - sizes
+        pos = np.arange(len(vectors)) + np.repeat(np.array(at) - ahead, sizes)
+        kinds = np.frombuffer(b"".join(classes), np.uint8)
+        arrays = [pos, *(a.astype(np.int32) for a in (kinds, vectors >> 7, vectors & 127, after))]
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["pos", "kind", "before", "least", "after"])
+
+
+class _Walk:
+    """One conversation on its way from its first row to its last."""
+
+    def __init__(self, before: int):
+        self.state, self.cost = START, _unpack(before)[START]
+        self.audit, self.illegal, self.last = [], 0, None
+        self.sha, self.first = hashlib.sha256(), True
+
+    def put(self, role: str, text: str) -> None:
+        self.sha.update((f"{role}:{text}" if self.first else f"\n{role}:{text}").encode())
+        self.first = False
+
+    def insert(self, times: int) -> None:
+        for _ in range(times):
+            self.state = _TURN[self.state]
+            self.put(_ROLE[self.state], "")
+
+    def row(self, role: str, text: str, kind: int, before: int, least: int, after: int) -> None:
+        initial = kind % 4
+        if self.last is not None and (self.last, initial) not in ((0, 1), (1, 2), (2, 1)):
+            self.illegal += 1
+        self.last, self.cost = initial, self.cost + least
+        edits, state = _walk(self.state, before, least, after, kind)
+        self.audit.append(edits)
+        self.insert(len(edits) - 1)
+        if edits[-1] == "K":
+            self.put(role, text)
+        elif edits[-1] == "R":
+            self.put(_ROLE[state], text)
+        self.state = state
+
+    def done(self) -> tuple:
+        ends = FINISH[self.state] // INSERT
+        self.audit.append("I" * ends)
+        self.insert(ends)
+        return "".join(self.audit), self.cost, self.illegal, self.sha.hexdigest()
 
 
 def _digests(kind: pa.DataType):
-    """Rows sorted by conversation and place -> one row a conversation. Nothing
-    of a conversation is held but its audit and the state of its hash."""
+    """Texts and vectors sorted by conversation and order, equal rows' texts
+    first -> one row a conversation. Nothing of a conversation is held but its
+    audit, the state of its hash and one text."""
+    kinds = [kind, pa.string(), pa.int64(), pa.int64(), pa.string()]
+    names = ["conv_id", "audit", "cost", "illegal", "repaired_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        started, conv = False, None
-
-        def done():
-            ends = 0 if state in (START, ASSISTANT) else (2 if state == SYSTEM else 1)
-            turn = state
-            for _ in range(ends):
-                turn = _TURN[turn]
-                put(_ROLE[turn], "")
-            audit.append("I" * ends)
-            row = [[conv], ["".join(audit)], [cost], [illegal], [sha.hexdigest()]]
-            kinds = [kind, pa.string(), pa.int64(), pa.int64(), pa.string()]
-            names = ["conv_id", "audit", "cost", "illegal", "repaired_sha256"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds)], names=names)
-
-        def put(role, text):
-            nonlocal first
-            sha.update((f"{role}:{text}" if first else f"\n{role}:{text}").encode())
-            first = False
-
+        walk, conv, held = None, None, None
         for batch in batches:
+            ended = []
             columns = ("conv_id", "role", "text", "kind", "before", "least", "after")
-            for own, role, text, what, before, least, after in zip(*(batch.column(c).to_pylist() for c in columns)):
-                if not started or own != conv:
-                    if started:
-                        yield done()
-                    started, conv, state, cost = True, own, START, _unpack(before)[START]
-                    audit, illegal, sha, first, last = [], 0, hashlib.sha256(), True, None
-                initial = what % 4
-                if last is not None and (last, initial) not in ((0, 1), (1, 2), (2, 1)):
-                    illegal += 1
-                last, cost = initial, cost + least
-                edits, state_after = _walk(state, before, least, after, what)
-                audit.append(edits)
-                for _ in edits[1:]:
-                    state = _TURN[state]
-                    put(_ROLE[state], "")
-                if edits[-1] == "K":
-                    put(role, text)
-                elif edits[-1] == "R":
-                    put(_ROLE[state_after], text)
-                state = state_after
-        if started:
-            yield done()
+            for own, role, text, *step in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if walk is not None and own != conv:
+                    ended.append((conv, *walk.done()))
+                    walk = None
+                if text is not None:
+                    held = text
+                    continue
+                if walk is None:
+                    walk, conv = _Walk(step[1]), own
+                walk.row(role, held, *step)
+            if ended:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*ended), kinds)], names=names)
+        if walk is not None:
+            last = (conv, *walk.done())
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(last, kinds)], names=names)
 
     return run
 
@@ -218,36 +242,40 @@ def damage(rows: DataFrame) -> DataFrame:
     ).drop("_copy")
 
 
-def _lay_out(rows: DataFrame) -> DataFrame:
-    """All rows in order, with ``pos`` ascending over tasks and in them. Equal
-    rows are told apart by where they were read, so no key stays together."""
-    order = [
-        "conv_id", "turn", "role", F.substring("text", 1, 64), F.xxhash64("text"), F.monotonically_increasing_id(),
-    ]
-    keys = [f"_o{i}" for i in range(len(order))]
-    keyed = rows.select("conv_id", "turn", "role", "text", *[(F.col(o) if isinstance(o, str) else o).alias(k) for o, k in zip(order, keys)])
-    laid = keyed.repartitionByRange(partitions(rows), *keys).sortWithinPartitions(*keys).drop(*keys)
-    return materialize(laid.withColumn("pos", F.monotonically_increasing_id()), "laid-out-turns")
+def _ordered(rows: DataFrame) -> DataFrame:
+    """``rows`` with the columns besides conv_id and turn that order them: the
+    role, the text's start and its hash. Rows equal in them are the same row."""
+    return rows.withColumns({"start": F.substring("text", 1, 16), "hash": F.xxhash64("text")})
 
 
-def _faults(laid: DataFrame) -> DataFrame:
-    """(conv_id, turn, pos, kind): each row's class. Repeats are found by the
-    least place of each (role, text) of a conversation, summed up before it is
-    sent; the places, unlike the texts, are all different."""
+def _lay_out(rows: DataFrame) -> DataFrame:
+    """What is to be known of each row but its text, in order: ``pos`` ascends
+    over tasks and in them. Equal rows are told apart by where they were read,
+    so no key stays together."""
     bare = F.translate("text", SPACE, "") == ""
-    spoken = F.concat(F.char_length("role").cast("string"), F.lit(":"), "role", "text")
-    same = laid.where(~bare).groupBy("conv_id", F.sha2(spoken, 256).alias("said"))
-    first = same.agg(F.min("pos").alias("pos")).select("pos", F.lit(True).alias("first"))
     last = F.substring(F.rtrim(F.col("text"), F.lit(SPACE)), -1, 1)
+    spoken = F.concat(F.char_length("role").cast("string"), F.lit(":"), "role", "text")
     initial = F.substring("role", 1, 1)
     who = F.lit(3)
     for i, letter in enumerate(INITIALS):
         who = F.when(initial == letter, i).otherwise(who)
-    seen = laid.select(
-        "conv_id", "turn", "pos", who.alias("who"), bare.alias("bare"), (~last.isin(*".!?")).alias("cut")
-    ).join(first, "pos", "left")
-    fault = F.when(F.col("bare"), BLANK).when(F.col("first").isNull(), DUPLICATE).when(F.col("cut"), TRUNCATED).otherwise(GOOD)
-    return seen.select("conv_id", "turn", "pos", (fault * 4 + F.col("who")).alias("kind"))
+    fault = F.when(bare, BLANK).when(last.isin(*".!?"), GOOD).otherwise(TRUNCATED)
+    said = F.when(~bare, F.unhex(F.sha2(spoken, 256)))
+    narrow = _ordered(rows).select(*ORDER, (fault * 4 + who).alias("kind"), said.alias("said"), F.monotonically_increasing_id().alias("read"))
+    order = [*ORDER, "read"]
+    laid = narrow.repartitionByRange(partitions(rows), *order).sortWithinPartitions(*order).drop("read")
+    return materialize(laid.withColumn("pos", F.monotonically_increasing_id()), "laid-out-turns")
+
+
+def _faults(laid: DataFrame) -> DataFrame:
+    """``laid`` with the kinds of repeated rows. They are found by the least
+    place of each (role, text) of a conversation, summed up before it is sent;
+    the places, unlike the texts, are all different."""
+    first = laid.where(F.col("said").isNotNull()).groupBy("conv_id", "said").agg(F.min("pos").alias("pos"))
+    seen = laid.join(first.select("pos", F.lit(True).alias("first")), "pos", "left")
+    again = F.col("said").isNotNull() & F.col("first").isNull()
+    kind = F.when(again, DUPLICATE * 4 + F.col("kind") % 4).otherwise(F.col("kind"))
+    return seen.select(*ORDER, "pos", kind.alias("kind"))
 
 
 def backward_vectors(kinds: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -277,7 +305,7 @@ def repair(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     repaired ``role:text``, joined by line feeds).
 
     A conversation's rows stand by turn (null first), equal turns by role, then
-    by the text's first 64 characters and its hash; equal rows are kept apart,
+    by the text's first 16 characters and its hash; equal rows are kept apart,
     each later one a duplicate. A null role or text is one space, a null conv_id
     a conversation. A role counts by its first character, an empty one as none.
     Texts of any length are read whole. Other columns do not matter, whatever
@@ -298,13 +326,16 @@ def repair(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     stats = by_turn.groupBy("conv_id").agg(
         F.coalesce(turns, F.lit(0)).cast("long").alias("gaps"), *[F.sum(n).alias(n) for n in ("blank", "duplicate", "truncated")]
     )
-    pieces = backward_vectors(kinds.drop("turn"), chunk)
+    pieces = backward_vectors(kinds.select("conv_id", "pos", "kind"), chunk)
     steps = pieces.mapInArrow(_row_steps, "pos long, kind int, before int, least int, after int")
-    whole = laid.drop("turn").join(steps, "pos")
-    kind = laid.schema["conv_id"].dataType
-    streamed = whole.repartition(partitions(rows), "conv_id").sortWithinPartitions("conv_id", "pos")
+    steps = kinds.drop("kind").join(steps, "pos").select(*ORDER, F.lit(None).cast("string").alias("text"), "pos", "kind", "before", "least", "after")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("pos", "long"), ("kind", "int"), ("before", "int"), ("least", "int"), ("after", "int"))]
+    texts = _ordered(bare).select(*ORDER, "text", *none)
+    order = [*ORDER, "pos"]  # null, so before the vectors of equal rows: the texts
+    streamed = texts.unionByName(steps).repartition(partitions(rows), "conv_id").sortWithinPartitions(*order)
     from pyspark.sql.pandas.types import to_arrow_type
 
+    kind = rows.schema["conv_id"].dataType
     walked = streamed.mapInArrow(_digests(to_arrow_type(kind)), WALKED.format(kind=kind.simpleString()))
     columns = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
 
