@@ -278,6 +278,7 @@ FROM articles GROUP BY wiki"""
     q["ingest_edits_stream"] = q["ingest_edits"]
     q["edit_stats_topic"] = _with(_topic_sql())
     q["edit_stats_topic_windowed"] = _with(_topic_sql(f", {_iso('s')} AS window_start"))
+    q["edit_stats_topic_replayed"] = q["edit_stats_topic_windowed"]
     q["edits_per_wiki_minute_late_stream"] = _with(
         f""", {_sliced(0)}
 SELECT wiki, {_iso('s')} AS window_start, {_iso(f's + {_MIN_US}')} AS window_end,

@@ -57,6 +57,24 @@ def _epoch_ms(t: dt.datetime) -> int:
     return int(aware.timestamp() * 1000)
 
 
+def kafka_time_options(time_range: tuple, late_margin: dt.timedelta | None = None) -> dict[str, str]:
+    """Offsets of a topic that can hold records with ``lo <= timestamp < hi``.
+
+    The broker seeks each partition to its first record at or after ``lo``; no
+    record before it is in the range. Behind the first record at or after
+    ``hi`` there may still be late ones, so the read has no end, unless the
+    caller knows that a record stands at most ``late_margin`` behind one with a
+    later time; then it ends at the first record at or after ``hi`` plus that.
+    A partition without a record after ``lo`` is read from its end."""
+    lo, hi = time_range
+    opts = {"startingTimestamp": str(_epoch_ms(lo)), "startingOffsetsByTimestampStrategy": "latest"}
+    if late_margin is not None:
+        if late_margin < dt.timedelta(0):
+            raise ValueError("late_margin must not be negative")
+        opts["endingTimestamp"] = str(_epoch_ms(hi + late_margin))
+    return opts
+
+
 def _default_topic(opts: dict[str, str]) -> None:
     """Kafka takes exactly one of these; a caller's own choice stands alone."""
     if not {k.lower() for k in opts} & {"subscribe", "subscribepattern", "assign"}:
@@ -69,19 +87,20 @@ def read_envelope(
     fmt: str = "parquet",
     options: dict[str, str] | None = None,
     time_range: tuple | None = None,
+    late_margin: dt.timedelta | None = None,
 ) -> DataFrame:
     """Batch read of an envelope table or topic.
 
     ``time_range=(lo, hi)`` keeps records with ``lo <= timestamp < hi``; on a
     file source the bounds reach the scan as pushed filters (row groups
-    outside the range are skipped).
+    outside the range are skipped), on a topic as offsets, of which
+    ``kafka_time_options`` says what ``late_margin`` means.
     """
     opts = dict(options or {})
     if fmt == "kafka":
         _default_topic(opts)
-        if time_range is not None:  # the broker seeks to the bounds; the filter below stays exact
-            opts.setdefault("startingTimestamp", str(_epoch_ms(time_range[0])))
-            opts.setdefault("endingTimestamp", str(_epoch_ms(time_range[1])))
+        if time_range is not None:
+            opts = {**kafka_time_options(time_range, late_margin), **opts}
         df = _kafka_envelope(_load_kafka(spark.read.format("kafka").options(**opts)))
     else:
         df = spark.read.schema(ENVELOPE).format(fmt).options(**opts).load(path).select(*_ENVELOPE_COLS)

@@ -22,7 +22,7 @@ from changefold.plans import reports
 from changefold.session import scratch_path
 from changefold.sources.envelope import read_envelope_stream
 from changefold.sources.testdata import AS_OF, LATE_EVERY, LATE_REMAINDER, events_envelope
-from changefold.streaming import exact, jobs, topology
+from changefold.streaming import exact, jobs, topic, topology
 
 SLICE_SECONDS = 6 * 3600 - 17
 # The late queries: one record in LATE_EVERY arrives two hours after its event time.
@@ -214,6 +214,24 @@ def edit_stats_topic_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _topic(spark, sf_dir, keep_window=True)
 
 
+def edit_stats_topic_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The count topic with every micro-batch sent twice, as after a failure,
+    read without replays: the records of ``edit_stats_topic_windowed``."""
+    files, ckpt = scratch_path(spark, "replayed-topic"), scratch_path(spark, "replayed-ckpt")
+
+    def send(rows: DataFrame) -> None:
+        for _ in range(2):
+            rows.write.mode("append").parquet(files)
+
+    def start(stream: DataFrame):
+        records = jobs.stats_topic_records(jobs.edit_count_stream(_articles(stream)), keep_window=True)
+        writer = records.writeStream.outputMode("update").foreachBatch(topic.topic_writer(send))
+        return writer.option("checkpointLocation", ckpt).trigger(**AVAILABLE_NOW).start()
+
+    run_over_slices(spark, sf_dir, start)
+    return topic.without_replays(spark.read.parquet(files), extra=("window_start",))
+
+
 def changelog_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals through the changelog, folded after every second batch;
     the latest view over the fold and its tail equals the batch answer."""
@@ -251,6 +269,7 @@ STREAM_QUERIES = {
     "edit_stats_stream": edit_stats_stream,
     "edit_stats_topic": edit_stats_topic,
     "edit_stats_topic_windowed": edit_stats_topic_windowed,
+    "edit_stats_topic_replayed": edit_stats_topic_replayed,
     "changelog_latest": changelog_latest,
     "ingest_edits_stream": ingest_edits_stream,
 }
