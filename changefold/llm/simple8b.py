@@ -16,6 +16,7 @@ before (uint32), and one line feed.
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import zlib
@@ -24,6 +25,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -36,6 +39,10 @@ WIDTHS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 MAGIC = b"S8BTOKN1"
 HEAD = struct.Struct("<8sQQIIIIQ")  # magic, part, number, documents, block size, blocks, escapes, ids
 BLOCK, ESCAPE, SHARD = 4096, 60, 1 << 20
+#: A word of Latin letters with ASCII marks after it.
+_PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?*%$#&|]*)$"
+_SPACES = np.arange(256, dtype=np.uint8)
+_SPACES[[9, 10, 13]] = 32
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
@@ -154,89 +161,130 @@ def read_shard(data: bytes) -> tuple[int, int, list, np.ndarray, np.ndarray]:
     return part, number, [None if x else int(d) for d, x in zip(doc_ids, null)], counts.astype(np.int64), ids
 
 
+def _strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
     """Ids of texts whose tokenizer never looks across ASCII white space.
 
     Such a tokenizer (white space is dropped, normalising is by character)
     gives a text the ids of its space-separated words, so each distinct word
     is encoded by the library once while it is remembered. Words of plain
-    Latin letters and trailing ASCII marks are looked up as the two lower-case
-    pre-tokens that they are. ``most`` bounds memory, not results."""
+    Latin letters and trailing ASCII marks are the two lower-case pre-tokens
+    that they consist of; all others go to the library as they are, those with
+    the string of a special token among them. Ids stand in one array, in rows;
+    a batch's words are numbered by Arrow, looked up once each and gathered.
+    ``most`` bounds the rows that are remembered, not results."""
 
     def __init__(self, path: str, most: int = 1_200_000):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.plain = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*%$#&|]*)").fullmatch
-        self.known: dict[str, bytes] = {}  # of words and of pre-tokens alike; the frequent ones come early and stay
-        self.most = most
+        self.rows: dict[str, int] = {"": 0}  # of words and of pre-tokens alike; the frequent ones come early and stay
+        self.flat, self.ends = np.zeros(1 << 20, dtype="<u4"), np.zeros(1 << 18, dtype=np.int64)
+        self.n, self.most = 1, most  # row 0 is empty
         mark = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.ends = None
+        self.closes = None
         if mark:
             vocabulary = self.tokenizer.get_vocab()
-            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-            self.ends[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
-
-    def _learn(self, unknown: set[str]) -> dict[str, bytes]:
-        """Ids of words not known yet and of their new pre-tokens; none of them is known."""
-        known, parts, letters, others = self.known, {}, set(), set()
-        for word in unknown:
-            if word.isascii() and word.isalpha():
-                stem, marks = word.lower(), ""
-            elif m := self.plain(word):
-                stem, marks = m[1].lower(), m[2]
-            else:
-                others.add(word)
-                continue
-            letters.add(stem)
-            if marks:
-                others.add(marks)
-                parts[word] = (stem, marks)
-            else:
-                parts[word] = (stem,)
-        letters = letters.difference(known)
-        got = self._single(list(letters))
-        rest = list((letters | others).difference(known, got))
-        made = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        got.update((a, np.array(e.ids, dtype="<u4").tobytes()) for a, e in zip(rest, made))
-        for word, part in parts.items():
-            if word not in got:
-                got[word] = b"".join([got[a] if a in got else known[a] for a in part])
-        return got
-
-    def _single(self, atoms: list[str]) -> dict[str, bytes]:
+            self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.closes[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """New rows with ``sizes`` of ``ids`` each."""
+        used, first = int(self.ends[self.n - 1]), self.n
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while self.n + len(sizes) > len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        self.flat[used : used + len(ids)] = ids
+        self.n += len(sizes)
+        self.ends[first : self.n] = used + np.cumsum(sizes)
+        return range(first, self.n)
+
+    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows one after the other, and how many each has."""
+        begins = np.where(rows > 0, self.ends[rows - 1], 0)
+        sizes = self.ends[rows] - begins
+        ahead = np.cumsum(sizes) - sizes
+        return self.flat[np.repeat(begins - ahead, sizes) + np.arange(int(sizes.sum()))], sizes
+
+    def _joined(self, atoms: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of pre-tokens of Latin letters, encoded as one text: each ends
         in the one of its tokens that the vocabulary marks as a word's end."""
-        if not atoms or self.ends is None:
-            return {}
-        ids = np.array(self.tokenizer.encode(" ".join(atoms), add_special_tokens=False).ids, dtype="<u4")
-        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if self.closes is None:
+            return None
+        (made,) = self.tokenizer.encode_batch_fast([" ".join(atoms)], add_special_tokens=False)
+        ids = np.array(made.ids, dtype="<u4")
+        stops = np.flatnonzero(self.closes[ids]) + 1
         if len(stops) != len(atoms) or stops[-1] != len(ids):
-            return {}
-        data, out, at = ids.tobytes(), {}, 0
-        for atom, stop in zip(atoms, stops):
-            out[atom] = data[4 * at : 4 * stop]
-            at = stop
-        return out
+            return None
+        return ids, np.diff(stops, prepend=0)
+
+    def _encode(self, atoms: list[str], plain: bool) -> None:
+        """Rows for those of ``atoms`` that have none."""
+        atoms = list(itertools.filterfalse(self.rows.__contains__, dict.fromkeys(atoms)))
+        if not atoms:
+            return
+        got = self._joined(atoms) if plain else None
+        if got is None:
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(atoms, add_special_tokens=False)]
+            got = np.array([i for ids in made for i in ids], dtype="<u4"), np.array([len(ids) for ids in made])
+        self.rows.update(zip(atoms, self._add(*got)))
+
+    def _learn(self, words: list[str]) -> None:
+        """Rows for words, and their pre-tokens, that have none."""
+        parts = pc.extract_regex(pa.array(words, pa.string()), _PLAIN)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        self._encode([words[i] for i in np.flatnonzero(~plain)], plain=False)
+        names = words if plain.all() else list(itertools.compress(words, plain))
+        halves = []
+        for part, letters in ((pc.utf8_lower(parts.field("stem")), True), (parts.field("marks"), False)):
+            numbered = part.filter(pa.array(plain)).dictionary_encode()
+            atoms = _strings(numbered.dictionary)
+            self._encode(atoms, plain=letters)
+            halves.append(np.fromiter(map(self.rows.__getitem__, atoms), np.int64, len(atoms))[numbered.indices.to_numpy()])
+        rows = self.rows  # a word that is its own stem has a row by now
+        new = ~np.fromiter(map(rows.__contains__, names), bool, len(names))
+        if new.any():
+            ids, sizes = self._gather(np.column_stack(halves)[new].reshape(-1))
+            rows.update(zip(itertools.compress(names, new), self._add(ids, sizes.reshape(-1, 2).sum(axis=1))))
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and how many each text has."""
+        whole = pa.array(texts, pa.large_string())
+        _, offsets, data = whole.buffers()
+        if data is None or not whole.nbytes:
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        raw = np.frombuffer(data, np.uint8)
+        raw = _SPACES[raw]
+        spaced = pa.Array.from_buffers(pa.large_string(), len(whole), [None, offsets, pa.py_buffer(raw)])
+        split = pc.split_pattern(spaced, " ")
+        numbered = split.flatten().dictionary_encode()
+        words, codes = _strings(numbered.dictionary), numbered.indices.to_numpy()
+        before = len(self.rows), self.n
+        rows = np.fromiter(map(self.rows.get, words, itertools.repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(rows < 0).tolist()
+        if unknown:
+            self._learn(list(map(words.__getitem__, unknown)))
+            rows[unknown] = np.fromiter(map(self.rows.__getitem__, map(words.__getitem__, unknown)), np.int64, len(unknown))
+        ids, sizes = self._gather(rows[codes])
+        if before[0] >= self.most:  # full: what was learned now is forgotten
+            for word in list(itertools.islice(reversed(self.rows), len(self.rows) - before[0])):
+                del self.rows[word]
+            self.n = before[1]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        cuts = split.offsets.to_numpy()
+        return ids, np.diff(ends[cuts - cuts[0]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        unknown: set[str] = set()
-        for found in split:
-            unknown.update(found)
-        known = self.known
-        full = len(known) >= self.most
-        new = self._learn(unknown.difference(known))
-        known.update(new)
-        out = [b"".join(map(known.__getitem__, found)) for found in split]
-        if full:
-            for word in new:
-                del known[word]
-        return out
+        ids, counts = self.encode_flat(texts)
+        ends = np.cumsum(counts)
+        data = ids.astype("<u4").tobytes()
+        return [data[4 * (b - n) : 4 * b] for b, n in zip(ends.tolist(), counts.tolist())]
 
 
 @lru_cache(1)
@@ -244,7 +292,7 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _slices(frame: pd.DataFrame, chars: int = 1_000_000) -> Iterator[tuple[list, list[str]]]:
+def _slices(frame: pd.DataFrame, chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
     """A batch's documents, about ``chars`` characters of them at a time."""
     docs, texts, size = [], [], 0
     for doc, text in zip(frame["doc_id"], frame["text"]):
@@ -263,19 +311,21 @@ def _write_shards(path: str, end: int, shard: int):
         encoder, part, number = _encoder(path), TaskContext.get().partitionId(), 0
         docs: list = []
         counts: list[int] = []
-        held: list[bytes] = []
-        tail, size = np.array([end], dtype="<u4").tobytes(), 0
+        held: list[np.ndarray] = []
+        tail, size = np.array([end], dtype="<u4"), 0
 
         def flush() -> pd.DataFrame:
-            return pd.DataFrame({"value": [shard_bytes(part, number, docs, counts, np.frombuffer(b"".join(held), "<u4"))]})
+            return pd.DataFrame({"value": [shard_bytes(part, number, docs, counts, np.concatenate(held))]})
 
         for frame in frames:
             for own, texts in _slices(frame):
-                for doc, made in zip(own, encoder.encode(texts)):
+                ids, made = encoder.encode_flat(texts)
+                ends = np.cumsum(made)
+                for doc, stop, n in zip(own, ends.tolist(), made.tolist()):
                     docs.append(doc)
-                    counts.append(len(made) // 4 + 1)
-                    held += (made, tail)
-                    size += counts[-1]
+                    counts.append(n + 1)
+                    held += (ids[stop - n : stop], tail)
+                    size += n + 1
                     if size >= shard:
                         yield flush()
                         docs, counts, held, size, number = [], [], [], 0, number + 1
