@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +35,19 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.withColumns({KEYS[0]: F.xxhash64(*cols), KEYS[1]: F.hash(*cols)})
 
 
+def sheltered(docs: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with all columns but ``own`` under names that no operator uses,
+    and a function that gives a result its columns' names back. ``added``
+    columns come last; one of ``docs`` with the name of an added one gives way."""
+    names = {c: c if c in own else f"x{i}" for i, c in enumerate(docs.columns)}
+
+    def back(result: DataFrame, added: Iterable[str] = ()) -> DataFrame:
+        added = list(added)
+        return result.select(*[F.col(n).alias(c) for c, n in names.items() if c not in added], *added)
+
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), back
+
+
 def contiguous(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """The groups of a stream of batches sorted by the integer columns ``keys``.
 

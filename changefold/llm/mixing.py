@@ -19,7 +19,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from changefold.llm.common import KEYS, contiguous, keyed, partitions, words
+from changefold.llm.common import KEYS, contiguous, keyed, partitions, sheltered, words
 from changefold.session import materialize
 
 CARRIED = "__key1 long, __key2 int, doc_id long, size long, rank int, source_size long, target double, whole int, p double"
@@ -164,11 +164,10 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
     Rows equal in every column are collapsed before the join and their copies
     added, so that each decision counts once; both sides are hashed by the
-    same unique key, so no group is hot."""
+    same unique key, so no group is hot. Columns may have any name."""
     n = "__copies"
+    inner, back = sheltered(docs, ())
     per = mixed.groupBy(*KEYS).agg(F.sum("copies").alias(n)).where(F.col(n) > 0)
-    one = keyed(docs).dropDuplicates(list(KEYS))
+    one = keyed(inner).dropDuplicates(list(KEYS))
     out = one.join(per, list(KEYS))
-    return out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    return back(out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from changefold.llm.common import words
+from changefold.llm.common import sheltered, words
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Ratios that the rules test: name, numerator, denominator.
@@ -234,13 +234,20 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame
     """``docs`` plus ``__quality_*`` statistics, ``__quality_base_failed`` and
     ``__quality_kept``.
 
-    Reads doc_id and text; other columns pass through whatever their names. A
-    null or empty text has no words and fails the base rules. Documents whose
+    Reads doc_id and text; other columns pass through whatever their names, but
+    for one named like a column added, which gives way. Texts of any length are
+    read whole. A null or empty text has no words and fails the base rules. Documents whose
     labels are missing are judged like any other. Without labels, or where no
     rule is precise enough, only the base rules reject. Equal rows are judged
     alike; an empty table gives no rows. The whole table is read once, without
     a shuffle."""
     rules = fit_rules(docs, labels, sample)
+    inner, back = sheltered(docs, ("doc_id", "text"))
+    out = _judged(inner, rules)
+    return back(out, [c for c in out.columns if c.startswith(_P)])
+
+
+def _judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     out = with_statistics(docs).withColumn(f"{_P}base_failed", base_failed())
     return out.withColumn(f"{_P}kept", ~F.col(f"{_P}base_failed") & verdict(rules))
 
@@ -252,6 +259,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataF
     it below the statistics, where each of their layers would be written out
     again in place of every mention of its name."""
     row = f"{_P}row"
-    judged = judge(docs, labels, sample).withColumn(row, F.monotonically_increasing_id())
-    kept = judged.where(F.col(f"{_P}kept") & (F.col(row) >= 0))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    inner, back = sheltered(docs, ("doc_id", "text"))
+    judged = _judged(inner, fit_rules(docs, labels, sample)).withColumn(row, F.monotonically_increasing_id())
+    return back(judged.where(F.col(f"{_P}kept") & (F.col(row) >= 0)))

@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from changefold.llm.common import KEYS, keyed, partitions
+from changefold.llm.common import KEYS, keyed, partitions, sheltered
 from changefold.llm.components import connected_components
 from changefold.session import materialize
 
@@ -199,7 +199,9 @@ def link_fingerprints(prints: DataFrame, max_bits: int = 4) -> DataFrame:
 def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """(__key1, __key2, doc_id, fingerprint, component_id), one row per row.
 
-    A null, empty or blank text has fingerprint zero and links like any other.
+    Reads doc_id and text; other columns only tell rows apart, whatever their
+    names. Texts of any length are read whole. A null, empty or blank text has
+    fingerprint zero and links like any other.
     component_id is the smallest doc_id reachable by links, itself included;
     null ids count only where a component has no other. Equal rows are in one
     component. An empty table gives no rows."""
@@ -220,10 +222,11 @@ def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4) ->
 def keep_one(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id
     (null last), of equal ids that of the smallest content key, of equal rows
-    one. The rows' content key is unique on both sides of the join."""
+    one. The rows' content key is unique on both sides of the join. Columns may
+    have any name."""
     best = grouped.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), *[F.col(k) for k in KEYS])).alias("best")
     )
     kept = best.select(*[F.col(f"best.{k}").alias(k) for k in KEYS])
-    one = keyed(docs).dropDuplicates(list(KEYS))
-    return one.join(kept, list(KEYS), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    inner, back = sheltered(docs, ())
+    return back(keyed(inner).dropDuplicates(list(KEYS)).join(kept, list(KEYS), "left_semi"))
