@@ -15,8 +15,10 @@ they are shared.
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -53,35 +55,98 @@ BOILER = re.compile(
 )
 #: Fixed: those whose members are article elements of their own.
 LISTS = re.compile(r"(?:related|comments?|commentlist|respond|replies|reply|disqus)(?:[-_].*)?|(?:post|posts|entry|article|page)[-_](?:related|comments?)", re.I)
-_TAG = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(script|style|noscript|template|svg|iframe|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|"
-    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+_OPENER = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_QUOTE = re.compile(r"[>\"']")
+#: Fixed: elements whose content is no markup.
+RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript template svg iframe textarea title".split()}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
+#: Fixed: tokens that name the body itself, and those that beside one of them say nothing.
+BODY = re.compile(r"(?:main|page|post|entry|article|story)?[-_]?(?:content|body|text)|article|story|main", re.I)
+MILD = re.compile(r"share|sharing|social|search|widget|side|banner|promo|header|notice", re.I)
+
 OPEN, KEPT = 0, 1
 #: What makes an element boilerplate, the stronger the higher.
 FREE, NAMED, LISTED, ELEMENT = range(4)
 
 
-def _boiler(name: str, named: str) -> int:
+def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of each piece of markup in order;
+    comments, declarations and elements without markup inside have no name.
+
+    Each piece is consumed when found, and where the rest of the page has no
+    such mark a search is not made again, so the time is linear in the page.
+    A quote that nothing closes does not count, nor do quotes in which all that
+    follows would vanish; a tag that no ``>`` ends is text."""
+    at, missing, quoted = 0, set(), True
+
+    def find(mark: str, start: int) -> int:
+        if mark in missing:
+            return -1
+        found = page.find(mark, start)
+        if found < 0:
+            missing.add(mark)
+        return found
+
+    def tag_end(start: int) -> int:
+        while True:
+            m = _QUOTE.search(page, start)
+            if m is None:
+                return -1
+            if m[0] == ">":
+                return m.end()
+            close = find(m[0], m.end())
+            start = m.end() if close < 0 else close + 1
+
+    while m := _OPENER.search(page, at):
+        head, name = m[0], (m[2] or "").lower()
+        if head == "<!--" or head == "<![CDATA[":
+            mark = "-->" if head == "<!--" else "]]>"
+            end = find(mark, m.end())
+            at = len(page) if end < 0 else end + len(mark)
+            yield m.start(), at, False, "", ""
+            continue
+        end = find(">", m.end()) + 1
+        if not end:
+            return
+        if name and quoted:
+            closed = tag_end(m.end())
+            quoted = closed >= 0  # else quotes swallow the rest: from here on they do not count
+            end = closed if quoted else end
+        attributes = page[m.end() : end - 1] if name else ""
+        at = end
+        if name in RAW and not m[1]:
+            close = None if f"</{name}" in missing else RAW[name].search(page, end)
+            if close is None:
+                missing.add(f"</{name}")
+            at, name = (len(page) if close is None else close.end()), ""
+        yield m.start(), at, bool(m[1]), name, attributes
+
+
+def _boiler(name: str, named: str, inside: bool) -> int:
+    """What an element is; ``inside`` an article, a header is the article's own."""
+    if name == "form":
+        return ELEMENT if inside else NAMED  # a form around the whole page holds the article too
     if name in DROPPED:
-        return ELEMENT
+        return FREE if name == "header" and inside else ELEMENT
     if not named or name in MAIN or name in ("html", "body"):
         return FREE
-    found = [t for t in named.split() if BOILER.fullmatch(t)]
+    tokens = named.split()
+    body = any(BODY.fullmatch(t) for t in tokens)
+    found = [t for t in tokens if BOILER.fullmatch(t) and not (body and MILD.fullmatch(t))]
     return LISTED if any(LISTS.fullmatch(t) for t in found) else NAMED if found else FREE
 
 
 def lines(page: str) -> list[tuple[int, str]]:
     """(role, text) of each block with text, markup gone, what markup calls
     boilerplate left out; role KEPT inside an article or main element. Such an
-    element ends boilerplate that only class and id names around it say, but
-    for an article in an article or in a list of comments or related ones."""
+    element ends boilerplate that only class and id names around it say, or a
+    form around it, but for an article in an article or in a list of comments
+    or related ones."""
     out: list[tuple[int, str]] = []
     held: list[str] = []
     stack: list[tuple[str, int, bool]] = []  # element, boilerplate from here on, inside the article
+    depth: Counter[str] = Counter()  # of each element in the stack
 
     def close_block() -> None:
         text = " ".join(entities.unescape("".join(held)).split())
@@ -89,31 +154,35 @@ def lines(page: str) -> list[tuple[int, str]]:
         if text:
             out.append((KEPT if stack and stack[-1][2] else OPEN, text))
 
+    def cut(i: int) -> None:
+        depth.subtract(s[0] for s in stack[i:])
+        del stack[i:]
+
     at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at and not (stack and stack[-1][1]):
-            held.append(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
+    for start, end, closing, name, attributes in _tags(page):
+        if start > at and not (stack and stack[-1][1]):
+            held.append(page[at:start])
+        at = end
         if not name:
             continue
         inline = name in INLINE
-        if m[2]:
+        if closing:
             if not inline:
                 close_block()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if depth[name] else ():
+                if inline and stack[i][0] not in INLINE:
+                    break  # a stray end tag does not close blocks
                 if stack[i][0] == name:
-                    if inline and any(s[0] not in INLINE for s in stack[i:]):
-                        break  # a stray end tag does not close blocks
-                    del stack[i:]
+                    cut(i)
                     break
             continue
         if name in VOID:
             if not inline:
                 close_block()
             continue
-        named = " ".join(a or b or c for a, b, c in _NAMED.findall(m[4])) if m[4] else ""
-        own, above = _boiler(name, named), stack[-1][1] if stack else FREE
+        named = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)) if attributes else ""
+        above, inside = (stack[-1][1], stack[-1][2]) if stack else (FREE, False)
+        own = _boiler(name, named, inside)
         if above == NAMED and (name == "main" or name == "article" and all(s[0] != "article" for s in stack)):
             above = FREE
         boiler = max(above, own)
@@ -123,13 +192,14 @@ def lines(page: str) -> list[tuple[int, str]]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     boiler = boiler if not stack[i][1] else max(stack[i - 1][1] if i else FREE, own)
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i][0] not in INLINE and stack[i][0] != "p":
                     break
-        if m[4].rstrip().endswith("/"):
+        if attributes.rstrip().endswith("/"):
             continue
-        stack.append((name, boiler, (stack[-1][2] if stack else False) or name in MAIN))
+        depth[name] += 1
+        stack.append((name, boiler, (stack[-1][2] if stack else False) or (name in MAIN and not boiler)))
     if at < len(page) and not (stack and stack[-1][1]):
         held.append(page[at:])
     close_block()
@@ -168,17 +238,6 @@ def shared(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
     return x, y
 
 
-def main_text(own: list[tuple[int, str]], deleted: set[int]) -> str:
-    """The article's lines and the open lines that are not ``deleted``
-    (numbers among the open lines), in the order of the page."""
-    out, at = [], 0
-    for role, text in own:
-        if role == KEPT or at not in deleted:
-            out.append(text)
-        at += role == OPEN
-    return " ".join(out)
-
-
 def _ranks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Place of each row in its host within this sorted partition."""
     from pyspark import TaskContext
@@ -193,14 +252,19 @@ def _ranks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(part=part, place=places)
 
 
-def _open_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Open lines, and a hash of the article's (null: none)."""
+def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All lines with their number among the open ones (-1: an article's), and
+    a hash of the article's (null: none)."""
     for frame in frames:
-        parsed = [lines(h or "") for h in frame["html"]]
-        found = [[t for role, t in own if role == OPEN] for own in parsed]
-        articles = ["\n".join(t for role, t in own if role == KEPT) for own in parsed]
-        digests = [blake2b(a.encode("utf-8", "replace"), digest_size=8).digest() if a else None for a in articles]
-        yield frame.drop(columns="html").assign(open=found, article=digests)
+        texts, numbers, digests = [], [], []
+        for page in frame["html"]:
+            own = lines(page or "")
+            texts.append([t for _, t in own])
+            count = itertools.count()
+            numbers.append([next(count) if role == OPEN else -1 for role, _ in own])
+            article = "\n".join(t for role, t in own if role == KEPT)
+            digests.append(blake2b(article.encode("utf-8", "replace"), digest_size=8).digest() if article else None)
+        yield frame.drop(columns="html").assign(lines=texts, numbers=numbers, article=digests)
 
 
 def _difference(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,14 +284,6 @@ def _difference(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out[out["deleted"].str.len() > 0]
 
 
-def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        texts = [
-            main_text(lines(h or ""), set() if d is None else set(d)) for h, d in zip(frame["html"], frame["deleted"])
-        ]
-        yield frame[["page_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts])
-
-
 def neighbours(pages: DataFrame) -> DataFrame:
     """(key1, key2, host_key, pair, place): which pages are compared.
 
@@ -261,21 +317,25 @@ def neighbours(pages: DataFrame) -> DataFrame:
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per row of ``pages``.
 
-    Reads page_id, url and html. A null or empty html gives an empty text, a
-    null url an empty host and path; equal rows are extracted once for each.
-    Only the lines that markup leaves open travel between pages; the pages
-    themselves meet the numbers of their deleted lines by a unique key.
-    Character references are decoded, white space inside a block becomes one
-    space, and blocks are joined by one space. An empty table gives no rows.
+    Reads page_id, url and html; other columns do not matter, whatever their
+    names. A null or empty html gives an empty text, a null url an empty host
+    and path; equal rows are extracted once for each. Pages of any length are
+    read whole, in time that grows with their length (but for repeated lines
+    that two paired pages have in different orders). Each page is parsed once;
+    its lines are written to the shared folder, only those that markup leaves
+    open travel between pages, and the numbers of deleted lines meet their page
+    by a unique key. Character references are decoded, white space inside a
+    block becomes one space, and blocks are joined by one space. An empty table
+    gives no rows.
     """
     keys = ["k1", "k2"]
     base = pages.select("page_id", "url", "html").withColumns(
         {"k1": F.xxhash64("page_id", "url", "html"), "k2": F.hash("page_id", "url", "html")}
     )
-    parsed = materialize(
-        base.mapInPandas(_open_lines, "page_id long, url string, open array<string>, k1 long, k2 int, article binary"), "open-lines"
-    )
-    one = parsed.dropDuplicates(keys)
+    schema = "page_id long, url string, k1 long, k2 int, lines array<string>, numbers array<int>, article binary"
+    parsed = materialize(base.mapInPandas(_parsed, schema), "page-lines")
+    found = F.filter(F.arrays_zip("lines", "numbers"), lambda x: x["numbers"] >= 0)
+    one = parsed.select("page_id", "url", *keys, found["lines"].alias("open"), "article").dropDuplicates(keys)
     deleted = materialize(
         neighbours(one)
         .join(one.select(*keys, "open", "article"), keys)
@@ -284,5 +344,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
         .mapInPandas(_difference, "k1 long, k2 int, deleted array<int>"),
         "deleted-lines",
     )
-    told = base.join(deleted, keys, "left").select("page_id", "url", "html", "deleted")
-    return told.mapInPandas(_texts, "page_id long, url string, text string, n_chars long")
+    told = parsed.join(deleted, keys, "left").withColumn("deleted", F.coalesce("deleted", F.array().cast("array<int>")))
+    left = F.filter(F.arrays_zip("lines", "numbers"), lambda x: ~F.array_contains(F.col("deleted"), x["numbers"]))
+    text = F.array_join(left["lines"], " ")
+    return told.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
