@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from changefold.llm.common import KEYS, keyed
+from changefold.llm.common import KEYS, keyed, sheltered
 from changefold.session import materialize
 
 _MASK = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
@@ -29,6 +29,8 @@ _DROPPED = "__dropped"
 #: The rule of the registered queries: a long line recurs to the letter in two
 #: documents, one of 4, 3, 2 or 1 tokens in 10, 14, 20 or 40.
 LETTER = {"verbatim": 2, "brief": 40}
+#: Templates with fields beside digits of 5, 6 or 7 tokens recur from 8, 7 or 6 documents on.
+SURE, FEW = 8, 40
 
 
 def _tokens(line: Column) -> Column:
@@ -46,7 +48,7 @@ def _leaf(depth: int) -> Column:
 
 
 def _lines(docs: DataFrame, least_tokens: int) -> DataFrame:
-    """(keys, doc_id, at, line, tokens): the lines long enough for the tree."""
+    """(keys, doc_id, at, line, tokens): the lines of so many tokens at least."""
     each = docs.select(*KEYS, "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     each = each.where(F.char_length("line") >= 2 * least_tokens - 1)
     each = each.select(*KEYS, "doc_id", "at", "line", _tokens(F.col("line")).alias("tokens"))
@@ -59,7 +61,7 @@ def recurring_lines(
     depth: int = 3,
     support: int = 3,
     similarity: float = 0.7,
-    general: int = 8,
+    general: int = 5,
     verbatim: int | None = None,
     brief: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
@@ -67,26 +69,30 @@ def recurring_lines(
     docs as hashes, and (sig, first), the variants whose template recurs with
     the first doc_id of the template.
 
-    Only templates of ``general`` tokens or more have fields beside digits.
+    Only templates of ``general`` tokens or more have fields beside digits;
+    those of fewer than ``SURE`` tokens, of which chance makes some, recur from
+    ``FEW`` / tokens documents on.
     Lines with less than ``similarity`` of their tokens free of digits are
     counted by a hash of the line with its digits. With ``verbatim`` so are
     all lines, from that many documents on; with ``brief`` also those of fewer
     than ``least_tokens`` tokens, from ``brief`` / tokens documents on. A line
     with digits then has two rows in lines, one for each way.
-    Lines are counted as hashes; the tokens themselves are read again only for
-    leaves with ``support`` variants. Counting is by partial sums, so a line
-    in every document is one row a task."""
+    Texts are cut into lines and tokens once. Lines are counted as hashes; their
+    text is read again only in leaves with ``support`` variants. Counting is by
+    partial sums, so a line in every document is one row a task."""
     n = F.size("tokens")
     fixed = F.size(F.array_remove("tokens", "<*>"))
     own, none = _as_is(F.col("line")), F.lit(0)  # none: no line of the tree
     exact_need = F.lit(support if verbatim is None else min(support, verbatim))
 
-    def way(sig: Column, need: Column, n: Column) -> Column:
-        return F.struct(sig.alias("sig"), need.cast("int").alias("need"), n.alias("n"))
+    spoken = F.when(n >= general, F.col("line"))
 
-    masked, letter = way(F.xxhash64("tokens"), F.lit(support), n), way(own, exact_need, none)
+    def way(sig: Column, need: Column, n: Column, line: Column = F.lit(None).cast("string")) -> Column:
+        return F.struct(sig.alias("sig"), need.cast("int").alias("need"), n.alias("n"), line.alias("line"))
+
+    masked, letter = way(F.xxhash64("tokens"), F.lit(support), n, spoken), way(own, exact_need, none)
     both_ways = F.array(masked) if verbatim is None else F.array(masked, letter)
-    ways = F.when(fixed == n, F.array(way(F.xxhash64("tokens"), exact_need, n)))
+    ways = F.when(fixed == n, F.array(way(F.xxhash64("tokens"), exact_need, n, spoken)))
     ways = ways.when(fixed >= similarity * n, both_ways).otherwise(F.array(letter))
     if brief is not None:
         ways = F.when(n < least_tokens, F.array(way(own, F.ceil(F.lit(brief) / n), none))).otherwise(ways)
@@ -103,14 +109,10 @@ def recurring_lines(
     exact = variants.where(F.col("docs") >= F.col("need")).select("sig", "first")
     leaves = variants.where(F.col("n") >= general).groupBy("leaf").agg(F.count("*").alias("variants"))
     leaves = materialize(leaves.where(F.col("variants") >= support).select("leaf"), "leaves")
-    spoken = (
-        _lines(docs, general)
-        .select("tokens", _leaf(depth).alias("leaf"), F.xxhash64("tokens").alias("sig"))
-        .join(leaves, "leaf", "left_semi")
-        .dropDuplicates(["leaf", "sig"])
-    )
+    said = lines.where(F.col("line").isNotNull()).select("leaf", "sig", "line").join(leaves, "leaf", "left_semi")
+    said = said.groupBy("leaf", "sig").agg(F.first("line").alias("line")).select("leaf", "sig", _tokens(F.col("line")).alias("tokens"))
     tokens = materialize(
-        spoken.select("leaf", "sig", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))
+        said.select("leaf", "sig", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))
         .where(F.col("token") != "<*>")
         .select("leaf", "sig", "n", "at", F.xxhash64("token").alias("token")),
         "template-tokens",
@@ -126,9 +128,10 @@ def recurring_lines(
     shaped = shape.join(variants.select("leaf", "sig", "docs", "first"), ["leaf", "sig"])
     shaped = materialize(shaped, "templates")
     per = shaped.groupBy("leaf", "template").agg(
-        F.count("*").alias("variants"), F.sum("docs").alias("docs"), F.min("first").alias("least")
+        F.count("*").alias("variants"), F.sum("docs").alias("docs"), F.min("first").alias("least"), F.max("n").alias("n")
     )
-    per = per.where((F.col("variants") > 1) & (F.col("docs") >= support))
+    enough = F.when(F.col("n") < SURE, F.greatest(F.lit(support), F.ceil(F.lit(FEW) / F.col("n")))).otherwise(support)
+    per = per.where((F.col("variants") > 1) & (F.col("docs") >= enough))
     fielded = shaped.join(per.select("leaf", "template", "least"), ["leaf", "template"]).select(
         "sig", F.col("least").alias("first")
     )
@@ -159,17 +162,19 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with recurring lines dropped from ``text``, plus n_lines and
     n_dropped (long) under ``__n_lines`` and ``__n_dropped``.
 
-    Reads doc_id and text; other columns pass through whatever their names. A
-    null text stays null and has no lines. Lines of fewer than
+    Reads doc_id and text; other columns pass through whatever their names, but
+    for one named like a column added, which gives way. A null text stays null
+    and has no lines; a text of any length is read whole. Lines of fewer than
     ``least_tokens`` tokens stay unless ``brief`` is given. The smallest doc_id that has a
     template keeps all its lines of it; a null doc_id keeps them only if no
     document with an id has it. Equal rows count as one document and get equal
     texts. A document that loses all lines has an empty text. An empty table
     gives no rows."""
-    told = mark_dropped(docs, **options)
+    inner, back = sheltered(docs, ("doc_id", "text"))
+    told = mark_dropped(inner, **options)
     text = F.col("text")
     n = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n")))
     told = told.withColumns({"__n_lines": n.cast("long"), "__n_dropped": F.coalesce(F.size(_DROPPED), F.lit(0)).cast("long")})
     told = told.withColumn("__n_dropped", F.greatest(F.col("__n_dropped"), F.lit(0).cast("long")))
     told = told.withColumn("text", _left(text, F.col(_DROPPED)))
-    return told.select(*[F.col(f"`{c}`") for c in docs.columns], "__n_lines", "__n_dropped")
+    return back(told, ["__n_lines", "__n_dropped"])

@@ -243,6 +243,97 @@ def test_lines_to_the_letter(spark, tmp_path):
     assert got[2] == "x\ny\nThanks."
 
 
+def template_truth(docs, similarity=0.7, support=3, depth=3, verbatim=2, brief=40):
+    """The registered rule, written down plainly: text of each document after dedup."""
+    ways = {}  # line -> its (signature, documents needed)
+    found = defaultdict(set)  # signature -> doc_ids
+    leaves = defaultdict(set)
+    lines = {line for _, text in docs for line in (text or "").split("\n")}
+    for line in lines:
+        words = WORD.findall(line)
+        tokens = tuple("<*>" if re.search("[0-9]", w) else w for w in words)
+        n, fixed = len(tokens), sum(t != "<*>" for t in tokens)
+        if not n:
+            continue
+        letter = (("as it is", tuple(words)), verbatim)
+        if n < 5:
+            ways[line] = [(letter[0], math.ceil(brief / n))]
+        elif fixed == n:
+            ways[line] = [(tokens, verbatim)]
+        else:
+            ways[line] = [(tokens, support), letter] if fixed >= similarity * n else [letter]
+        if n >= 5 and fixed >= similarity * n:
+            leaves[n, tokens[:depth]].add(tokens)
+    for doc, text in docs:
+        for line in set((text or "").split("\n")):
+            for sig, _ in ways.get(line, ()):
+                found[sig].add(doc)
+    first = {}
+    for line, some in ways.items():
+        for sig, need in some:
+            if len(found[sig]) >= need:
+                first[sig] = min(found[sig])
+    for (n, _), variants in leaves.items():
+        if len(variants) < support:
+            continue
+        at = Counter((i, t) for v in variants for i, t in enumerate(v) if t != "<*>")
+        shapes = defaultdict(list)
+        for v in variants:
+            shape = tuple((i, t) for i, t in enumerate(v) if at[i, t] >= support and t != "<*>")
+            if len(shape) >= similarity * n:
+                shapes[shape].append(v)
+        for own in shapes.values():
+            enough = support if n >= 8 else max(support, math.ceil(40 / n))
+            if len(own) > 1 and sum(len(found[v]) for v in own) >= enough:
+                least = min(min(found[v]) for v in own)
+                for v in own:
+                    first[v] = min(least, first.get(v, least))
+    out = {}
+    for doc, text in docs:
+        if text is not None:
+            keep = [x for x in text.split("\n") if not any(sig in first and first[sig] != doc for sig, _ in ways.get(x, ()))]
+            text = "\n".join(keep)
+        out[doc] = text
+    return out
+
+
+def test_lines_registered_rule_brute_force(spark):
+    docs = [(d["doc_id"], d["text"]) for d in table("documents")]
+    rng = random.Random(5)
+    names = [f"{a}{b}" for a in ("anna", "bert", "carl", "dora") for b in ("son", "ley", "ton", "ski")]
+    for i in range(60):  # templates with fields that hold no digit, among text of their own
+        planted = [
+            f"posted in this forum by {rng.choice(names)} on a rainy {rng.choice(names)} evening",
+            f"read more about {rng.choice(names)} here" if i < 20 else "",
+            f"call {i} or {i + 3} for details of our offer",
+            f"nothing recurs {i} {rng.random()} {rng.choice(names)} {rng.choice(names)} {rng.random()}",
+        ]
+        docs.append((100_000 + i, "\n".join(planted)))
+    got = {r["doc_id"]: r["text"] for r in rows(line_templates.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), **line_templates.LETTER))}
+    assert got == template_truth(docs)
+
+
+def test_recall_of_planted_templates(spark):
+    """Templates of 5 to 14 tokens with one field of other words in every fourth
+    token behind the leading three: at least nine of ten lines go."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    docs, planted = [], 0
+    templates = [[word() for _ in range(n)] for n in range(5, 15) for _ in range(3)]
+    for i in range(25):
+        lines = [" ".join(word() for _ in range(9)) for _ in range(5)]
+        for t in templates:
+            own = list(t)
+            for k in range(3, len(own), 4):
+                own[k] = word()
+            lines.append(" ".join(own))
+            planted += i > 0
+        docs.append((i, "\n".join(lines)))
+    got = rows(line_templates.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), **line_templates.LETTER))
+    assert sum(r["__n_dropped"] for r in got) >= 0.9 * planted
+    assert all(r["__n_dropped"] <= len(templates) for r in got)  # lines of their own stay
+
+
 # -- op3
 
 
@@ -373,9 +464,9 @@ def test_word_encoder_equals_library():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     own = simple8b.WordEncoder(path, most=50)
     texts = ["", "  ", "It's we'LL can't don't're ΣΟΦΟΣ ß İstanbul", "á é ́x A B a b x\x1cy x\x85y x\x0by\x0cz", "<|endoftext|> <|startoftext|>x 12,345.67 $$$abc%%% Éa!! é. 北京 😀a"]
+    texts += ["foo <|endoftext|> bar", "a<|startoftext|>b <|ENDOFTEXT|>", "<|endoftext|><|endoftext|>x|<|", "plain Plain PLAIN plain. plain"]
     texts += ["".join(random.Random(i).choices("aA'é.,!1 \n\tßΣ́<|>s", k=60)) for i in range(300)]
     for t in texts:
         assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
@@ -604,6 +695,33 @@ def test_page_text_in_named_wrappers():
     assert html_text.lines("<aside><article>c</article></aside><article>a<div class=widget><article>b</article></div></article>") == [(html_text.KEPT, "a")]
 
 
+def test_forms_and_headers_keep_the_article():
+    kept, open_ = html_text.KEPT, html_text.OPEN
+    told = html_text.lines
+    assert told("<body><form action=x><nav>m</nav><article><h1>T</h1><p>Body</article><input></form>") == [(kept, "T"), (kept, "Body")]
+    assert told("<form><p>Name<input></form><p>After") == [(open_, "After")]
+    assert told("<article><header><h1>Title</h1></header><p>Body<form>sign up</form></article>") == [(kept, "Title"), (kept, "Body")]
+    assert told("<header>Site</header><main>a<header>b</header></main>") == [(kept, "a"), (kept, "b")]
+    assert told('<div class="content share"><p>Body</p></div><div class=share>x</div>') == [(open_, "Body")]
+    assert told('<div class="related content"><p>x</p></div><div class="post-content">y</div>') == [(open_, "y")]
+
+
+def test_markup_is_read_in_linear_time():
+    import time
+
+    n = 1_000_000
+    pages = ["<a \"", "<p x='", "<!-- ", "<script>", "<a \">\"", "<b", "<b>", "<b></i>", "<div class='a'>x", "<li><b>", "</p>", "<![CDATA[", "<a 'x>", "<"]
+    for piece in pages:
+        for tail in ("", ">", "<p>end</p>"):
+            page = piece * (n // len(piece)) + tail
+            began = time.process_time()
+            html_text.lines(page)
+            assert time.process_time() - began < 20, piece  # half a minute and more where it is quadratic
+    assert html_text.lines("<p>a</p><a \"b<p>c</p>") == [(html_text.OPEN, "a"), (html_text.OPEN, "c")]
+    assert html_text.lines("<p title='x > y'>a</p>b <") == [(html_text.OPEN, "a"), (html_text.OPEN, "b <")]
+    assert html_text.lines("a <!-- open") == [(html_text.OPEN, "a")]
+
+
 def test_ranks_do_not_depend_on_partitions(spark):
     data = [(i, f"http://{'hot' if i % 3 else f'h{i % 7}'}.org/p/{i % 40}", i, i) for i in range(400)]
     frame = spark.createDataFrame(data, "page_id long, url string, k1 long, k2 int")
@@ -719,6 +837,40 @@ def test_pipeline_stages(spark):
     assert Counter(r["doc_id"] for r in last) == Counter(r["doc_id"] for r in rows(docs))
 
 
+CLASHES = (
+    "__key1 __key2 __dropped __copies __n_lines __n_dropped __quality_n_words __quality_kept __quality_row __quality_w "
+    "__quality_l __id __quality __fold x0 x3 sig leaf need first root at line tokens size copies n docs block rank fp"
+).split()
+
+
+def test_columns_of_any_name_pass_through(spark):
+    same = "a line that stands in each of these few documents here"
+    base = [(i, f"{same}\nits own words number {'abcdefgh'[i]} and nothing that recurs in others at all " + " ".join(f"w{i}x{j}" for j in range(20)), "s", 5) for i in range(4)]
+    data = [(*row, *[f"{c}/{row[0]}" for c in CLASHES]) for row in base]
+    schema = "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    docs = spark.createDataFrame(data, schema)
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+
+    def untouched(out, but=()):
+        assert [c for c in out.columns if c not in but] == [c for c in docs.columns if c not in but]
+        for r in rows(out):
+            assert all(r[c] == f"{c}/{r['doc_id']}" for c in CLASHES if c not in but), r
+        return out
+
+    added = ("__n_lines", "__n_dropped")
+    lines = untouched(line_templates.dedup_lines(docs, **line_templates.LETTER), added)
+    assert [r["__n_dropped"] for r in sorted(rows(lines), key=lambda r: r["doc_id"])] == [0, 1, 1, 1]
+    judged = quality_rules.judge(docs, labels)
+    untouched(judged, [c for c in judged.columns if c.startswith("__quality_")])
+    assert untouched(quality_rules.keep_good(docs, labels)).count() == 4
+    assert untouched(simhash.keep_one(docs, simhash.simhash_components(docs))).count() >= 1
+    assert untouched(mixing.apply_mix(docs, mixing.mix_sources(docs))).count() >= 4
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        out = untouched(stage(spark, out, SF))
+    assert all(r["n_chars"] == (5 if r["doc_id"] == 0 else len(r["text"])) for r in rows(out))
+
+
 def test_pipeline_odd_and_empty(spark):
     for docs in (odd_docs(spark).drop("key"), empty_docs(spark).drop("key")):
         for name, stage in corpus_pipeline.STAGES[:-1]:
