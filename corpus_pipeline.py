@@ -12,14 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from changefold.llm import byte_bpe, line_templates, mixing, quality_rules, simhash
-from changefold.llm.common import importable
+from changefold.llm.common import importable, sheltered
 from changefold.session import materialize
 
 
-def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in like.columns])
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned list rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -29,13 +25,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines stay in their first document. A document left without a
     word by that is a copy of others' lines and goes; n_chars follows the text."""
-    out = line_templates.dedup_lines(docs, **line_templates.LETTER)
+    inner, back = sheltered(docs, ("doc_id", "text", "n_chars"))
+    out = line_templates.dedup_lines(inner, **line_templates.LETTER)
     blank = (F.col("__n_dropped") > 0) & (F.char_length(F.translate("text", " \t\n\x0b\f\r", "")) == 0)
     out = out.where(~F.coalesce(blank, F.lit(False)))
     if "n_chars" in docs.columns:
         shorter = F.when(F.col("__n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", shorter)
-    return _columns(out, docs)
+    return back(out)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
