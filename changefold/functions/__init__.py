@@ -12,15 +12,17 @@ from changefold.functions.columns import (
     page_key,
     split_page_key,
 )
-from changefold.functions.json_body import body_accepted, body_field, decode_body, body_text
+from changefold.functions.json_body import body_accepted, body_columns, body_field, body_text, columns_accepted, decode_body
 
 __all__ = [
     "ARTICLE_NAMESPACE",
     "ARTICLE_TYPES",
     "PAGE_KEY_SEP",
     "body_accepted",
+    "body_columns",
     "body_field",
     "body_text",
+    "columns_accepted",
     "bot_ratio_pct",
     "decode_body",
     "guarded_ratio",

@@ -111,3 +111,27 @@ def body_accepted(body: Column) -> Column:
         token = body_field(body, name)
         checks.append(token.isNull() | F.is_variant_null(token) | body_text(body, name).isNotNull())
     return F.coalesce(reduce(lambda a, b: a & b, checks), F.lit(False))
+
+
+def body_columns(body: Column) -> list[Column]:
+    """The fields of a decoded body as columns ``_<name>``, text as text, and
+    ``_clean``: nothing is wrong with it but for what ``columns_accepted`` asks of
+    the fields. Selected once, so that no token is read again for the decision,
+    the output and the counters, and generated methods stay small enough to be
+    compiled."""
+    out = [
+        (body_text if f.name in _STRING_FIELDS else body_field)(body, f.name).alias(f"_{f.name}")
+        for f in EDIT_BODY.fields
+        if f.name != CORRUPT_COL
+    ]
+    clean = body.isNotNull() & body[CORRUPT_COL].isNull() & (F.size(body[_ONE]) == 1)
+    for name in set(_STRING_FIELDS) - set(REQUIRED_FIELDS):
+        token = body_field(body, name)
+        kind = F.schema_of_variant(token)
+        clean = clean & (token.isNull() | F.is_variant_null(token) | (kind == "STRING"))
+    return [*out, F.coalesce(clean, F.lit(False)).alias("_clean")]
+
+
+def columns_accepted() -> Column:
+    """``body_accepted`` over the columns of ``body_columns``."""
+    return reduce(lambda a, b: a & b, [F.col("_clean"), *[F.col(f"_{n}").isNotNull() for n in REQUIRED_FIELDS]])

@@ -9,8 +9,10 @@ from changefold.functions import (
     ARTICLE_NAMESPACE,
     ARTICLE_TYPES,
     body_accepted,
+    body_columns,
     body_field,
     body_text,
+    columns_accepted,
     decode_body,
     is_article_edit,
     length_delta,
@@ -40,31 +42,31 @@ def parse_edits(envelope: DataFrame, keep_raw: bool = False) -> DataFrame:
     """
     body_col = F.col(BODY_COL) if BODY_COL in envelope.columns else decode_body("value")
     decoded = envelope.select("offset", "partition", "key", "timestamp", "value", body_col.alias(BODY_COL))
-    body = F.col(BODY_COL)
+    raw = ["value"] if keep_raw else []
+    fields = decoded.select("offset", "partition", "key", "timestamp", *raw, *body_columns(F.col(BODY_COL)))
     cols = [
-        body_text(body, "type").alias("type"),
-        body_text(body, "wiki").alias("wiki"),
-        body_text(body, "title").alias("title"),
-        body_text(body, "user").alias("user"),
-        body_field(body, "bot").alias("bot"),
-        body_field(body, "timestamp").alias("timestamp"),
-        body_text(body, "server_name").alias("serverName"),
-        F.coalesce(body_field(body, "namespace"), F.lit(0)).alias("namespace"),
-        F.coalesce(body_text(body, "comment"), F.lit("")).alias("comment"),
-        body_field(body, "length")["old"].alias("length_old"),
-        body_field(body, "length")["new"].alias("length_new"),
+        F.col("_type").alias("type"),
+        F.col("_wiki").alias("wiki"),
+        F.col("_title").alias("title"),
+        F.col("_user").alias("user"),
+        F.col("_bot").alias("bot"),
+        F.col("_timestamp").alias("timestamp"),
+        F.col("_server_name").alias("serverName"),
+        F.coalesce("_namespace", F.lit(0)).alias("namespace"),
+        F.coalesce("_comment", F.lit("")).alias("comment"),
+        F.col("_length.old").alias("length_old"),
+        F.col("_length.new").alias("length_new"),
     ]
-    raw = ["value"] if keep_raw else []
     # inline(NULL) emits no rows, so a rejected record simply disappears; the
     # envelope's own columns stand beside the generator, where a predicate on
     # them passes to the scan and is applied before any body is parsed
-    flat = decoded.select(
+    flat = fields.select(
         "offset",
         "partition",
         "key",
         F.col("timestamp").alias("event_time"),
         *raw,
-        F.inline(F.when(body_accepted(body), F.array(F.struct(*cols)))),
+        F.inline(F.when(columns_accepted(), F.array(F.struct(*cols)))),
     )
     return flat.select(*EDIT_COLUMNS, *raw)
 
@@ -89,9 +91,12 @@ def ingest_edits(envelope: DataFrame) -> DataFrame:
 
 
 def _counter_columns(body: Column) -> list[Column]:
-    accepted = body_accepted(body)
-    type_ok = F.coalesce(body_text(body, "type").isin(*ARTICLE_TYPES), F.lit(False))
-    ns_ok = F.coalesce(body_field(body, "namespace"), F.lit(0)) == F.lit(ARTICLE_NAMESPACE)
+    return _counters(body_accepted(body), body_text(body, "type"), body_field(body, "namespace"))
+
+
+def _counters(accepted: Column, kind: Column, namespace: Column) -> list[Column]:
+    type_ok = F.coalesce(kind.isin(*ARTICLE_TYPES), F.lit(False))
+    ns_ok = F.coalesce(namespace, F.lit(0)) == F.lit(ARTICLE_NAMESPACE)
     return [
         F.count(F.lit(1)).alias("received"),
         F.count_if(accepted & type_ok & ns_ok).alias("published"),
@@ -104,8 +109,8 @@ def _counter_columns(body: Column) -> list[Column]:
 
 def ingest_counters(envelope: DataFrame) -> DataFrame:
     """One row: records received, published and skipped (by first failing reason)."""
-    decoded = envelope.select(decode_body("value").alias(BODY_COL))
-    return decoded.agg(*_counter_columns(F.col(BODY_COL)))
+    decoded = envelope.select(decode_body("value").alias(BODY_COL)).select(*body_columns(F.col(BODY_COL)))
+    return decoded.agg(*_counters(columns_accepted(), F.col("_type"), F.col("_namespace")))
 
 
 def observe_ingest(envelope: DataFrame, name: str = "ingest") -> tuple[DataFrame, Observation | None]:

@@ -155,7 +155,8 @@ def frames_of_lines(lines: DataFrame) -> DataFrame:
     across = pieces.groupBy("file", "frame").agg(
         F.max("closed").alias("whole"), F.array_sort(F.collect_list(F.struct("block", "late", "text"))).alias("texts")
     )
-    stitched = across.where("whole").select(F.array_join("texts.text", "").alias("payload")).where(F.length("payload") > 0)
+    told = F.col("whole") & F.exists(F.col("texts.text"), lambda t: F.length(t) > 0)
+    stitched = across.where(told).select(F.array_join("texts.text", "").alias("payload"))
     return scanned.where(F.col("file").isNull()).select("payload").unionByName(stitched)
 
 
