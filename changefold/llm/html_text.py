@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from changefold.llm.common import contiguous, partitions
@@ -66,6 +67,7 @@ BODY = re.compile(r"(?:main|page|post|entry|article|story)?[-_]?(?:content|body|
 MILD = re.compile(r"share|sharing|social|search|widget|side|banner|promo|header|notice", re.I)
 
 OPEN, KEPT = 0, 1
+SLICE = 256
 #: What makes an element boilerplate, the stronger the higher.
 FREE, NAMED, LISTED, ELEMENT = range(4)
 
@@ -252,19 +254,25 @@ def _ranks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(part=part, place=places)
 
 
-def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All lines with their number among the open ones (-1: an article's), and
-    a hash of the article's (null: none)."""
-    for frame in frames:
-        texts, numbers, digests = [], [], []
-        for page in frame["html"]:
-            own = lines(page or "")
-            texts.append([t for _, t in own])
-            count = itertools.count()
-            numbers.append([next(count) if role == OPEN else -1 for role, _ in own])
-            article = "\n".join(t for role, t in own if role == KEPT)
-            digests.append(blake2b(article.encode("utf-8", "replace"), digest_size=8).digest() if article else None)
-        yield frame.drop(columns="html").assign(lines=texts, numbers=numbers, article=digests)
+    a hash of the article's (null: none); ``SLICE`` pages are held as text."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
+            texts, numbers, digests = [], [], []
+            for page in batch.column("html"):
+                own = lines(page.as_py() or "")
+                texts.append([t for _, t in own])
+                count = itertools.count()
+                numbers.append([next(count) if role == OPEN else -1 for role, _ in own])
+                article = "\n".join(t for role, t in own if role == KEPT)
+                digests.append(blake2b(article.encode("utf-8", "replace"), digest_size=8).digest() if article else None)
+            made = [
+                pa.array(texts, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.int32())), pa.array(digests, pa.binary()),
+            ]
+            kept = ["page_id", "url", "k1", "k2"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, "lines", "numbers", "article"])
 
 
 def _difference(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -329,11 +337,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     gives no rows.
     """
     keys = ["k1", "k2"]
-    base = pages.select("page_id", "url", "html").withColumns(
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumns(
         {"k1": F.xxhash64("page_id", "url", "html"), "k2": F.hash("page_id", "url", "html")}
     )
     schema = "page_id long, url string, k1 long, k2 int, lines array<string>, numbers array<int>, article binary"
-    parsed = materialize(base.mapInPandas(_parsed, schema), "page-lines")
+    parsed = materialize(base.mapInArrow(_parsed, schema), "page-lines")
     found = F.filter(F.arrays_zip("lines", "numbers"), lambda x: x["numbers"] >= 0)
     one = parsed.select("page_id", "url", *keys, found["lines"].alias("open"), "article").dropDuplicates(keys)
     deleted = materialize(
