@@ -8,9 +8,11 @@ tests, a laptop) do we create a local directory and register it.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 UTC = "UTC"
@@ -84,9 +86,28 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_scratch: list[str] = []  # of this process, deleted when it ends
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique directory path under the shared checkpoint root."""
-    return f"{checkpoint_root(spark)}/changefold/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique directory path under the shared checkpoint root. It is
+    deleted when the driver's process ends, not before: a DataFrame may read it
+    until then."""
+    path = f"{checkpoint_root(spark)}/changefold/{name}-{uuid.uuid4().hex[:12]}"
+    if not _scratch:
+        atexit.register(_sweep)
+    _scratch.append(path)
+    return path
+
+
+def _sweep() -> None:
+    jvm = SparkContext._jvm
+    for path in _scratch if jvm is not None else ():
+        try:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(folder, True)
+        except Exception:  # the JVM has gone: the rest stays, as after a kill
+            return
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

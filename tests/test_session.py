@@ -57,3 +57,21 @@ def test_cluster_without_shared_dir_is_refused():
         checkpoint_root(_FakeSession(_FakeContext("yarn")))
     assert checkpoint_root(_FakeSession(_FakeContext("yarn", "hdfs:///shared/ckpt"))) == "hdfs:///shared/ckpt"
     assert checkpoint_root(_FakeSession(_FakeContext("local[4]"))).startswith("/")
+
+
+def test_scratch_goes_when_the_process_ends(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from changefold.session import build_session, materialize, scratch_path
+spark = build_session("local[1]", 1, extra={{"spark.checkpoint.dir": {str(tmp_path)!r}}})
+assert materialize(spark.range(3), "kept").count() == 3
+scratch_path(spark, "never-written")
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, timeout=300)
+    left = [f for folder, _, files in os.walk(tmp_path) for f in files]
+    assert left == []
