@@ -13,7 +13,7 @@ from changefold.sources import read_envelope_stream
 from changefold.sources.testdata import events_envelope
 from changefold.streaming import exact, tables
 
-SMOKE = "/root/testdata/sf0.001"
+SMOKE = "/root/testdata/sf0.01"
 
 
 def _rows(df):
