@@ -276,11 +276,15 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _difference(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Numbers of the open lines that a page shares with a page beside it."""
+    """Numbers of the open lines that a page shares with a page beside it (one
+    without open lines is not here, and what stood on its two sides is not beside
+    each other)."""
     for g in contiguous(frames, ["host_key", "pair"]):
-        found, articles = [list(x) for x in g["open"]], list(g["article"])
+        found, articles, at = [list(x) for x in g["open"]], list(g["article"]), g["at"].tolist()
         deleted: list[set[int]] = [set() for _ in found]
         for i in range(len(found) - 1):
+            if at[i + 1] != at[i] + 1:
+                continue
             x, y = shared(found[i], found[i + 1])
             same = len(x) == len(found[i]) and len(y) == len(found[i + 1])
             if same and articles[i] == articles[i + 1]:
@@ -346,7 +350,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     one = parsed.select("page_id", "url", *keys, found["lines"].alias("open"), "article").dropDuplicates(keys)
     deleted = materialize(
         neighbours(one)
-        .join(one.select(*keys, "open", "article"), keys)
+        .join(one.where(F.size("open") > 0).select(*keys, "open", "article"), keys)
         .repartition(partitions(pages), "host_key", "pair")
         .sortWithinPartitions("host_key", "pair", "at")
         .mapInPandas(_difference, "k1 long, k2 int, deleted array<int>"),

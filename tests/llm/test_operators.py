@@ -656,9 +656,12 @@ def test_page_text_beside_an_article(spark):
     data = [(i, f"http://a.org/{i}", frame.format(i)) for i in range(3)]
     data += [(10 + i, f"http://b.org/{i}", bare.format(i)) for i in range(2)]  # open lines are all template
     data += [(20 + i, f"http://c.org/{i}", frame.format(7)) for i in range(2)]  # copies
+    # the middle one of three has no open line: the others are not beside each other
+    data += [(30 + i, f"http://d.org/{i}", "<article>x</article>" if i == 1 else frame.format(i)) for i in range(3)]
     got = {r["page_id"]: r["text"] for r in rows(html_text.extract_text(spark.createDataFrame(data, "page_id long, url string, html string")))}
     assert [got[i] for i in range(3)] == [f"Body {i} of its own. Card {i}" for i in range(3)]
     assert [got[10 + i] for i in range(2)] == ["Story 0", "Story 1"]
+    assert [got[30 + i] for i in (0, 1, 2)] == ["Site name Body 0 of its own. Card 0 Imprint", "x", "Site name Body 2 of its own. Card 2 Imprint"]
     assert got[20] == got[21] == "Site name Body 7 of its own. Card 7 Imprint"
 
 
